@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import licenses, packing
+from lamina.llm import embeddings, licenses, packing
 from lamina.llm.common import table
 
 
@@ -24,8 +24,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op8_best_fit_packing": op8_best_fit_packing}
+    return {"op1_license_scan": op1_license_scan, "op8_best_fit_packing": op8_best_fit_packing, "op10_embedding_near_dedup": op10_embedding_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
