@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamina.llm import embeddings, licenses, packing
+from lamina.llm import embeddings, licenses, minhash, packing
 from lamina.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -29,7 +33,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op8_best_fit_packing": op8_best_fit_packing, "op10_embedding_near_dedup": op10_embedding_near_dedup}
+    return {"op1_license_scan": op1_license_scan, "op3_minhash_near_dedup": op3_minhash_near_dedup, "op8_best_fit_packing": op8_best_fit_packing, "op10_embedding_near_dedup": op10_embedding_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
