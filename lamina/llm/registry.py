@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lamina.llm import embeddings, licenses, minhash, packing
+from lamina.llm import chat, embeddings, langid, licenses, minhash, packing
 from lamina.llm.common import table
 
 
@@ -20,10 +21,19 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = chat.collapse(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return kept.select("conv_id", "n_turns", "n_copies", F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("text_sha256"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.run(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
@@ -33,8 +43,8 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_license_scan": op1_license_scan, "op3_minhash_near_dedup": op3_minhash_near_dedup, "op8_best_fit_packing": op8_best_fit_packing, "op10_embedding_near_dedup": op10_embedding_near_dedup}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_minhash_near_dedup, op5_language_id, op8_best_fit_packing, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.scan_sql()}
+    return {"op1_license_scan": licenses.scan_sql(), "op2_chat_formatting": chat.COLLAPSE_SQL}
