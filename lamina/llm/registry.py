@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import chat, embeddings, langid, licenses, minhash, packing
+from lamina.llm import chat, embeddings, langid, licenses, minhash, packing, toxicity, wrappers
 from lamina.llm.common import table
 
 
@@ -34,16 +34,25 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.run(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.run(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_minhash_near_dedup, op5_language_id, op8_best_fit_packing, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_minhash_near_dedup, op5_language_id, op7_toxicity, op8_best_fit_packing, op9_html_extraction, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
