@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import chat, embeddings, langid, licenses, minhash, packing, toxicity, wrappers
+from lamina.llm import chat, embeddings, langid, licenses, minhash, packing, repeats, toxicity, wrappers
 from lamina.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.run(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -52,7 +57,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_minhash_near_dedup, op5_language_id, op7_toxicity, op8_best_fit_packing, op9_html_extraction, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_minhash_near_dedup, op4_suffix_array_dedup, op5_language_id, op7_toxicity, op8_best_fit_packing, op9_html_extraction, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
