@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import chat, embeddings, langid, licenses, minhash, packing, repeats, toxicity, wrappers
+from lamina.llm import chat, decontaminate, embeddings, langid, licenses, minhash, packing, repeats, toxicity, wrappers
 from lamina.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.run(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.run(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
@@ -57,7 +61,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_minhash_near_dedup, op4_suffix_array_dedup, op5_language_id, op7_toxicity, op8_best_fit_packing, op9_html_extraction, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_minhash_near_dedup, op4_suffix_array_dedup, op5_language_id, op6_benchmark_decontamination, op7_toxicity, op8_best_fit_packing, op9_html_extraction, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
