@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lamina.llm.text import LOWER, Words, chunks, mix, powers, prefix_hash, text_bytes, words
 
 FEATURE_BITS, PREFIXES, CHAIN, EPOCHS = 18, (4, 5, 6, 7, 8), 64, 30
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4000, 30_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1200, 1800, 8_000
 SEEN, ODDS, SPAN = 3, 30.0, 0.5
 
 
@@ -27,7 +27,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
     """Words and, for each, the buckets of the word and of its first bytes; a missing prefix repeats the word."""
     w = words(raw, offsets)
     h, inverse = prefix_hash(LOWER[raw]), powers(len(raw) + 1)[1]
-    out = np.empty((len(w.start), 1 + len(PREFIXES)), np.int64)
+    out = np.empty((len(w.start), 1 + len(PREFIXES)), np.int32)
     shift = np.uint64(64 - FEATURE_BITS)
     out[:, 0] = w.hash >> shift
     for i, k in enumerate(PREFIXES):
@@ -92,8 +92,9 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     raw, offsets = text_bytes(pa.array(texts, pa.string()))
     w, f = features(raw, offsets)
     size, n = 1 << FEATURE_BITS, [max(1, int((toxic == k).sum())) for k in (0, 1)]
-    seen = np.unique(np.stack([np.repeat(w.doc, f.shape[1]), f.reshape(-1)], 1), axis=0)
-    count = [np.bincount(seen[toxic[seen[:, 0]] == k, 1], minlength=size) for k in (0, 1)]
+    count = np.zeros((2, size))
+    for i, (a, b) in enumerate(zip(w.first, w.first[1:], strict=False)):
+        count[toxic[i], np.unique(f[a:b])] += 1
     strong = (count[1] >= SEEN) & (count[1] / n[1] >= ODDS * (count[0] + 0.3) / n[0])
     tag = (strong[f].any(1) & (toxic[w.doc] == 1)).astype(float)
     cell, rows = chains(w)
