@@ -35,28 +35,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, component) per node of an edge.
 
     component is the smallest node. Alternates the large-star and the small-star step, each a map-side combined minimum and a
-    plain shuffle join, until the edges stay as they are; every round is a written table. Null ends and loops are ignored.
+    plain shuffle join, until the edges are stars around their smallest nodes; every round is a written table. Null ends and
+    loops are ignored.
     """
     pair = edges.where("a is not null and b is not null and a <> b")
-    now = materialise(pair.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    digest = [F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h")]
-    before = tuple(now.agg(*digest).first())
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    now = pair.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    for turn in range(max_rounds):
         both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
         large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
-        large = materialise(large, "large-star")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = materialise(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), "small-star")
-        after = tuple(now.agg(*digest).first())
-        if after == before:
+        now = materialise(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), f"stars{turn}")
+        ends = now.select(F.col("hi").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(now.select(F.col("lo").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+        if not ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or (leaf = 1 and centre = 1)").take(1):
             break
-        before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    stars = now.groupBy("hi").agg(F.min("lo").alias("component")).select(F.col("hi").alias("node"), "component")
     centres = now.select(F.col("lo").alias("node")).distinct()
-    return stars.unionByName(centres.select("node", F.col("node").alias("component")))
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(centres.select("node", F.col("node").alias("component")))

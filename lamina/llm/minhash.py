@@ -13,6 +13,8 @@ from lamina.llm.common import components, materialise
 from lamina.llm.text import chunks, mix, shingles, text_bytes, words
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
+# A pair whose signatures agree this much less often than the threshold is not compared: four standard deviations of the estimate.
+SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 PIVOT_ROUNDS, PAIRS_PER_ROW = 4, 4
 
 
@@ -61,7 +63,7 @@ def bag_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, k1 and k2 (hashes of the word sequence), bands (an empty array without words)."""
+    """doc_id, n_words, k1 and k2 (hashes of the word sequence), bands (empty without words), sketch (16 bits of each register)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,10 +83,24 @@ def signatures(docs: DataFrame) -> DataFrame:
                     band = mix(band * np.uint64(0xD6E8FEB86659FD93) + h[:, :, r])
                 band += np.arange(BANDS, dtype=np.uint64)
                 has = np.flatnonzero(count)
+                sketch = [x.tobytes() for x in mix(h.reshape(n, -1)).astype("<u2")]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(count > 0, BANDS, 0))]).astype(np.int32)), pa.array(mix(band[has].reshape(-1)).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(count.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists], ["doc_id", "n_words", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(count.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists, pa.array(sketch, pa.binary())], ["doc_id", "n_words", "k1", "k2", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_words long, k1 long, k2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_words long, k1 long, k2 long, bands array<long>, sketch binary")
+
+
+def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose signatures don't rule the threshold out."""
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for i in (2, 3))
+            yield batch.filter(pa.array((one == two).mean(1) >= threshold - SLACK)).select(["a", "b"])
+
+    one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("one")), "a")
+    two = one.join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("two")), "b")
+    return two.select("a", "b", "one", "two").mapInArrow(agree, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -110,11 +126,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             common = np.bincount(d[both], weights=np.minimum(c[both], c[both + 1]), minlength=n)
             yield batch.filter(pa.array(common >= threshold * (total - common) - 1e-9)).select(["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = materialise(texts.join(ids, "doc_id", "left_semi"), "texts")
-    one = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(overlap, "a long, b long")
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+    held = ends.join(texts, "doc_id").groupBy("a", "b").agg(F.min_by("text", "doc_id").alias("text_a"), F.max_by("text", "doc_id").alias("text_b"))
+    return held.mapInArrow(overlap, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -128,17 +142,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     signed = materialise(signatures(docs), "signatures")
     real = signed.where("n_words > 0 and doc_id is not null")
-    nodes = materialise(real.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialise(real.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
     member = materialise(buckets.join(shared, ["band", "key"]), "buckets")
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    pairs = materialise(member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = materialise(likely(pairs, nodes, threshold), "pairs")
     compared, links = pairs, None
     for turn in range(PIVOT_ROUNDS + 1):
         fresh = materialise(verified(pairs, texts, threshold), "links")
         links = fresh if links is None else links.unionByName(fresh)
-        classes = materialise(components(links), "classes")
+        classes = components(links)
         if turn == PIVOT_ROUNDS:
             break
         labelled = member.join(classes, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
@@ -152,7 +167,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             found = minor.join(other, ["band", "key"]).where("component <> c").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
         else:
             found = minor.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        pairs = materialise(found.distinct().join(compared, ["a", "b"], "left_anti"), "pairs")
+        pairs = materialise(likely(found.distinct().join(compared, ["a", "b"], "left_anti"), nodes, threshold), "pairs")
         if not pairs.take(1):
             if last:
                 break
@@ -160,7 +175,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         compared = compared.unionByName(pairs)
         if last:
             links = links.unionByName(materialise(verified(pairs, texts, threshold), "links"))
-            classes = materialise(components(links), "classes")
+            classes = components(links)
             break
     of_node = nodes.join(classes, "node", "left").select("k1", "k2", "n_words", F.coalesce("component", "node").alias("component_id"))
     out = real.select("doc_id", "n_words", "k1", "k2").join(of_node, ["k1", "k2", "n_words"]).select("doc_id", "n_words", "component_id")
