@@ -1,56 +1,15 @@
-"""What the operators share: tables in the cluster's shared folder and connected components."""
+"""What the operators share with the rest of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from lamina.operators.graph import components
+from lamina.sources.shared import materialise, shared_dir
+
+__all__ = ["components", "materialise", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected edges (a, b): one row (node, component) per node of an edge.
-
-    component is the smallest node. Alternates the large-star and the small-star step, each a map-side combined minimum and a
-    plain shuffle join, until the edges are stars around their smallest nodes; every round is a written table. Null ends and
-    loops are ignored.
-    """
-    pair = edges.where("a is not null and b is not null and a <> b")
-    now = pair.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    for turn in range(max_rounds):
-        both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-        large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        now = materialise(small.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), f"stars{turn}")
-        ends = now.select(F.col("hi").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(now.select(F.col("lo").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
-        if not ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or (leaf = 1 and centre = 1)").take(1):
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    centres = now.select(F.col("lo").alias("node")).distinct()
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(centres.select("node", F.col("node").alias("component")))
