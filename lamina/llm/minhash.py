@@ -15,7 +15,7 @@ from lamina.llm.text import chunks, mix, shingles, text_bytes, words
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
 # A pair whose signatures agree this much less often than the threshold is not compared: four standard deviations of the estimate.
 SLACK = 4 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
-PIVOT_ROUNDS, PAIRS_PER_ROW = 4, 4
+BLOCK = 512
 
 
 def multiset(doc: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,53 +131,145 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return held.mapInArrow(overlap, "a long, b long")
 
 
+def first_labels(links: DataFrame) -> DataFrame:
+    """node, component: a start on the components of the links, one step towards the smallest neighbour of each pivot."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    step = links.join(least.select("a", F.col("m").alias("component")), "a").select(F.col("b").alias("node"), "component")
+    own = least.select(F.col("a").alias("node"), F.col("m").alias("component"))
+    return step.unionByName(own).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def leftover(member: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between nodes of different labels that share a bucket: what the pivots left open.
+
+    In each bucket the nodes outside the most frequent label are compared with all others, by signature and then by their shingles.
+    Both sides are dealt into blocks of BLOCK, each pair of blocks to a group of its own; a pair is compared in the first
+    band that it shares. Texts go only to groups that have a likely pair, and a group returns a spanning forest of its links.
+    """
+    labelled = member.select("band", "key", "node").join(labels, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
+    spread = labelled.groupBy("band", "key", "component").agg(F.count("*").alias("m"))
+    mixed = spread.groupBy("band", "key").agg(F.sum("m").alias("n"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most")).where("n > most")
+    mixed = mixed.select("band", "key", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("q"), F.ceil(F.col("n") / BLOCK).cast("int").alias("d"))
+    open_ = labelled.join(mixed, ["band", "key"]).withColumn("minor", F.col("component") != F.col("main"))
+    own = F.pmod(F.xxhash64("node", F.lit(13)), F.lit(1 << 30))
+    roles = F.when(F.col("minor"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    dealt = open_.withColumn("query", F.explode(roles)).withColumn("every", F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("d")).otherwise(F.col("q")) - 1)))
+    dealt = dealt.select("band", "key", F.when(F.col("query"), (own % F.col("q")).cast("int")).otherwise(F.col("every")).alias("qb"), F.when(F.col("query"), F.col("every")).otherwise((own % F.col("d")).cast("int")).alias("db"), "query", "minor", "node", "component")
+    columns = ["band", "key", "qb", "db", "query", "minor", "node", "component", "bands", "sketch"]
+    dealt = dealt.join(nodes.select("node", "bands", "sketch"), "node").select(*columns)
+    keys = ["band", "key", "qb", "db"]
+
+    def near(group: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Rows of queries with the rows of their likely partners and the estimates, best first."""
+        query, minor = (np.asarray(group.column(i)) for i in (4, 5))
+        node, label = (np.asarray(group.column(i)) for i in (6, 7))
+        bands = np.asarray(group.column(8).combine_chunks().flatten()).reshape(-1, BANDS)
+        sketch = np.frombuffer(b"".join(group.column(9).to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
+        band, d = group.column(0)[0].as_py(), np.flatnonzero(~query)
+        for i in np.flatnonzero(query).tolist():
+            at = d[(label[d] != label[i]) & (~minor[d] | (node[d] > node[i]))]
+            share = (sketch[at] == sketch[i]).mean(1)
+            keep = (share >= threshold - SLACK) & ((bands[at] == bands[i]).argmax(1) == band)
+            order = np.argsort(-share[keep], kind="stable")
+            if len(order):
+                yield i, at[keep][order], share[keep][order]
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 4):
+            used = np.zeros(group.num_rows, bool)
+            for i, at, _ in near(group):
+                used[i] = used[at] = True
+            if used.any():
+                yield from group.filter(pa.array(used)).combine_chunks().to_batches()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 4):
+            node, label = (np.asarray(group.column(i)).tolist() for i in (6, 7))
+            text = group.column(10)
+            bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            parent = {x: x for x in label}
+
+            def top(x: int, parent: dict[int, int] = parent) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            def bag(i: int, bags: dict = bags, text: pa.ChunkedArray = text, node: list[int] = node) -> tuple[np.ndarray, np.ndarray]:
+                if node[i] not in bags:
+                    raw, offsets = text_bytes(pa.array([text[i].as_py()], pa.string()))
+                    bags[node[i]] = multiset(*shingles(words(raw, offsets), SHINGLE))[1:]
+                return bags[node[i]]
+
+            ones, twos = [], []
+            for i, at, _ in near(group):
+                s, c = bag(i)
+                for j in at.tolist():
+                    if top(label[i]) == top(label[j]):
+                        continue
+                    t, e = bag(j)
+                    _, x, y = np.intersect1d(s, t, assume_unique=True, return_indices=True)
+                    common = int(np.minimum(c[x], e[y]).sum())
+                    if common >= threshold * (int(c.sum() + e.sum()) - common) - 1e-9:
+                        parent[max(top(label[i]), top(label[j]))] = min(top(label[i]), top(label[j]))
+                        ones.append(min(node[i], node[j]))
+                        twos.append(max(node[i], node[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array(twos, pa.int64())], ["a", "b"])
+
+    def kind(df: DataFrame) -> str:
+        return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+    likely_ = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(screen, kind(dealt))
+    held = likely_.join(texts.select(F.col("doc_id").alias("node"), "text"), "node").select(*columns, "text")
+    return held.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Rows of one value of the first columns at a time, from rows sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.asarray(batch.column(i)) for i in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, component_id, kept for each row of docs (doc_id, text): classes of near-duplicate documents.
 
-    Documents of equal word sequences are one node. Nodes that share a band are compared through pivots: each node of a bucket
-    with the bucket's first node; then, in buckets that still span several classes, with other pivots; when few comparisons
-    are left, all between nodes of different classes. So every pair of a bucket ends in one class or has been compared. A class's
-    id is its smallest doc_id. A text without words, null and empty ones too, is a class of its own; a null doc_id is kept and
-    has no class. Rows that repeat a doc_id are one document.
+    Documents of equal word sequences are one node. Nodes that share a band are compared through two pivots of the bucket, then, where
+    a bucket still holds several classes, with all nodes of the others. So every pair of a bucket ends in one class or has been
+    compared. A class's id is its smallest doc_id. A text without words, null and empty ones too, is a class of its own; a
+    null doc_id is kept and has no class. Rows that repeat a doc_id are one document.
     """
     signed = materialise(signatures(docs), "signatures")
     real = signed.where("n_words > 0 and doc_id is not null")
     nodes = materialise(real.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("p1"), F.min(F.struct(F.xxhash64("node"), "node")).alias("p2")).where("n > 1").drop("n")
     member = materialise(buckets.join(shared, ["band", "key"]), "buckets")
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    pairs = member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialise(likely(pairs, nodes, threshold), "pairs")
-    compared, links = pairs, None
-    for turn in range(PIVOT_ROUNDS + 1):
-        fresh = materialise(verified(pairs, texts, threshold), "links")
-        links = fresh if links is None else links.unionByName(fresh)
-        classes = components(links)
-        if turn == PIVOT_ROUNDS:
-            break
-        labelled = member.join(classes, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
-        spread = labelled.groupBy("band", "key", "component").agg(F.count("*").alias("m"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("pivot"))
-        mixed = spread.groupBy("band", "key").agg(F.sum("m").alias("n"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max_by("pivot", F.struct("m", "component")).alias("pivot"), F.max("m").alias("most")).where("n > most")
-        mixed = materialise(mixed, "mixed")
-        left = mixed.agg(F.sum(F.col("n") * (F.col("n") - F.col("most"))).alias("n")).first().n or 0
-        minor = labelled.join(mixed, ["band", "key"]).where("component <> main")
-        if last := left <= PAIRS_PER_ROW * nodes.count() or turn == PIVOT_ROUNDS - 1:
-            other = labelled.select("band", "key", F.col("node").alias("o"), F.col("component").alias("c"))
-            found = minor.join(other, ["band", "key"]).where("component <> c").select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
-        else:
-            found = minor.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        pairs = materialise(likely(found.distinct().join(compared, ["a", "b"], "left_anti"), nodes, threshold), "pairs")
-        if not pairs.take(1):
-            if last:
-                break
-            continue
-        compared = compared.unionByName(pairs)
-        if last:
-            links = links.unionByName(materialise(verified(pairs, texts, threshold), "links"))
-            classes = components(links)
-            break
-    of_node = nodes.join(classes, "node", "left").select("k1", "k2", "n_words", F.coalesce("component", "node").alias("component_id"))
+    pairs = member.select("node", F.explode(F.array("p1", "p2.node")).alias("pivot")).where("node <> pivot")
+    pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    links = materialise(verified(likely(pairs, nodes, threshold), texts, threshold), "links")
+    labels = materialise(first_labels(links), "labels")
+    links = links.unionByName(materialise(leftover(member, labels, nodes, texts, threshold), "leftover"))
+    classes = components(links)
+    of_node = nodes.select("k1", "k2", "n_words", "node").join(classes, "node", "left").select("k1", "k2", "n_words", F.coalesce("component", "node").alias("component_id"))
     out = real.select("doc_id", "n_words", "k1", "k2").join(of_node, ["k1", "k2", "n_words"]).select("doc_id", "n_words", "component_id")
     alone = signed.where("n_words = 0 or doc_id is null").select("doc_id", "n_words", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).select("doc_id", "n_words", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
