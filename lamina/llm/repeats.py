@@ -21,7 +21,7 @@ from lamina.llm.common import materialise
 from lamina.llm.text import mix, powers, prefix_hash, text_bytes
 
 LENGTH, GRAM = 200, 32
-PIECE, PLACE_BITS = 4 << 20, 23
+PIECE, PLACE_BITS = 1 << 20, 21
 BLOCK = 512
 
 
