@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from lamina.llm.text import Words, chunks, text_bytes, words
 
-BUCKET_BITS, RANK, HALF, SLICE = 14, 96, 16, 256
-COSINE, SHARE, SURE, ANSWER_WORDS, ANSWER_SHARE = 0.4, 0.6, 0.8, 5, 0.6
+# Buckets that stand in more than exp(-STOP) of the half passages carry no weight.
+BUCKET_BITS, RANK, HALF, SLICE, STOP = 14, 64, 16, 256, 2.0
+COSINE, SHARE, SURE, ANSWER_WORDS, ANSWER_SHARE = 0.45, 0.6, 0.8, 5, 0.6
 ITEMS_PER_PASS, CHUNK = 2048, 512 << 10
 
 
@@ -48,9 +49,16 @@ def sums(h: Halves, weight: np.ndarray, table: np.ndarray) -> tuple[np.ndarray,
     """For each passage the weighted sum of its words' rows of the table, and the norm of its weights."""
     if not len(h.first):
         return np.zeros((0, table.shape[1]), np.float32), np.zeros(0)
-    w = weight[h.bucket]
-    each = np.add.reduceat(table[h.bucket] * w[:, None], h.first, axis=0)
-    square = np.add.reduceat(w.astype(float) ** 2, h.first)
+    at = np.flatnonzero(weight[h.bucket])
+    bucket = h.bucket[at]
+    w = weight[bucket]
+    first = np.searchsorted(at, h.first)
+    size = np.diff(np.append(first, len(at)))
+    some = np.flatnonzero(size)
+    each, square = np.zeros((len(first), table.shape[1]), np.float32), np.zeros(len(first))
+    if len(some):
+        each[some] = np.add.reduceat(table[bucket] * w[:, None], first[some], axis=0)
+        square[some] = np.add.reduceat(w.astype(float) ** 2, first[some])
     double = (h.last > h.passage)[:, None]
     return each[h.passage] + np.where(double, each[h.last], 0), np.sqrt(square[h.passage] + np.where(double[:, 0], square[h.last], 0)) + 1e-9
 
@@ -90,7 +98,7 @@ def fit(docs: DataFrame, seed: int = 3) -> Space:
             raw, offsets = text_bytes(batch.column(0))
             for a, b in chunks(offsets, CHUNK):
                 h = halves(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                pair = np.unique(h.half * size + h.bucket)
+                pair = np.unique((h.half * size + h.bucket).astype(np.int32 if len(h.first) < 1 << 16 else np.int64))
                 total[:, 0] += np.bincount(pair % size, minlength=size)
                 n += len(h.first)
         yield _slices(total)
@@ -99,7 +107,8 @@ def fit(docs: DataFrame, seed: int = 3) -> Space:
     got = summed(texts.mapInArrow(count, "key int, vector binary"), 1)
     n = float(got.pop(-1, np.ones((1, 1)))[0, 0])
     df = np.concatenate([got[k] for k in sorted(got)])[:, 0] if got else np.zeros(size)
-    idf = np.log((n + 1) / (df + 1)).astype(np.float32)
+    idf = np.log((n + 64) / (df + 1)).astype(np.float32)
+    idf[idf < STOP] = 0
     omega = np.random.default_rng(seed).normal(size=(size, RANK)).astype(np.float32)
     sent = docs.sparkSession.sparkContext.broadcast((idf, omega))
 
@@ -113,15 +122,17 @@ def fit(docs: DataFrame, seed: int = 3) -> Space:
                 if not len(h.first):
                     continue
                 z, norm = sums(h, idf, omega)
-                z = (z / norm[:, None] ** 2).astype(np.float32)
+                z = (z / np.maximum(norm, 1.0)[:, None] ** 2).astype(np.float32)
                 back = np.zeros((len(h.first), RANK), np.float32)
                 back[h.passage] += z
                 double = h.last > h.passage
                 back[h.last[double]] += z[double]
-                order = np.argsort(h.bucket, kind="stable")
+                order = np.flatnonzero(idf[h.bucket])
+                order = order[np.argsort(h.bucket[order].astype(np.int16), kind="stable")]
                 bucket = h.bucket[order]
                 at = np.flatnonzero(np.diff(bucket, prepend=-1))
-                total[bucket[at]] += np.add.reduceat(back[h.half[order]], at, axis=0) * idf[bucket[at]][:, None]
+                if len(at):
+                    total[bucket[at]] += np.add.reduceat(back[h.half[order]], at, axis=0) * idf[bucket[at]][:, None]
         yield _slices(total)
 
     got = summed(texts.mapInArrow(sketch, "key int, vector binary"), RANK)
