@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from lamina.llm.text import Words, chunks, text_bytes, words
 
-# Buckets that stand in more than exp(-STOP) of the half passages carry no weight.
+# Buckets that stand in more than exp(-STOP) of the half passages carry no weight, the others the square of their idf.
 BUCKET_BITS, RANK, HALF, SLICE, STOP = 14, 64, 16, 256, 2.0
-COSINE, SHARE, SURE, ANSWER_WORDS, ANSWER_SHARE = 0.45, 0.6, 0.8, 5, 0.6
-ITEMS_PER_PASS, CHUNK = 2048, 512 << 10
+COSINE, SHARE, SURE, ANSWER_WORDS, ANSWER_SHARE = 0.4, 0.6, 0.8, 5, 0.6
+ITEMS_PER_PASS, CHUNK, OVERLAP = 512, 512 << 10, 0.3
 
 
 class Space(NamedTuple):
@@ -107,8 +107,8 @@ def fit(docs: DataFrame, seed: int = 3) -> Space:
     got = summed(texts.mapInArrow(count, "key int, vector binary"), 1)
     n = float(got.pop(-1, np.ones((1, 1)))[0, 0])
     df = np.concatenate([got[k] for k in sorted(got)])[:, 0] if got else np.zeros(size)
-    idf = np.log((n + 64) / (df + 1)).astype(np.float32)
-    idf[idf < STOP] = 0
+    idf = np.log((n + 1024) / (df + 1)).astype(np.float32)
+    idf = np.where(idf < STOP, 0, idf**2)  # squared: words of middling frequency would outweigh the rare ones
     omega = np.random.default_rng(seed).normal(size=(size, RANK)).astype(np.float32)
     sent = docs.sparkSession.sparkContext.broadcast((idf, omega))
 
@@ -163,7 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, space: Space | None = None) ->
     """doc_id, item_id, cosine, lcs_share, answer_share: items of the benchmark that a document holds, also paraphrased.
 
     Every passage of every text of docs (doc_id, text) is compared with every item, in passes of ITEMS_PER_PASS items. A candidate
-    has a latent cosine of at least COSINE; it is a leak if the longest common subsequence with the words around the passage has
+    has a latent cosine of at least COSINE with a window of the item and OVERLAP of the window's weighted words; it is a leak if the longest common subsequence with the words around the passage has
     SURE of the item's words, or SHARE of them and the item's last ANSWER_WORDS words are there by ANSWER_SHARE. Null and empty
     texts and items, items of fewer than ANSWER_WORDS words and rows without an id match nothing. Repeated rows give one row.
     """
@@ -186,9 +186,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, space: Space | None = None) ->
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("cosine", "lcs_share", "answer_share")])
 
 
-def _windows(items: list[tuple[int, np.ndarray]], space: Space) -> tuple[np.ndarray, np.ndarray]:
-    """Unit latent vectors of the items' windows of two halves, half by half and from the end, and the item of each."""
-    vectors, owner = [], []
+def _windows(items: list[tuple[int, np.ndarray]], space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The items' windows of two halves, half by half and from the end: unit latent vectors, item, weighted buckets, words needed."""
+    vectors, owner, marks = [], [], []
     for k, (_, hashes) in enumerate(items):
         bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
         n = len(bucket)
@@ -196,13 +196,18 @@ def _windows(items: list[tuple[int, np.ndarray]], space: Space) -> tuple[np.ndar
             own = bucket[a : a + 2 * HALF]
             vectors.append((space.map[own] * space.idf[own][:, None]).sum(0))
             owner.append(k)
+            mark = np.zeros(len(space.idf) + 1, np.uint8)
+            mark[own[space.idf[own] > 0]] = 1
+            marks.append(mark)
+    has = np.array(marks, np.uint8).reshape(len(marks), len(space.idf) + 1)
     table = np.array(vectors, np.float32).reshape(len(vectors), space.map.shape[1])
-    return table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-12), np.array(owner, np.int64)
+    return table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-12), np.array(owner, np.int64), has, OVERLAP * has.sum(1)
 
 
 def _searcher(sent):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, items, table, owner = sent.value
+        space, items, table, owner, has, needed = sent.value
+        width = has.shape[1]
         lists = [x.tolist() for _, x in items]
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -215,9 +220,16 @@ def _searcher(sent):
                 z, _ = sums(h, space.idf, space.map)
                 z /= np.linalg.norm(z, axis=1, keepdims=True) + 1e-12
                 best: dict[tuple[int, int, int], float] = {}
-                for x in range(0, len(z), 4096):
-                    cosine = z[x : x + 4096] @ table.T
-                    for p, q in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                start = h.first[h.passage]
+                stop = np.append(h.first, len(h.bucket))[h.last + 1]
+                weighted = np.append(np.where(space.idf[h.bucket] > 0, h.bucket, width - 1), width - 1).astype(np.int32)
+                for x in range(0, len(z), 1024):
+                    cosine = z[x : x + 1024] @ table.T
+                    p, q = np.nonzero(cosine >= COSINE)
+                    at = start[x : x + 1024, None] + np.arange(2 * HALF)
+                    own = weighted[np.where(at < stop[x : x + 1024, None], at, len(h.bucket))]
+                    enough = np.take(has.reshape(-1), (q * width).astype(np.int32)[:, None] + own[p]).sum(1) >= needed[q]
+                    for p, q in zip(p[enough], q[enough], strict=True):
                         at = x + int(p)
                         doc, item = int(h.words.doc[h.first[h.passage[at]]]), int(owner[q])
                         key = (doc, item, int(h.first[h.passage[at]]))
