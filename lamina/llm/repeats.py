@@ -21,7 +21,7 @@ from lamina.llm.common import materialise
 from lamina.llm.text import mix, powers, prefix_hash, text_bytes
 
 LENGTH, GRAM = 200, 32
-PIECE, PLACE_BITS = 1 << 20, 21
+PIECE, PLACE_BITS, ROWS = 256 << 10, 21, 500
 BLOCK = 512
 
 
@@ -206,12 +206,19 @@ def segments(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return docs.mapInArrow(cut, "doc long, row long, gram long, segment long, place long")
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ROWS at a time, so that few whole texts are held at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
 def squeezed(docs: DataFrame) -> DataFrame:
     """doc, row, packed: the texts compressed for the shuffles that follow."""
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in parts(batches):
             packed = [pack.compress((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc", "row", "packed"])
 
@@ -241,7 +248,7 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in parts(batches):
             for doc, row, packed, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
                 raw = unpack.decompress(packed.as_py())
                 items = wanted.values.flatten() if len(wanted) else None
@@ -285,7 +292,7 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in parts(batches):
             rows = []
             for doc, packed, spans in zip(*(batch.column(i) for i in range(3)), strict=True):
                 raw = unpack.decompress(packed.as_py())
