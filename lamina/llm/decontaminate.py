@@ -15,7 +15,7 @@ from lamina.llm.text import Words, chunks, text_bytes, words
 # Buckets that stand in more than exp(-STOP) of the half passages carry no weight, the others the square of their idf.
 BUCKET_BITS, RANK, HALF, SLICE, STOP = 14, 64, 16, 256, 2.0
 COSINE, SHARE, SURE, ANSWER_WORDS, ANSWER_SHARE = 0.4, 0.6, 0.8, 5, 0.6
-ITEMS_PER_PASS, CHUNK, OVERLAP = 512, 512 << 10, 0.3
+ITEMS_PER_PASS, CHARS_PER_PASS, CHUNK, OVERLAP = 512, 256 << 10, 512 << 10, 0.3
 
 
 class Space(NamedTuple):
@@ -162,7 +162,7 @@ def common_length(a: list[int], b: list[int]) -> int:
 def leaks(docs: DataFrame, benchmark: DataFrame, space: Space | None = None) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share: items of the benchmark that a document holds, also paraphrased.
 
-    Every passage of every text of docs (doc_id, text) is compared with every item, in passes of ITEMS_PER_PASS items. A candidate
+    Every passage of every text of docs (doc_id, text) is compared with every item, in passes of ITEMS_PER_PASS items or CHARS_PER_PASS characters. A candidate
     has a latent cosine of at least COSINE with a window of the item and OVERLAP of the window's weighted words; it is a leak if the longest common subsequence with the words around the passage has
     SURE of the item's words, or SHARE of them and the item's last ANSWER_WORDS words are there by ANSWER_SHARE. Null and empty
     texts and items, items of fewer than ANSWER_WORDS words and rows without an id match nothing. Repeated rows give one row.
@@ -173,7 +173,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, space: Space | None = None) ->
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").dropDuplicates()
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
     out = None
-    n_blocks = max(1, -(-items.count() // ITEMS_PER_PASS))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    n_blocks = max(1, -(-size.n // ITEMS_PER_PASS), -(-size.chars // CHARS_PER_PASS))
     blocks = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
     for k in range(n_blocks):
         rows = sorted((r.item_id, r.text) for r in blocks.where(F.col("block") == k).collect())
