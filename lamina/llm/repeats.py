@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import materialise
+from lamina.llm.common import materialise, small_batches
 from lamina.llm.text import mix, powers, prefix_hash, text_bytes
 
 LENGTH, GRAM = 200, 32
@@ -232,6 +232,7 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     as a text of its own, so its strings repeat. Texts shorter than length stay whole. Grams with more than BLOCK different
     segments are dealt into blocks; windows of different blocks meet by their hashes.
     """
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = keyed.withColumn("doc", F.coalesce("doc", F.lit(-(1 << 62))))
     every = materialise(segments(keyed, length), "segments")
