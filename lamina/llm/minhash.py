@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import components, materialise
+from lamina.llm.common import components, materialise, small_batches
 from lamina.llm.text import chunks, mix, shingles, text_bytes, words
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 5
@@ -256,6 +256,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     compared. A class's id is its smallest doc_id. A text without words, null and empty ones too, is a class of its own; a
     null doc_id is kept and has no class. Rows that repeat a doc_id are one document.
     """
+    small_batches(docs.sparkSession)
     signed = materialise(signatures(docs), "signatures")
     real = signed.where("n_words > 0 and doc_id is not null")
     nodes = materialise(real.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
