@@ -202,13 +202,14 @@ def _windows(items: list[tuple[int, np.ndarray]], space: Space) -> tuple[np.ndar
             marks.append(mark)
     has = np.array(marks, np.uint8).reshape(len(marks), len(space.idf) + 1)
     table = np.array(vectors, np.float32).reshape(len(vectors), space.map.shape[1])
-    return table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-12), np.array(owner, np.int64), has, OVERLAP * has.sum(1)
+    return table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-12), np.array(owner, np.int64), has, np.ceil(OVERLAP * has.sum(1)).astype(np.uint8)
 
 
 def _searcher(sent):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, items, table, owner, has, needed = sent.value
-        width = has.shape[1]
+        columns = np.ascontiguousarray(has.T)
+        known = has.any(0)
         lists = [x.tolist() for _, x in items]
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -221,16 +222,18 @@ def _searcher(sent):
                 z, _ = sums(h, space.idf, space.map)
                 z /= np.linalg.norm(z, axis=1, keepdims=True) + 1e-12
                 best: dict[tuple[int, int, int], float] = {}
-                start = h.first[h.passage]
-                stop = np.append(h.first, len(h.bucket))[h.last + 1]
-                weighted = np.append(np.where(space.idf[h.bucket] > 0, h.bucket, width - 1), width - 1).astype(np.int32)
+                at = np.flatnonzero(known[h.bucket])
+                half = h.half[at]
+                edge = np.flatnonzero(np.diff(half, prepend=-1))
+                count = np.zeros((len(h.first), len(table)), np.uint8)
+                if len(at):
+                    count[half[edge]] = np.add.reduceat(columns[h.bucket[at]], edge, axis=0, dtype=np.uint8)
+                double = (h.last > h.passage).astype(np.uint8)
                 for x in range(0, len(z), 1024):
-                    cosine = z[x : x + 1024] @ table.T
-                    p, q = np.nonzero(cosine >= COSINE)
-                    at = start[x : x + 1024, None] + np.arange(2 * HALF)
-                    own = weighted[np.where(at < stop[x : x + 1024, None], at, len(h.bucket))]
-                    enough = np.take(has.reshape(-1), (q * width).astype(np.int32)[:, None] + own[p]).sum(1) >= needed[q]
-                    for p, q in zip(p[enough], q[enough], strict=True):
+                    y = slice(x, x + 1024)
+                    shared = count[h.passage[y]] + count[h.last[y]] * double[y, None]
+                    cosine = z[y] @ table.T
+                    for p, q in zip(*np.nonzero((shared >= needed) & (cosine >= COSINE)), strict=True):
                         at = x + int(p)
                         doc, item = int(h.words.doc[h.first[h.passage[at]]]), int(owner[q])
                         key = (doc, item, int(h.first[h.passage[at]]))
