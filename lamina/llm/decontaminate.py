@@ -15,7 +15,7 @@ from lamina.llm.text import Words, chunks, text_bytes, words
 # Buckets that stand in more than exp(-STOP) of the half passages carry no weight, the others the square of their idf.
 BUCKET_BITS, RANK, HALF, SLICE, STOP = 14, 64, 16, 256, 2.0
 COSINE, SHARE, SURE, ANSWER_WORDS, ANSWER_SHARE = 0.4, 0.6, 0.8, 5, 0.6
-ITEMS_PER_PASS, CHARS_PER_PASS, CHUNK, OVERLAP = 512, 256 << 10, 512 << 10, 0.3
+ITEMS_PER_PASS, CHARS_PER_PASS, CHUNK, OVERLAP, SIGNATURE = 512, 256 << 10, 512 << 10, 0.3, 256
 
 
 class Space(NamedTuple):
@@ -163,7 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, space: Space | None = None) ->
     """doc_id, item_id, cosine, lcs_share, answer_share: items of the benchmark that a document holds, also paraphrased.
 
     Every passage of every text of docs (doc_id, text) is compared with every item, in passes of ITEMS_PER_PASS items or CHARS_PER_PASS characters. A candidate
-    has a latent cosine of at least COSINE with a window of the item and OVERLAP of the window's weighted words; it is a leak if the longest common subsequence with the words around the passage has
+    has a latent cosine of at least COSINE with a window of the item and OVERLAP of the bits of the window's weighted words; it is a leak if the longest common subsequence with the words around the passage has
     SURE of the item's words, or SHARE of them and the item's last ANSWER_WORDS words are there by ANSWER_SHARE. Null and empty
     texts and items, items of fewer than ANSWER_WORDS words and rows without an id match nothing. Repeated rows give one row.
     """
@@ -188,7 +188,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, space: Space | None = None) ->
 
 
 def _windows(items: list[tuple[int, np.ndarray]], space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The items' windows of two halves, half by half and from the end: unit latent vectors, item, weighted buckets, words needed."""
+    """The items' windows of two halves, half by half and from the end: unit latent vectors, item, signature, bits needed."""
     vectors, owner, marks = [], [], []
     for k, (_, hashes) in enumerate(items):
         bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
@@ -197,19 +197,23 @@ def _windows(items: list[tuple[int, np.ndarray]], space: Space) -> tuple[np.ndar
             own = bucket[a : a + 2 * HALF]
             vectors.append((space.map[own] * space.idf[own][:, None]).sum(0))
             owner.append(k)
-            mark = np.zeros(len(space.idf) + 1, np.uint8)
-            mark[own[space.idf[own] > 0]] = 1
-            marks.append(mark)
-    has = np.array(marks, np.uint8).reshape(len(marks), len(space.idf) + 1)
+            marks.append(signatures(own, np.zeros(len(own), np.int64), 1, space.idf)[0])
+    has = np.array(marks, np.uint64).reshape(len(marks), SIGNATURE // 64)
     table = np.array(vectors, np.float32).reshape(len(vectors), space.map.shape[1])
-    return table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-12), np.array(owner, np.int64), has, np.ceil(OVERLAP * has.sum(1)).astype(np.uint8)
+    return table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-12), np.array(owner, np.int64), has, np.ceil(OVERLAP * np.bitwise_count(has).sum(1)).astype(int)
+
+
+def signatures(bucket: np.ndarray, row: np.ndarray, rows: int, idf: np.ndarray) -> np.ndarray:
+    """SIGNATURE bits per row: those that its weighted words' buckets fall on."""
+    on = idf[bucket] > 0
+    table = np.zeros((rows, SIGNATURE), bool)
+    table[row[on], bucket[on] % SIGNATURE] = True
+    return np.packbits(table, axis=1).view(np.uint64)
 
 
 def _searcher(sent):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, items, table, owner, has, needed = sent.value
-        columns = np.ascontiguousarray(has.T)
-        known = has.any(0)
         lists = [x.tolist() for _, x in items]
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -222,16 +226,11 @@ def _searcher(sent):
                 z, _ = sums(h, space.idf, space.map)
                 z /= np.linalg.norm(z, axis=1, keepdims=True) + 1e-12
                 best: dict[tuple[int, int, int], float] = {}
-                at = np.flatnonzero(known[h.bucket])
-                half = h.half[at]
-                edge = np.flatnonzero(np.diff(half, prepend=-1))
-                count = np.zeros((len(h.first), len(table)), np.uint8)
-                if len(at):
-                    count[half[edge]] = np.add.reduceat(columns[h.bucket[at]], edge, axis=0, dtype=np.uint8)
-                double = (h.last > h.passage).astype(np.uint8)
+                bits = signatures(h.bucket, h.half, len(h.first), space.idf)
+                bits = bits[h.passage] | bits[h.last]
                 for x in range(0, len(z), 1024):
                     y = slice(x, x + 1024)
-                    shared = count[h.passage[y]] + count[h.last[y]] * double[y, None]
+                    shared = sum(np.bitwise_count(bits[y, k, None] & has[None, :, k]) for k in range(has.shape[1]))
                     cosine = z[y] @ table.T
                     for p, q in zip(*np.nonzero((shared >= needed) & (cosine >= COSINE)), strict=True):
                         at = x + int(p)
