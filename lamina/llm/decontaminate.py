@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lamina.llm.text import Words, chunks, text_bytes, words
 
 # Buckets that stand in more than exp(-STOP) of the half passages carry no weight, the others the square of their idf.
-BUCKET_BITS, RANK, HALF, SLICE, STOP = 14, 64, 16, 256, 2.0
+BUCKET_BITS, RANK, HALF, SLICE, STOP, RARE = 14, 64, 16, 256, 2.0, 5.0
 COSINE, SHARE, SURE, ANSWER_WORDS, ANSWER_SHARE = 0.4, 0.6, 0.8, 5, 0.6
 ITEMS_PER_PASS, CHARS_PER_PASS, CHUNK, OVERLAP, SIGNATURE = 512, 256 << 10, 512 << 10, 0.3, 256
 
@@ -163,7 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, space: Space | None = None) ->
     """doc_id, item_id, cosine, lcs_share, answer_share: items of the benchmark that a document holds, also paraphrased.
 
     Every passage of every text of docs (doc_id, text) is compared with every item, in passes of ITEMS_PER_PASS items or CHARS_PER_PASS characters. A candidate
-    has a latent cosine of at least COSINE with a window of the item and OVERLAP of the bits of the window's weighted words; it is a leak if the longest common subsequence with the words around the passage has
+    has a latent cosine of at least COSINE with a window of the item and OVERLAP of the bits of the window's rare words (idf of RARE or more); it is a leak if the longest common subsequence with the words around the passage has
     SURE of the item's words, or SHARE of them and the item's last ANSWER_WORDS words are there by ANSWER_SHARE. Null and empty
     texts and items, items of fewer than ANSWER_WORDS words and rows without an id match nothing. Repeated rows give one row.
     """
@@ -204,8 +204,8 @@ def _windows(items: list[tuple[int, np.ndarray]], space: Space) -> tuple[np.ndar
 
 
 def signatures(bucket: np.ndarray, row: np.ndarray, rows: int, idf: np.ndarray) -> np.ndarray:
-    """SIGNATURE bits per row: those that its weighted words' buckets fall on."""
-    on = idf[bucket] > 0
+    """SIGNATURE bits per row: those that the buckets of its rare words fall on."""
+    on = idf[bucket] >= RARE**2
     table = np.zeros((rows, SIGNATURE), bool)
     table[row[on], bucket[on] % SIGNATURE] = True
     return np.packbits(table, axis=1).view(np.uint64)
@@ -241,10 +241,9 @@ def _searcher(sent):
                     n = len(lists[item])
                     lo = max(int(h.words.first[doc]), start - n)
                     hi = min(int(h.words.first[doc + 1]), start + 2 * HALF + n)
-                    near = h.words.hash[lo:hi]
-                    if np.isin(items[item][1], near).sum() < SHARE * n:
+                    near = h.words.hash[lo:hi].tolist()
+                    if sum(map(set(near).__contains__, lists[item])) < SHARE * n:
                         continue
-                    near = near.tolist()
                     share = common_length(lists[item], near) / n
                     if share < SHARE:
                         continue
