@@ -1,21 +1,23 @@
-"""Main text of web pages by wrapper induction: pages of a host are aligned by simple tree matching."""
+"""Main text of web pages by wrapper induction: texts are counted by their place over all pages of a host."""
 
 from __future__ import annotations
 
 import hashlib
-import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PAGES_PER_HOST, WRAPPER_NODES, WRAPPER_CHARS = 6, 512, 200_000
+from lamina.llm.common import materialise
+
+TOP, ANY = 0, 0
 # Fixed names of HTML.
+CONTAINERS = frozenset("html body div section article main header center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul br".split())
 CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot option optgroup title legend br".split())
@@ -119,94 +121,38 @@ def solid(node: Node) -> list[Node]:
     return [x for x in node.children if not x.dropped and (x.tag != "#text" or x.key)]
 
 
-def match(a: Node, b: Node, memo: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]]) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the size of the largest order-preserving matching of equal tags, and its pairs of children.
-
-    Equal texts weigh 2, so that of equally large matchings the one that lines constants up wins.
-    """
-    if a.tag != b.tag:
-        return 0, []
-    if a.tag == "#text":
-        return 2 if a.key == b.key else 1, []
-    found = memo.get((id(a), id(b)))
-    if found:
-        return found
-    left, right = solid(a), solid(b)
-    score = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    size = [[match(x, y, memo)[0] for y in right] for x in left]
-    for i in range(len(left)):
-        above, row, own = score[i], score[i + 1], size[i]
-        for j in range(len(right)):
-            row[j + 1] = max(above[j + 1], row[j], above[j] + own[j])
-    pairs, i, j = [], len(left), len(right)
-    while i and j:
-        if score[i][j] == score[i - 1][j]:
-            i -= 1
-        elif score[i][j] == score[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs.append((left[i], right[j]))
-    memo[id(a), id(b)] = out = (1 + score[-1][-1], pairs)
-    return out
+@lru_cache(1 << 16)
+def number(*parts: str | int) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def aligned(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Pairs of text nodes that the matching of two trees lines up."""
-    memo: dict = {}
-    out, stack = [], [(a, b)]
+def slots(root: Node) -> Iterator[tuple[Node, int, int]]:
+    """Text nodes with their slot (the tags above and the text) and box (the tags above down to the last container)."""
+    stack = [(root, TOP, TOP)]
     while stack:
-        x, y = stack.pop()
-        for p, q in match(x, y, memo)[1]:
-            if p.tag == "#text":
-                out.append((p, q))
+        node, path, box = stack.pop()
+        for x in solid(node):
+            if x.tag == "#text":
+                yield x, number(path, x.key), box
             else:
-                stack.append((p, q))
-    return out
-
-
-def induce(pages: list[str]) -> str:
-    """The wrapper of a host: the tree of one page, with the texts that stay constant in unlike pages marked.
-
-    Two pages that share more than half of their aligned text are copies of each other and tell nothing about each other. A text is
-    constant if it stands in the same place in at least two unlike pages and in two thirds of them.
-    """
-    trees = [parse(x[:WRAPPER_CHARS]) for x in sorted(set(pages), key=lambda x: (len(x), x))]
-    constant: set[str] = set()
-    for a in trees:
-        equal: Counter[int] = Counter()
-        unlike = 0
-        for b in trees:
-            if a is b:
-                continue
-            pairs = aligned(a, b)
-            same = [p for p, q in pairs if p.key == q.key]
-            whole = sum(len(n.text) for n in walk(a) if n.tag == "#text" and n.key and not n.dropped)
-            if 2 * sum(len(p.text) for p in same) > whole:
-                continue
-            unlike += 1
-            equal.update(id(p) for p in same)
-        constant |= {n.key for n in walk(a) if n.key and equal[id(n)] >= 2 and 3 * equal[id(n)] >= 2 * unlike}
-    left = WRAPPER_NODES
+                below = number(path, x.tag)
+                stack.append((x, below, below if x.tag in CONTAINERS else box))
 
-    def slim(node: Node) -> list:
-        nonlocal left
-        left -= 1
-        return [node.tag, node.key if node.key in constant else "", [slim(x) for x in solid(node) if left > 0]]
 
-    return json.dumps([slim(trees[0]) if trees and constant else None, sorted(constant)])
+def skeleton(boxes: set[int]) -> int:
+    """The structural key of a page: which containers hold its texts."""
+    return number("skeleton", *sorted(boxes))
 
 
-@lru_cache(64)
-def wrapper(text: str) -> tuple[Node | None, frozenset[str]]:
-    def grow(x: list) -> Node:
-        node = Node(x[0])
-        node.key = x[1] or ("-" if x[0] == "#text" else "")
-        node.children = [grow(y) for y in x[2]]
-        return node
+def page_slots(html: str) -> tuple[int, int, list[tuple[int, int]]]:
+    """Content, structural key and distinct (slot, box) of a page.
 
-    tree, constant = json.loads(text)
-    return grow(tree) if tree else None, frozenset(constant)
+    Pages of equal content are copies.
+    """
+    found = list(slots(parse(html)))
+    known = sorted({(slot, box) for _, slot, box in found})
+    content = hashlib.blake2b(html.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    return int.from_bytes(content, "big", signed=True), skeleton({box for _, box in known}), known
 
 
 def whole_blocks(root: Node, constant: set[int]) -> set[int]:
@@ -223,14 +169,14 @@ def whole_blocks(root: Node, constant: set[int]) -> set[int]:
     return {x for texts in blocks.values() if all(x in constant for x in texts) for x in texts}
 
 
-def extract(html: str, induced: str | None) -> str:
-    """The main text of a page: what neither its tags nor the wrapper of its host mark as template."""
+def extract(html: str, wrapper: frozenset[tuple[int, int]]) -> str:
+    """The main text of a page: what neither its tags nor the wrapper of its host, pairs of structural key or ANY and slot, mark as template."""
     root = parse(html)
     template: set[int] = set()
-    if induced:
-        tree, constant = wrapper(induced)
-        if tree:
-            template = whole_blocks(root, {id(p) for p, q in aligned(root, tree) if p.key == q.key and p.key in constant})
+    if wrapper:
+        found = list(slots(root))
+        kind = skeleton({box for _, _, box in found})
+        template = whole_blocks(root, {id(x) for x, slot, _ in found if (ANY, slot) in wrapper or (kind, slot) in wrapper})
     mains: list[Node] = []
 
     def find(node: Node, tags: tuple[str, ...]) -> None:
@@ -287,28 +233,57 @@ def host(url: Column) -> Column:
     return F.coalesce(F.regexp_replace(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), r"^www\.", ""), F.lit(""))
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages (page_id, url, html).
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, wrapper: the texts that stay constant over the unlike pages (host, html) of a host.
 
-    A wrapper is induced from at most PAGES_PER_HOST pages of a host, those with the smallest hashes in as many classes of hashes; it
-    is then applied to every page of the host. Without a host, or with too few unlike pages, tags and names alone decide. Null or
-    empty html gives an empty text. Repeated rows give repeated rows.
+    All pages are read whole and counted; copies count once. A text is constant if it stands in one slot in two thirds of the
+    host's pages that have its box, or in two thirds of those with one structural key, and in three pages.
     """
-    keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"))
-    h = F.xxhash64("html")
-    slots = keyed.where("host <> '' and html <> ''").groupBy("host", F.pmod(h, F.lit(PAGES_PER_HOST)).alias("slot")).agg(F.min_by("html", h).alias("html"))
-    samples = slots.groupBy("host").agg(F.collect_list("html").alias("htmls"))
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [page_slots(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([np.array(x[2], "<i8").tobytes() for x in found], pa.binary())], ["host", "content", "kind", "slots"])
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([induce(x) for x in batch.column(1).to_pylist()], pa.string())], ["host", "wrapper"])
+            rows = []
+            for host, kind, packed in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                known = np.frombuffer(packed, "<i8").reshape(-1, 2).tolist()
+                rows += [(host, ANY, box, slot) for slot, box in known] + [(host, kind, 0, slot) for slot, _ in known]
+                # the pages themselves have no slot: of the host, of each box, of the structural key
+                rows += [(host, ANY, box, None) for box in {TOP, *(box for _, box in known)}] + [(host, kind, 0, None)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), *[pa.int64()] * 3), strict=True)], ["host", "kind", "box", "slot"])
+
+    unlike = pages.mapInArrow(read, "host string, content long, kind long, slots binary").groupBy("host", "content").agg(F.min(F.struct("kind", "slots")).alias("page"))
+    rows = unlike.select("host", "page.kind", "page.slots").mapInArrow(level, "host string, kind long, box long, slot long")
+    counts = materialise(rows.groupBy("host", "kind", "box", "slot").agg(F.count("*").alias("n")).where("n > 1 or slot is null"), "slots")
+    whole = counts.where("slot is null").select("host", "kind", "box", F.col("n").alias("pages"))
+    constant = counts.where("slot is not null").join(whole, ["host", "kind", "box"]).where("3 * n >= 2 * pages").where("n > 2")
+    return constant.groupBy("host").agg(F.collect_set(F.struct("kind", "slot")).alias("wrapper"))
 
-    wrappers = samples.mapInArrow(learn, "host string, wrapper string")
+
+def main_text(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars for each row of pages (page_id, url, html).
+
+    The wrapper of a host comes from all its pages and is applied to every one of them. Without a host, or with fewer than three unlike pages,
+    tags and names alone decide. Null or empty html gives an empty text. Repeated rows give repeated rows.
+    """
+    keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"))
+    # written, so that its size is known: small ones are broadcast, and of a large one the join splits hot hosts
+    learned = materialise(wrappers(keyed.where("host <> '' and html <> ''").select("host", "html")), "wrappers")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            known: dict[str, frozenset[tuple[int, int]]] = {}
+            texts = []
+            for i in range(batch.num_rows):
+                name = batch.column(4)[i].as_py()
+                if name not in known:
+                    known[name] = frozenset((x["kind"], x["slot"]) for x in batch.column(3)[i].as_py() or [])
+                texts.append(extract(batch.column(2)[i].as_py(), known[name]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    joined = keyed.join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
+    joined = keyed.join(learned, "host", "left").select("page_id", "url", "html", "wrapper", "host")
     return joined.mapInArrow(apply, "page_id long, url string, text string, n_chars long")

@@ -313,3 +313,21 @@ def test_registered_queries(spark):
     digest = {r.doc_id: r.kept_sha256 for r in registry.op4_suffix_array_dedup(spark, DATA).collect()}
     rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
     assert digest == {i: hashlib.sha256(kept).hexdigest() for i, _, _, _, kept in removed(rows, 200)}
+
+
+def extracted(spark, pages):
+    rows = [(i, f"http://{h}/{i}", html) for i, (h, html) in enumerate(pages)]
+    return [r.text for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_wrappers_count_every_page(spark):
+    rng = random.Random(16)
+    body = [prose(rng, "en", 30) for _ in range(48)]
+    late = "<i></i>" * 600 + "<u></u>" * 30_000
+    pages = []
+    for i, x in enumerate(body):
+        notice = "<p>Our stories are read in every town.</p>" if i % 12 else "<section><p>Letters go to the office by the river.</p></section>"
+        if i % 2:
+            notice += "<div><section><p>Half of the pages hold this.</p></section></div>"
+        pages.append(("kinds.example", f"<body><div><p>{x}</p>{late if i < 12 else ''}{notice}</div></body>"))
+    assert extracted(spark, pages) == body
