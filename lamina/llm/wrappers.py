@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import materialise
 
-TOP, ANY = 0, 0
+OWN_WORDS, TOP, ANY = 5, 0, 0
 # Fixed names of HTML.
 CONTAINERS = frozenset("html body div section article main header center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -147,11 +147,13 @@ def skeleton(boxes: set[int]) -> int:
 def page_slots(html: str) -> tuple[int, int, list[tuple[int, int]]]:
     """Content, structural key and distinct (slot, box) of a page.
 
-    Pages of equal content are copies.
+    Pages of equal content are copies: they differ at most in digits and in texts of fewer than OWN_WORDS words (dates, counters).
     """
     found = list(slots(parse(html)))
     known = sorted({(slot, box) for _, slot, box in found})
-    content = hashlib.blake2b(html.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+    texts = {re.sub(r"\d+", "0", " ".join(x.text.split())) for x, _, _ in found}
+    own = {x for x in texts if x.count(" ") >= OWN_WORDS - 1} or texts
+    content = hashlib.blake2b("\n".join(sorted(own)).encode("utf-8", "surrogatepass"), digest_size=8).digest()
     return int.from_bytes(content, "big", signed=True), skeleton({box for _, box in known}), known
 
 
@@ -237,7 +239,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper: the texts that stay constant over the unlike pages (host, html) of a host.
 
     All pages are read whole and counted; copies count once. A text is constant if it stands in one slot in two thirds of the
-    host's pages that have its box, or in two thirds of those with one structural key, and in three pages.
+    host's pages that have its box, or in two thirds of those with one structural key, and in three pages or in both of only two.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,14 +262,15 @@ def wrappers(pages: DataFrame) -> DataFrame:
     rows = unlike.select("host", "page.kind", "page.slots").mapInArrow(level, "host string, kind long, box long, slot long")
     counts = materialise(rows.groupBy("host", "kind", "box", "slot").agg(F.count("*").alias("n")).where("n > 1 or slot is null"), "slots")
     whole = counts.where("slot is null").select("host", "kind", "box", F.col("n").alias("pages"))
-    constant = counts.where("slot is not null").join(whole, ["host", "kind", "box"]).where("3 * n >= 2 * pages").where("n > 2")
+    two = whole.where(f"kind = {ANY} and box = {TOP} and pages = 2").select("host", F.lit(True).alias("two"))
+    constant = counts.where("slot is not null").join(whole, ["host", "kind", "box"]).where("3 * n >= 2 * pages").join(two, "host", "left").where("n > 2 or two")
     return constant.groupBy("host").agg(F.collect_set(F.struct("kind", "slot")).alias("wrapper"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html).
 
-    The wrapper of a host comes from all its pages and is applied to every one of them. Without a host, or with fewer than three unlike pages,
+    The wrapper of a host comes from all its pages and is applied to every one of them. Without a host, or with no two unlike pages,
     tags and names alone decide. Null or empty html gives an empty text. Repeated rows give repeated rows.
     """
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"))

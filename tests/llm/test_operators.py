@@ -331,3 +331,13 @@ def test_wrappers_count_every_page(spark):
             notice += "<div><section><p>Half of the pages hold this.</p></section></div>"
         pages.append(("kinds.example", f"<body><div><p>{x}</p>{late if i < 12 else ''}{notice}</div></body>"))
     assert extracted(spark, pages) == body
+
+
+def test_wrappers_know_copies_from_template(spark):
+    rng = random.Random(17)
+    notice = "<p>" + prose(rng, "en", 200) + "</p>"
+    body = [prose(rng, "en", 12) for _ in range(6)]
+    long_notices = [("long.example" if i < 4 else "two.example", f"<body><div><p>{x}</p>{notice}</div></body>") for i, x in enumerate(body)]
+    assert extracted(spark, long_notices) == body
+    copies = [("copies.example", f"<body><div><p>{body[0]}</p><p>Seen {i} times</p></div></body>") for i in range(4)]
+    assert all(body[0] in x for x in extracted(spark, copies))
