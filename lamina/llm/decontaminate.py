@@ -1,4 +1,4 @@
-"""Benchmark decontamination: latent semantic retrieval of passages, then longest common subsequences and an answer check."""
+"""Benchmark decontamination: word counts that every leak must reach, longest common subsequences, an answer check and latent cosines."""
 
 from __future__ import annotations
 
@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from lamina.llm.text import Words, chunks, text_bytes, words
 
 # Buckets that stand in more than exp(-STOP) of the half passages carry no weight, the others the square of their idf.
-BUCKET_BITS, RANK, HALF, SLICE, STOP, RARE = 14, 64, 16, 256, 2.0, 5.0
-COSINE, SHARE, SURE, ANSWER_WORDS, ANSWER_SHARE = 0.4, 0.6, 0.8, 5, 0.6
-ITEMS_PER_PASS, CHARS_PER_PASS, CHUNK, OVERLAP, SIGNATURE = 512, 256 << 10, 512 << 10, 0.3, 256
+BUCKET_BITS, RANK, HALF, SLICE, STOP = 14, 64, 16, 256, 2.0
+SHARE, SURE, ANSWER_WORDS, ANSWER_SHARE = 0.6, 0.8, 5, 0.6
+# Of an item's words the rarest are counted: as many as a leak may lack, and GATE of them more, which it has to have.
+ITEMS_PER_PASS, CHARS_PER_PASS, CHUNK, GATE, CELLS = 512, 256 << 10, 512 << 10, 0.3, 4 << 20
 
 
 class Space(NamedTuple):
@@ -23,6 +24,14 @@ class Space(NamedTuple):
     map: np.ndarray  # buckets to whitened latent coordinates
 
 
+class Gate(NamedTuple):
+    word: np.ndarray  # hashes of the counted words, sorted
+    first: np.ndarray  # of each word: its place in item and times
+    item: np.ndarray
+    times: np.ndarray
+    needed: np.ndarray  # of each item: count that a leak has at least
+
+
 class Halves(NamedTuple):
     words: Words
     bucket: np.ndarray  # of each word
@@ -162,10 +171,11 @@ def common_length(a: list[int], b: list[int]) -> int:
 def leaks(docs: DataFrame, benchmark: DataFrame, space: Space | None = None) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share: items of the benchmark that a document holds, also paraphrased.
 
-    Every passage of every text of docs (doc_id, text) is compared with every item, in passes of ITEMS_PER_PASS items or CHARS_PER_PASS characters. A candidate
-    has a latent cosine of at least COSINE with a window of the item and OVERLAP of the bits of the window's rare words (idf of RARE or more); it is a leak if the longest common subsequence with the words around the passage has
-    SURE of the item's words, or SHARE of them and the item's last ANSWER_WORDS words are there by ANSWER_SHARE. Null and empty
-    texts and items, items of fewer than ANSWER_WORDS words and rows without an id match nothing. Repeated rows give one row.
+    Every passage of every text of docs (doc_id, text) is compared with every item, in passes of ITEMS_PER_PASS items or CHARS_PER_PASS characters.
+    It is a leak if the longest common subsequence with the words around the passage has SURE of the item's words, or SHARE of them
+    and the item's last ANSWER_WORDS words are there by ANSWER_SHARE. Items of fewer than ANSWER_WORDS words have to stand there word
+    for word. Null and empty texts and items and rows without an id match nothing. Repeated rows give one row. cosine is the best
+    latent cosine of a window of the item and a passage that it leaks to; it decides nothing.
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
@@ -180,75 +190,104 @@ def leaks(docs: DataFrame, benchmark: DataFrame, space: Space | None = None) ->
         rows = sorted((r.item_id, r.text) for r in blocks.where(F.col("block") == k).collect())
         raw, offsets = text_bytes(pa.array([t for _, t in rows], pa.string()))
         w = words(raw, offsets)
-        known = [(i, w.hash[w.first[j] : w.first[j + 1]]) for j, (i, _) in enumerate(rows) if w.first[j + 1] - w.first[j] >= ANSWER_WORDS]
-        sent = spark.sparkContext.broadcast((space, known, *_windows(known, space)))
+        known = [(i, w.hash[w.first[j] : w.first[j + 1]]) for j, (i, _) in enumerate(rows) if w.first[j + 1] > w.first[j]]
+        sent = spark.sparkContext.broadcast((space, known, *_windows(known, space), _gate(known, space)))
         found = texts.mapInArrow(_searcher(sent), schema)
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("cosine", "lcs_share", "answer_share")])
 
 
-def _windows(items: list[tuple[int, np.ndarray]], space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The items' windows of two halves, half by half and from the end: unit latent vectors, item, signature, bits needed."""
-    vectors, owner, marks = [], [], []
-    for k, (_, hashes) in enumerate(items):
+def _windows(items: list[tuple[int, np.ndarray]], space: Space) -> tuple[np.ndarray, np.ndarray]:
+    """The items' windows of two halves, half by half and from the end: unit latent vectors and where each item's begin."""
+    vectors, first = [], [0]
+    for _, hashes in items:
         bucket = (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
         n = len(bucket)
         for a in sorted({*range(0, max(n - HALF, 1), HALF), max(0, n - 2 * HALF)}):
             own = bucket[a : a + 2 * HALF]
             vectors.append((space.map[own] * space.idf[own][:, None]).sum(0))
-            owner.append(k)
-            marks.append(signatures(own, np.zeros(len(own), np.int64), 1, space.idf)[0])
-    has = np.array(marks, np.uint64).reshape(len(marks), SIGNATURE // 64)
+        first.append(len(vectors))
     table = np.array(vectors, np.float32).reshape(len(vectors), space.map.shape[1])
-    return table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-12), np.array(owner, np.int64), has, np.ceil(OVERLAP * np.bitwise_count(has).sum(1)).astype(int)
+    return table / (np.linalg.norm(table, axis=1, keepdims=True) + 1e-12), np.array(first)
 
 
-def signatures(bucket: np.ndarray, row: np.ndarray, rows: int, idf: np.ndarray) -> np.ndarray:
-    """SIGNATURE bits per row: those that the buckets of its rare words fall on."""
-    on = idf[bucket] >= RARE**2
-    table = np.zeros((rows, SIGNATURE), bool)
-    table[row[on], bucket[on] % SIGNATURE] = True
-    return np.packbits(table, axis=1).view(np.uint64)
+def least(n: int) -> int:
+    """Words of an item of n words that any leak of it has."""
+    return n if n < ANSWER_WORDS else next(c for c in range(n + 1) if c / n >= SHARE)
+
+
+def _gate(items: list[tuple[int, np.ndarray]], space: Space) -> Gate:
+    """A leak lacks at most n - least(n) of an item's n words, so of that many and x more words it has x at least."""
+    rows, needed = [], []
+    for k, (_, hashes) in enumerate(items):
+        n = len(hashes)
+        x = min(least(n), max(1, round(GATE * n)))
+        rare = np.lexsort((hashes, -space.idf[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))
+        word, times = np.unique(hashes[rare[: n - least(n) + x]], return_counts=True)
+        rows.append((word, np.full(len(word), k), times))
+        needed.append(x)
+    word, item, times = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
+    order = np.argsort(word, kind="stable")
+    known, first = np.unique(word[order], return_index=True)
+    return Gate(known, np.append(first, len(order)), item[order], times[order], np.array(needed, int))
+
+
+def _candidates(h: Halves, gate: Gate, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(passage, item) where the words around the passage have the count that the gate needs."""
+    n, m = len(h.first), len(sizes)
+    at = np.minimum(np.searchsorted(gate.word, h.words.hash), len(gate.word) - 1)
+    on = np.flatnonzero(gate.word[at] == h.words.hash)
+    half, word = np.divmod(np.unique(h.half[on] * len(gate.word) + at[on]), len(gate.word))
+    count = gate.first[word + 1] - gate.first[word]
+    place = np.arange(count.sum()) + np.repeat(gate.first[word] - np.cumsum(count) + count, count)
+    half, item, times = np.repeat(half, count), gate.item[place], gate.times[place]
+    doc = h.words.doc[h.first]
+    begin, end = (np.searchsorted(doc, doc[h.passage], side) for side in ("left", "right"))
+    reach = -(-sizes // HALF)
+    step = max(1, CELLS // n)
+    for x in range(0, m, step):
+        some = slice(None) if step >= m else np.flatnonzero((item >= x) & (item < x + step))
+        width = min(step, m - x)
+        total = np.zeros((n + 1, width), np.int32)
+        np.cumsum(np.bincount(half[some] * width + item[some] - x, times[some], n * width).astype(np.int32).reshape(n, width), axis=0, out=total[1:])
+        for r in np.unique(reach[x : x + width]):
+            own = np.flatnonzero(reach[x : x + width] == r)
+            part = total[:, own]
+            around = part[np.minimum(h.passage + 2 + r, end)] - part[np.maximum(h.passage - r, begin)]
+            for p, q in zip(*np.nonzero(around >= gate.needed[x + own]), strict=True):
+                yield int(p), x + int(own[q])
 
 
 def _searcher(sent):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, items, table, owner, has, needed = sent.value
+        space, items, table, windows, gate = sent.value
         lists = [x.tolist() for _, x in items]
+        sizes, fewest = np.array([len(x) for x in lists], int), [least(len(x)) for x in lists]
         for batch in batches:
             ids = batch.column(0).to_pylist()
             raw, offsets = text_bytes(batch.column(1))
             out: list[tuple] = []
             for a, b in chunks(offsets, CHUNK):
                 h = halves(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                if not len(h.first) or not len(table):
+                if not len(h.first) or not len(sizes):
                     continue
-                z, _ = sums(h, space.idf, space.map)
-                z /= np.linalg.norm(z, axis=1, keepdims=True) + 1e-12
-                best: dict[tuple[int, int, int], float] = {}
-                bits = signatures(h.bucket, h.half, len(h.first), space.idf)
-                bits = bits[h.passage] | bits[h.last]
-                for x in range(0, len(z), 1024):
-                    y = slice(x, x + 1024)
-                    shared = sum(np.bitwise_count(bits[y, k, None] & has[None, :, k]) for k in range(has.shape[1]))
-                    cosine = z[y] @ table.T
-                    for p, q in zip(*np.nonzero((shared >= needed) & (cosine >= COSINE)), strict=True):
-                        at = x + int(p)
-                        doc, item = int(h.words.doc[h.first[h.passage[at]]]), int(owner[q])
-                        key = (doc, item, int(h.first[h.passage[at]]))
-                        best[key] = max(best.get(key, 0.0), float(cosine[p, q]))
-                for (doc, item, start), cosine in best.items():
-                    n = len(lists[item])
+                for p, item in _candidates(h, gate, sizes):
+                    start, n = int(h.first[h.passage[p]]), len(lists[item])
+                    doc = int(h.words.doc[start])
                     lo = max(int(h.words.first[doc]), start - n)
                     hi = min(int(h.words.first[doc + 1]), start + 2 * HALF + n)
                     near = h.words.hash[lo:hi].tolist()
-                    if sum(map(set(near).__contains__, lists[item])) < SHARE * n:
-                        continue
-                    share = common_length(lists[item], near) / n
-                    if share < SHARE:
+                    if sum(map(set(near).__contains__, lists[item])) < fewest[item]:
                         continue
-                    answer = common_length(lists[item][-ANSWER_WORDS:], near) / ANSWER_WORDS
-                    if share >= SURE or answer >= ANSWER_SHARE:
+                    if n < ANSWER_WORDS:
+                        share = answer = float(any(near[i : i + n] == lists[item] for i in range(len(near) - n + 1)))
+                    else:
+                        share = common_length(lists[item], near) / n
+                        answer = common_length(lists[item][-ANSWER_WORDS:], near) / ANSWER_WORDS if share >= SHARE else 0.0
+                    if share >= SURE or share >= SHARE and answer >= ANSWER_SHARE:
+                        bucket = h.bucket[start : min(int(h.words.first[doc + 1]), start + 2 * HALF)]
+                        z = (space.map[bucket] * space.idf[bucket][:, None]).sum(0)
+                        cosine = float((table[windows[item] : windows[item + 1]] @ z).max() / (np.linalg.norm(z) + 1e-12))
                         out.append((ids[a + doc], items[item][0], cosine, share, answer))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], ["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])

@@ -341,3 +341,35 @@ def test_wrappers_know_copies_from_template(spark):
     assert extracted(spark, long_notices) == body
     copies = [("copies.example", f"<body><div><p>{body[0]}</p><p>Seen {i} times</p></div></body>") for i in range(4)]
     assert all(body[0] in x for x in extracted(spark, copies))
+
+
+@pytest.mark.parametrize("cells", [4 << 20, 40])
+def test_leaks_are_all_that_the_plain_test_finds(spark, monkeypatch, cells):
+    monkeypatch.setattr(decontaminate, "CELLS", cells, raising=False)
+    rng = random.Random(18)
+    vocab = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("an", "er", "ist", "ond", "um")]
+    common = ["the", "of", "and", "to", "in"]
+    text = lambda n: [rng.choice(common if rng.random() < 0.4 else vocab) for _ in range(n)]
+    items = [(i, text(n)) for i, n in enumerate([1, 2, 3, 4, 4, 5, 6, 8, 10, 12, 16, 20, 24, 30, 40, 60] * 2)]
+    rows = []
+    for d in range(240):
+        w, x = text(rng.randrange(0, 150)), items[d % 32][1]
+        x = [y if rng.random() >= (d % 4) * 0.12 else rng.choice(vocab) for y in x]
+        at = rng.randrange(len(w) + 1)
+        rows.append((d, w[:at] + x + w[at:]))
+    want = set()
+    for d, w in rows:
+        for i, x in items:
+            n = len(x)
+            for start in range(0, max(len(w) - 16, 1), 16):
+                near = w[max(0, start - n) : start + 32 + n]
+                if n < 5:
+                    found = any(near[k : k + n] == x for k in range(len(near) - n + 1))
+                else:
+                    share = decontaminate.common_length(x, near) / n
+                    found = share >= 0.8 or share >= 0.6 and decontaminate.common_length(x[-5:], near) / 5 >= 0.6
+                if found:
+                    want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, [(d, " ".join(w)) for d, w in rows]), bench).collect()}
+    assert got == want
