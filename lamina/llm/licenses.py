@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 BASE_CONFIDENCE = 0.9
+# Of scan_sql() only.
 STEMS = ("licen", "copyright", "copyleft", "public domain", "spdx", "all rights reserved", "permission is hereby", "creative commons", "unlicense", "wtfpl", "gpl", "cc by", "cc0", "redistribution and use", "without warranty")
 
 # What each license is called: label, keyword, signature. Single spaces stand between words.
@@ -122,6 +123,12 @@ def rules() -> list[Rule]:
     return [Rule(i, *x) for i, x in enumerate(out)]
 
 
+def keywords() -> list[str]:
+    """The keywords of all names and texts, without those that hold another one: no rule finds anything in a text without any."""
+    found = {r.name_keyword for r in rules()}
+    return sorted(x for x in found if not any(y != x and y in x for y in found))
+
+
 def lowered(text: Column) -> Column:
     """A-Z in lower case. lower() agrees where no other letter has an ASCII letter as its lower case; translate() is slower."""
     odd = text.contains("K") | text.contains("İ")
@@ -172,9 +179,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     first = F.least(*[F.when(hits[p], F.floor(_spaces(F.substring(w, F.lit(1), F.locate(form[p], w) - 1)) / 2)) for p in BASE]).cast("long")
     last = F.greatest(*[F.when(hits[p], F.floor(_spaces(F.substring(w, F.lit(1), F.length(w) + 1 - F.locate(form[p][::-1], F.reverse(w)) - len(form[p]))) / 2)) for p in BASE]).cast("long")
     base = F.array_compact(F.array(*[F.when(hits[p], F.lit(BASE[p])) for p in BASE]))
-    gate = w.contains(STEMS[0])
-    for stem in STEMS[1:]:
-        gate = gate | w.contains(stem.replace(" ", "  "))
+    gate = F.lit(False)
+    for keyword in keywords():
+        gate = gate | w.contains(keyword)
     nothing = F.array().cast("array<struct<start:int,until:int,priority:int,place:int,label:string,confidence:double>>")
     df = df.select(
         id_column,
@@ -212,7 +219,10 @@ def hits_any(hits: dict[str, Column]) -> Column:
 
 
 def scan_sql(source: str = "documents") -> str:
-    """The same result in DuckDB's SQL: detections as rows, suppression by windows over each document."""
+    """The result in DuckDB's SQL: detections as rows, suppression by windows over each document.
+
+    It looks for rules only in texts with one of STEMS; scan() looks in all that have a rule's keyword. Both agree on the former.
+    """
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({r.place}, {quote(r.label)}, {quote(r.keyword)}, {quote(r.name_keyword)}, {quote(r.pattern)}, {r.priority}, {r.confidence}::double)" for r in rules())
     base = " union all ".join(f"select {quote(' ' + p.replace(' ', '  ') + ' ')} phrase, {quote(label)} label" for p, label in BASE.items())

@@ -50,6 +50,12 @@ def test_licenses_match_sql(spark):
     assert any("apache" in r[6] for r in got) and any("gpl-3.0" in r[6] for r in got)
 
 
+def test_licenses_need_no_stem(spark):
+    want = {"Released under Apache 2.0": "apache-2.0", "MPL 2.0": "mpl-2.0", "BSD 3-Clause": "bsd-3-clause", "simplified BSD": "bsd-2-clause", "FreeBSD": "bsd-2-clause", "CeCILL-B": "cecill", "MIT No Attribution": "mit-0", "This program is free software": "gpl", "proprietary and confidential": "proprietary", "Permission to use, copy, modify and/or distribute this software for any purpose": "isc"}
+    got = {r.doc_id: r for r in licenses.scan(documents(spark, list(enumerate(want)))).collect()}
+    assert [got[i].labels for i in range(len(want))] == list(want.values()) and all(r.score > 0 and r.n_detections == 1 for r in got.values())
+
+
 def test_chat_collapse(spark):
     talk = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (2, 0, "user", "hi"), (2, 1, "assistant", "hello"), (2, 2, "user", "more"), (3, 0, "user", "hi"), (3, 1, "assistant", "hello"), (3, 2, "user", "more"), (4, 0, None, None), (5, 0, "user", "hello"), (5, 0, "user", "hello"), (None, 0, "user", "x"), (6, 0, "user", "hi"), (6, 1, "assistant", "other")]
     got = {r.conv_id: r for r in chat.collapse(spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")).collect()}
