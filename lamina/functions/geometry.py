@@ -53,3 +53,132 @@ def normalise_ct(v: Column, mean: float = 106.0, std: float = 53.0, top: float =
 
 def quantise(p: Column) -> Column:
     return F.bround(p * 255).cast("smallint")
+
+
+def parse_region(text: Column) -> Column:
+    """A struct z0, z1, y0, y1, x0, x1, reason of "z0:z1,y0:y1,x0:x1": reason is null if the half-open box is valid."""
+    form = r"^\s*(-?\d+):(-?\d+),(-?\d+):(-?\d+),(-?\d+):(-?\d+)\s*$"
+    names = ("z0", "z1", "y0", "y1", "x0", "x1")
+    parts = {n: F.when(text.rlike(form), F.regexp_extract(text, form, i + 1).cast("long")) for i, n in enumerate(names)}
+    reason = F.when(~F.coalesce(text.rlike(form), F.lit(False)), "form")
+    for axis in "zyx":
+        reason = reason.when(parts[f"{axis}0"] < 0, f"negative {axis}").when(parts[f"{axis}0"] >= parts[f"{axis}1"], f"empty {axis}")
+    return F.struct(*[c.alias(n) for n, c in parts.items()], reason.alias("reason"))
+
+
+def chunk_coordinate(number: Column, gy: int, gx: int) -> list[Column]:
+    """cz, cy, cx of a chunk's number."""
+    return [F.floor(number / (gy * gx)).alias("cz"), (F.floor(number / gx) % gy).alias("cy"), (number % gx).alias("cx")]
+
+
+def level_shape(size: Column, level: Column) -> Column:
+    """Voxels along an axis after level halvings, rounded up."""
+    step = F.pow(F.lit(2.0), level)
+    return F.ceil(size / step)
+
+
+def record_seed(seed: int, record: Column, index: Column) -> Column:
+    """A 32-bit seed of a record and an index."""
+    from lamina.plans.bindings import hash_number
+
+    return hash_number(F.concat_ws(":", F.lit(seed), record, index))
+
+
+def canonical_sha(columns: list[str]) -> Column:
+    """sha256 of the row's JSON with keys in the order of their names; null fields are left out."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+
+
+def compose_affine(a: list[float], b: list[float]) -> list[float]:
+    """The 3x4 matrix that does b first and then a."""
+    out = []
+    for i in range(3):
+        row = a[4 * i : 4 * i + 4]
+        out += [sum(row[k] * b[4 * k + j] for k in range(3)) + (row[3] if j == 3 else 0) for j in range(4)]
+    return out
+
+
+def affine_scale(m: list[float]) -> float:
+    """How many source units make one target unit along an axis: the determinant to the power of -1/3."""
+    det = m[0] * (m[5] * m[10] - m[6] * m[9]) - m[1] * (m[4] * m[10] - m[6] * m[8]) + m[2] * (m[4] * m[9] - m[5] * m[8])
+    return abs(det) ** (-1 / 3)
+
+
+def box_image(origin: list[Column], shape: list[Column], m: list[float], margin: float = 0.0) -> list[Column]:
+    """lo and hi (x, y, z) of a box's image under an affine, by the signs of its coefficients rather than eight corners."""
+    lo, hi = [], []
+    for i in range(3):
+        start = sum((m[4 * i + j] * origin[j] for j in range(3)), F.lit(m[4 * i + 3]))
+        lo.append(start + sum((min(m[4 * i + j], 0.0) * shape[j] for j in range(3)), F.lit(-margin)))
+        hi.append(start + sum((max(m[4 * i + j], 0.0) * shape[j] for j in range(3)), F.lit(margin)))
+    return [*lo, *hi]
+
+
+def window_steps(size: Column, patch: int, overlap: float) -> Column:
+    """First places of windows that cover an axis at even distances with at least that overlap; halves round to even."""
+    step = max(1, round(patch * (1.0 - overlap)))
+    count = F.ceil((size - patch) / step) + 1
+    steps = F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: F.bround(i * (size - patch) / (count - 1)).cast("int"))
+    return F.when(size <= patch, F.array(F.lit(0))).otherwise(steps)
+
+
+def teacher_steps(size: Column, patch: int, share: float) -> Column:
+    """The same with a step of a share of the window, cut to a whole number, and no place beyond the last one."""
+    step = max(1, int(patch * share))
+    count, most = F.ceil((size - patch) / step) + 1, size - patch
+    steps = F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: F.least(F.bround(most / (count - 1) * i), most).cast("int"))
+    return F.when(most <= 0, F.array(F.lit(0))).otherwise(steps)
+
+
+def importance(distances: list[Column], sigma: float, least: float = 1e-4) -> Column:
+    """Gaussian weight of a voxel by its distances from a window's centre."""
+    square = sum((d * d for d in distances[1:]), distances[0] * distances[0])
+    return F.greatest(F.exp(-square / (2 * sigma * sigma)), F.lit(least))
+
+
+def local_origin(centre: list[Column], key: Column, volume: list[int], patch: int, window: int, inset: int) -> list[Column]:
+    """First voxel of a patch around a centre, moved by hashes of a key so that the centre stays in the central window."""
+    from lamina.plans.bindings import hash_number
+
+    low, high = max((patch - window) // 2 + inset, 0), min((patch + window) // 2 - inset, patch - 1)
+    room = max(1, high - low + 1)
+    out = []
+    for i, c in enumerate(centre):
+        local = low + hash_number(F.concat_ws(":", key, F.lit(i))) % room
+        out.append(F.least(F.greatest(F.bround(c).cast("long") - local, F.lit(0)), F.lit(volume[i] - patch)))
+    return out
+
+
+def crosswrap(b: list[Column], centre: tuple[float, float], pitch: float) -> list[Column]:
+    """An end (y, x) pushed away from the centre by the pitch and rounded; null within a distance of 1."""
+    dy, dx = b[0] - centre[0], b[1] - centre[1]
+    size = F.sqrt(dy * dy + dx * dx)
+    return [F.when(size >= 1.0, F.bround(c + pitch * d / size).cast("int")) for c, d in ((b[0], dy), (b[1], dx))]
+
+
+def bezier(a: list[Column], ta: list[Column], b: list[Column], tb: list[Column], samples: int = 20) -> Column:
+    """An array of samples + 1 points (t, y, x) of the cubic curve between two ends with outward tangents."""
+    reach = F.sqrt((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2) / 3
+    controls = [(a[i], a[i] + reach * ta[i], b[i] + reach * tb[i], b[i]) for i in range(2)]
+
+    def at(i: Column) -> Column:
+        t = i / float(samples)
+        u = 1 - t
+        y, x = (u * u * u * p + 3 * u * u * t * q + 3 * u * t * t * r + t * t * t * s for p, q, r, s in controls)
+        return F.struct(t.alias("t"), y.alias("y"), x.alias("x"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(samples)), at)
+
+
+def polyline_length(points: Column) -> Column:
+    """Length of an array of points (y, x)."""
+    n = F.size(points)
+    pairs = F.arrays_zip(F.slice(points, F.lit(1), n - 1).alias("p"), F.slice(points, F.lit(2), n - 1).alias("q"))
+    step = F.transform(pairs, lambda s: F.sqrt((s.q.y - s.p.y) ** 2 + (s.q.x - s.p.x) ** 2))
+    return F.aggregate(step, F.lit(0.0), lambda s, v: s + v)
+
+
+def arc_ratio(a: list[Column], ta: list[Column], b: list[Column], tb: list[Column]) -> Column:
+    """Length of the curve over that of its chord; 1 for ends at one place."""
+    chord = F.sqrt((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2)
+    return F.when(chord < 0.001, 1.0).otherwise(polyline_length(bezier(a, ta, b, tb)) / chord)

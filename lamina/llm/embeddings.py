@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,17 +50,29 @@ def codebooks(sample: np.ndarray, cells: float, seed: int = 7) -> tuple[np.ndarr
     return left, right, float(np.quantile(excess, RECALL))
 
 
-def traverse(vector_excess: tuple[np.ndarray, np.ndarray], radius: float) -> Iterator[tuple[int, int]]:
-    """Cells of the product grid in order of their excess, from the nearest one up to the radius."""
-    lists = [np.flatnonzero(x <= radius) for x in vector_excess]
-    total = vector_excess[0][lists[0]][:, None] + vector_excess[1][lists[1]][None]
-    a, b = np.nonzero(total <= radius)
-    for i in np.argsort(total[a, b], kind="stable"):
-        yield int(lists[0][a[i]]), int(lists[1][b[i]])
+def traverse(excess: tuple[np.ndarray, np.ndarray], radius: float) -> Iterator[tuple[int, int]]:
+    """Cells of the product grid from the nearest one up to the radius: the multi-sequence algorithm over two sorted lists.
+
+    A heap holds the next cells: a cell goes in once both cells before it, along either list, have been visited.
+    """
+    first, second = (np.flatnonzero(x <= radius) for x in excess)
+    first, second = first[np.argsort(excess[0][first], kind="stable")], second[np.argsort(excess[1][second], kind="stable")]
+    a, b = excess[0][first].tolist(), excess[1][second].tolist()
+    heap, seen = [(a[0] + b[0], 0, 0)] if a and b else [], set()
+    while heap and heap[0][0] <= radius:
+        _, i, j = heapq.heappop(heap)
+        seen.add((i, j))
+        yield int(first[i]), int(second[j])
+        if i + 1 < len(a) and (j == 0 or (i + 1, j - 1) in seen):
+            heapq.heappush(heap, (a[i + 1] + b[j], i + 1, j))
+        if j + 1 < len(b) and (i == 0 or (i - 1, j + 1) in seen):
+            heapq.heappush(heap, (a[i] + b[j + 1], i, j + 1))
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Vectors of length 1; the largest component is scaled to 1 first, so that squares neither vanish nor overflow."""
+    scaled = vectors / np.abs(vectors).max(1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -81,7 +94,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     sizes = nodes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).collect()
     found = None
     for row in sorted(sizes, key=lambda r: r.dim):
-        part = _linked(nodes.where(F.size("v") == row.dim), row.dim, row.n / row.labels / PER_CELL, threshold)
+        part = _linked(nodes.where(F.size("v") == row.dim), row.dim, row.n, row.labels, threshold)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "node long, other long, links long")
@@ -96,9 +109,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _linked(nodes: DataFrame, dim: int, cells: float, threshold: float) -> DataFrame:
+def _linked(nodes: DataFrame, dim: int, n: int, labels: int, threshold: float) -> DataFrame:
     """Rows (node, null, links) to be summed, and rows (node, other, 0): edges of spanning forests."""
-    picked = nodes.select("v").orderBy(F.xxhash64("k1", F.lit(3)), "node").limit(SAMPLE).collect()
+    cells, h = n / labels / PER_CELL, F.xxhash64("k1", F.lit(3))
+    # about twice the sample passes the bound, so that few vectors go to the driver from however many partitions
+    few = nodes.where(F.pmod(h, F.lit(1 << 30)) <= int(min(1, 2 * SAMPLE / n) * (1 << 30)))
+    picked = few.select("v").orderBy(h, "node").limit(SAMPLE).collect()
     sample = _unit(np.array([r.v for r in picked], float))
     if dim == 1:
         sample = np.hstack([sample, np.zeros_like(sample)])
@@ -138,8 +154,7 @@ def _linked(nodes: DataFrame, dim: int, cells: float, threshold: float) -> DataF
         nothing = pd.DataFrame({"node": pd.Series([], dtype="int64"), "other": pd.Series([], dtype="Int64"), "links": pd.Series([], dtype="int64")})
         if query.empty or data.empty:
             return nothing
-        a, b = np.stack(query["v"].to_list()), np.stack(data["v"].to_list())
-        cosine = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None])
+        cosine = _unit(np.stack(query["v"].to_list())) @ _unit(np.stack(data["v"].to_list())).T
         qn, dn = query["node"].to_numpy(), data["node"].to_numpy()
         i, j = np.nonzero((cosine >= threshold) & (qn[:, None] < dn[None]))
         if not len(i):

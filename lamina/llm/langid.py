@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.text import chunks, text_bytes
@@ -105,14 +105,22 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame) -> ByteNet | None:
     """Fits the network on at most SAMPLE_PER_LANGUAGE rows of each language, SAMPLE_BYTES characters from the middle of each.
 
-    docs has text and lang. The rows are those with the smallest hashes of the text, so the sample is the same whatever the
-    partitions. None if no row has a text and a language.
+    docs has text and lang. The rows are different texts with the smallest hashes, so the sample is the same whatever the
+    partitions and copies take no room in it. None if no row has a text and a language.
     """
-    known = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}"))
+    known = docs.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not sizes:
+        return None
+    # about twice the rows wanted, so that the ranks are of few rows
+    share = {lang: int(min(1, 2 * SAMPLE_PER_LANGUAGE / max(n, 1)) * (1 << 30)) for lang, n in sizes.items()}
+    bound = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang"))
+    few = known.where(F.pmod(F.col("h"), F.lit(1 << 30)) <= bound).dropDuplicates(["lang", "h"])
     middle = F.substring("text", F.greatest(F.lit(1), F.floor((F.length("text") - SAMPLE_BYTES) / 2).cast("int")), F.lit(SAMPLE_BYTES))
-    ranked = known.select("lang", middle.alias("text"), F.xxhash64("text").alias("h"))
-    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
-    rows = [r for x in languages for r in ranked.where(F.col("lang") == x).orderBy("h", "text").limit(SAMPLE_PER_LANGUAGE).collect()]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = few.withColumn("place", place).where(F.col("place") <= SAMPLE_PER_LANGUAGE).select("lang", middle.alias("text"), "h").collect()
+    rows.sort(key=lambda r: (r.lang, r.h))
+    languages = sorted(sizes)
     if not rows:
         return None
     raw, offsets = text_bytes(pa.array([r.text for r in rows], pa.string()))
@@ -121,8 +129,8 @@ def train(docs: DataFrame) -> ByteNet | None:
     return ByteNet(languages).train(x, y)
 
 
-def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
-    """doc_id, lang_pred, score for each row of docs (doc_id, text): the mean log probability over all windows of the text decides.
+def identify(docs: DataFrame, net: ByteNet | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score and the columns to keep for each row of docs (doc_id, text): the mean log probability over all windows of the text decides.
 
     score is the share of the winner among the languages. A null text and one without a letter are "und" with score 0, as is every
     text if there is no network. Repeated rows give repeated rows.
@@ -147,13 +155,15 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
                     best[a:b], score[a:b] = z.argmax(1), (p / p.sum(1, keepdims=True)).max(1)
             names = np.array([*(net.labels if net else []), UNKNOWN], object)
             best = np.where(letters & bool(net), best, len(names) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(np.where(letters & bool(net), score, 0.0))], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(np.where(letters & bool(net), score, 0.0)), *(batch.column(k) for k in keep)], ["doc_id", "lang_pred", "score", *keep])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), "text", letters.alias("letters")).mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", letters.alias("letters"), *(k for k in keep if k != "text"))
+    kept = "".join(f", `{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
+    return rows.mapInArrow(predict, f"doc_id long, lang_pred string, score double{kept}")
 
 
-def run(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: trained on the rows of docs that are not held out."""
+def run(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and the columns to keep: trained on the rows of docs that are not held out."""
     net = train(docs.where(~held_out(F.col("doc_id"))).select("text", "lang"))
-    return identify(docs, net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return identify(docs, net, keep).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", *keep)

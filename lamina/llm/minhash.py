@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.common import components, materialise, small_batches
@@ -62,8 +62,13 @@ def bag_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs
     return h
 
 
+def row_hash() -> Column:
+    """Tells rows of different ids or texts apart; one id may stand in rows of several texts."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, k1 and k2 (hashes of the word sequence), bands (empty without words), sketch (16 bits of each register)."""
+    """doc_id, row (a hash of id and text), n_words, k1 and k2 (hashes of the words), bands (empty without words), sketch (16 bits of each register)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,9 +90,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 has = np.flatnonzero(count)
                 sketch = [x.tobytes() for x in mix(h.reshape(n, -1)).astype("<u2")]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(count > 0, BANDS, 0))]).astype(np.int32)), pa.array(mix(band[has].reshape(-1)).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(count.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists, pa.array(sketch, pa.binary())], ["doc_id", "n_words", "k1", "k2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(count.astype(np.int64)), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists, pa.array(sketch, pa.binary())], ["doc_id", "row", "n_words", "k1", "k2", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_words long, k1 long, k2 long, bands array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", row_hash()).mapInArrow(sign, "doc_id long, row long, n_words long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -254,23 +259,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Documents of equal word sequences are one node. Nodes that share a band are compared through two pivots of the bucket, then, where
     a bucket still holds several classes, with all nodes of the others. So every pair of a bucket ends in one class or has been
     compared. A class's id is its smallest doc_id. A text without words, null and empty ones too, is a class of its own; a
-    null doc_id is kept and has no class. Rows that repeat a doc_id are one document.
+    null doc_id is kept and has no class. Rows of one doc_id and different texts are compared as different documents.
     """
     small_batches(docs.sparkSession)
     signed = materialise(signatures(docs), "signatures")
     real = signed.where("n_words > 0 and doc_id is not null")
-    nodes = materialise(real.groupBy("k1", "k2", "n_words").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = real.groupBy("k1", "k2", "n_words").agg(F.min(F.struct("doc_id", "row")).alias("one"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = materialise(nodes.select("k1", "k2", "n_words", F.col("one.row").alias("node"), F.col("one.doc_id").alias("least"), "bands", "sketch"), "nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("p1"), F.min(F.struct(F.xxhash64("node"), "node")).alias("p2")).where("n > 1").drop("n")
     member = materialise(buckets.join(shared, ["band", "key"]), "buckets")
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = docs.where("doc_id is not null").select(row_hash().alias("doc_id"), "text")
     pairs = member.select("node", F.explode(F.array("p1", "p2.node")).alias("pivot")).where("node <> pivot")
     pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     links = materialise(verified(likely(pairs, nodes, threshold), texts, threshold), "links")
     labels = materialise(first_labels(links), "labels")
     links = links.unionByName(materialise(leftover(member, labels, nodes, texts, threshold), "leftover"))
     classes = components(links)
-    of_node = nodes.select("k1", "k2", "n_words", "node").join(classes, "node", "left").select("k1", "k2", "n_words", F.coalesce("component", "node").alias("component_id"))
+    of_node = nodes.select("k1", "k2", "n_words", "node", "least").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = of_node.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_node = of_node.join(ids, "component").select("k1", "k2", "n_words", "component_id")
     out = real.select("doc_id", "n_words", "k1", "k2").join(of_node, ["k1", "k2", "n_words"]).select("doc_id", "n_words", "component_id")
     alone = signed.where("n_words = 0 or doc_id is null").select("doc_id", "n_words", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).select("doc_id", "n_words", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -49,7 +49,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,39 +37,72 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
     return w, out
 
 
-def chains(w: Words) -> tuple[np.ndarray, int]:
-    """Each word's cell in a table of chains of CHAIN words; a chain stays within a document."""
+def chains(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's cell in a table of rows of CHAIN words, and each row's document; a document's rows follow each other."""
     count = np.diff(w.first)
     rows = -(-count // CHAIN)
     place = np.arange(len(w.doc)) - w.first[w.doc]
     row = (np.cumsum(rows) - rows)[w.doc] + place // CHAIN
-    return row * CHAIN + place % CHAIN, int(rows.sum())
-
-
-def marginals(emission: np.ndarray, transition: np.ndarray, cell: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over all chains at once: P(toxic) of each word, and the expected transitions (2, 2)."""
+    return row * CHAIN + place % CHAIN, np.repeat(np.arange(len(count)), rows)
+
+
+def _carried(product: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The state before each row of a document and the one after it, from the rows' products of transitions."""
+    rows = len(doc)
+    ahead, behind = np.zeros((rows, 2)), np.ones((rows, 2))
+    ahead[:, 0] = 1
+    new = np.ones(rows, bool)
+    new[1:] = doc[1:] != doc[:-1]
+    rank = np.arange(rows) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    order = np.argsort(rank, kind="stable")
+    bounds = np.append(0, np.cumsum(np.bincount(rank)))
+    for k in range(1, len(bounds) - 1):
+        at = order[bounds[k] : bounds[k + 1]]
+        x = (ahead[at - 1][:, None] @ product[at - 1])[:, 0]
+        ahead[at] = x / x.sum(1, keepdims=True)
+    for k in range(len(bounds) - 2, 0, -1):
+        at = order[bounds[k] : bounds[k + 1]]
+        x = (product[at] @ behind[at][:, :, None])[:, :, 0]
+        behind[at - 1] = x / x.sum(1, keepdims=True)
+    return ahead, behind
+
+
+def marginals(emission: np.ndarray, transition: np.ndarray, cell: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over whole documents: P(toxic) of each word, and the expected transitions (2, 2).
+
+    All rows of the table are worked on at once: first the product of each row's transitions, then the states carried from row to
+    row of a document, then each row from the states at its ends.
+    """
+    rows = len(doc)
     table, inside = np.zeros((rows, CHAIN)), np.zeros((rows, CHAIN), bool)
     table.reshape(-1)[cell] = np.clip(emission, -30, 30)
     inside.reshape(-1)[cell] = True
-    potential, step = np.exp(table), np.exp(transition)
+    table, inside = np.ascontiguousarray(table.T), np.ascontiguousarray(inside.T)
+    potential, step = np.stack([np.ones((CHAIN, rows)), np.exp(table)], 2), np.exp(transition)
+    start = np.ones(rows, bool)
+    start[1:] = doc[1:] != doc[:-1]
+    product = np.where(start[:, None, None], 1.0, step[None]) * potential[0][:, None, :]  # a document begins in either tag alike
+    for t in range(1, CHAIN):
+        x = (product @ step) * potential[t][:, None, :]
+        product = np.where(inside[t][:, None, None], x / x.sum((1, 2), keepdims=True), product)
+    ahead, behind = _carried(product, doc)
     alpha = np.zeros((CHAIN, rows, 2))
-    alpha[0] = np.stack([np.ones(rows), potential[:, 0]], 1)
+    alpha[0] = np.where(start[:, None], 1.0, ahead @ step) * potential[0]
     alpha[0] /= alpha[0].sum(1, keepdims=True)
     for t in range(1, CHAIN):
-        a = alpha[t - 1] @ step
-        a[:, 1] *= potential[:, t]
-        alpha[t] = np.where(inside[:, t, None], a / a.sum(1, keepdims=True), alpha[t - 1])
-    beta, out, pairs = np.ones((rows, 2)), np.zeros((rows, CHAIN)), np.zeros((2, 2))
+        a = (alpha[t - 1] @ step) * potential[t]
+        alpha[t] = np.where(inside[t][:, None], a / a.sum(1, keepdims=True), alpha[t - 1])
+    beta, out, pairs = behind, np.zeros((rows, CHAIN)), np.zeros((2, 2))
     for t in range(CHAIN - 1, -1, -1):
         both = alpha[t] * beta
         out[:, t] = both[:, 1] / both.sum(1)
+        b = beta * potential[t]
+        joint = (alpha[t - 1] if t else ahead)[:, :, None] * step[None] * b[:, None, :]
+        joint /= joint.sum((1, 2), keepdims=True)
+        pairs += joint[inside[t] & (t > 0 or ~start)].sum(0)
         if t:
-            b = beta * np.stack([np.ones(rows), potential[:, t]], 1)
-            joint = alpha[t - 1][:, :, None] * step[None] * b[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            pairs += joint[inside[:, t]].sum(0)
             back = b @ step.T
-            beta = np.where(inside[:, t, None], back / back.sum(1, keepdims=True), beta)
+            beta = np.where(inside[t][:, None], back / back.sum(1, keepdims=True), beta)
     return out.reshape(-1)[cell], pairs
 
 
@@ -97,17 +130,17 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         count[toxic[i], np.unique(f[a:b])] += 1
     strong = (count[1] >= SEEN) & (count[1] / n[1] >= ODDS * (count[0] + 0.3) / n[0])
     tag = (strong[f].any(1) & (toxic[w.doc] == 1)).astype(float)
-    cell, rows = chains(w)
+    cell, row_doc = chains(w)
     emission, transition = np.zeros(size), np.zeros((2, 2))
     gain_e, gain_t = np.full(size, 1e-3), np.full((2, 2), 1e-3)
     base = np.log((tag.sum() + 1) / (len(tag) + 2))
     emission_bias = np.full(1, base)
     gain_b = np.full(1, 1e-3)
-    same = (w.doc[1:] == w.doc[:-1]) & (cell[1:] == cell[:-1] + 1) & (cell[1:] % CHAIN > 0)
+    same = w.doc[1:] == w.doc[:-1]
     observed = np.zeros((2, 2))
     np.add.at(observed, (tag[:-1][same].astype(int), tag[1:][same].astype(int)), 1)
     for _ in range(EPOCHS):
-        p, pairs = marginals(emission[f].sum(1) + emission_bias[0], transition, cell, rows)
+        p, pairs = marginals(emission[f].sum(1) + emission_bias[0], transition, cell, row_doc)
         miss = tag - p
         g = np.bincount(f.reshape(-1), weights=np.repeat(miss, f.shape[1]), minlength=size) - 0.02 * emission
         gain_e += g * g
@@ -119,7 +152,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         gain_b += g * g
         emission_bias += 0.3 * g / np.sqrt(gain_b)
     emission[:] += emission_bias[0] / f.shape[1]
-    p, _ = marginals(emission[f].sum(1), transition, cell, rows)
+    p, _ = marginals(emission[f].sum(1), transition, cell, row_doc)
     x, y = aggregates(w, p, len(texts)), toxic.astype(float)
     weights = np.zeros(x.shape[1])
     for _ in range(50):
@@ -161,8 +194,8 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             out, spans = np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
             for a, b in chunks(offsets) if model else ():
                 w, f = features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                cell, rows = chains(w)
-                p = marginals(model.emission[f].sum(1), model.transition, cell, rows)[0] if rows else np.zeros(0)
+                cell, row_doc = chains(w)
+                p = marginals(model.emission[f].sum(1), model.transition, cell, row_doc)[0] if len(row_doc) else np.zeros(0)
                 z = aggregates(w, p, b - a) @ model.document
                 out[a:b] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 last = -2

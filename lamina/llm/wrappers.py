@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -27,6 +28,8 @@ DROPPED = frozenset("head script style noscript template nav footer aside form b
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-?bar|aside|menu|nav|navbar|navigation|topbar|footer|masthead|site-?header|page-?header|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|subscribe|subscription|newsletter|signup|login|comments?|replies|reply|disqus|discussion|respond|shar(?:e|ing)|social|related|recommend\w*|widget|pagination|pager|toolbar|skip-?link|copyright)(?:$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
+# Parts of class names that say nothing about what a node holds.
+NEUTRAL = re.compile(r"(?:\d+|[a-z]|box|block|wrap|wrapper|container|inner|outer|section|bar|list|item|items|area|unit|slot|form|top|bottom|left|right|main|site|page|post|article|content|side|user|reader|links?|buttons?|tools?|media|stories|posts|articles|end|head|title|module|component|in|up|now|us|by|js)", re.I)
 
 
 class Node:
@@ -45,6 +48,7 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.count: Counter[str] = Counter()  # open nodes of each tag
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in CLOSES_P:
@@ -55,16 +59,24 @@ class Tree(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open[-1].tag == tag and tag in ("svg", "path", "g", "circle", "rect"):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
+
+    def _cut(self, i: int) -> None:
+        for node in self.open[i:]:
+            self.count[node.tag] -= 1
+        del self.open[i:]
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.count[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._cut(i)
                 return
 
     def handle_data(self, data: str) -> None:
@@ -75,15 +87,17 @@ class Tree(HTMLParser):
             top.children.append(Node("#text", text=data))
 
     def _close(self, tags: tuple[str, ...], stops: tuple[str, ...]) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in tags:
-                del self.open[i:]
+                self._cut(i)
                 return
             if self.open[i].tag in stops:
                 return
 
     def _boilerplate(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        inside = any(n.tag in ("article", "main") for n in self.open)
+        inside = self.count["article"] + self.count["main"] > 0
         if tag in DROPPED or tag == "header" and not inside:
             return True
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in ROLES:
@@ -91,7 +105,9 @@ class Tree(HTMLParser):
         if tag in ("html", "body", "main") or tag == "article" and not inside and not re.search("comment|related|promo|teaser", attrs.get("class") or ""):
             return False
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        return bool(NAMES.search(names)) or not inside and bool(HEADER.search(names))
+        if inside:  # "copyright-law" and "related-work" can be what an article is about
+            return any(NAMES.search(name) and all(NAMES.search(part) or NEUTRAL.fullmatch(part) for part in re.split("[_-]+", name) if part) for name in names.split())
+        return bool(NAMES.search(names) or HEADER.search(names))
 
 
 def parse(html: str) -> Node:
@@ -179,57 +195,58 @@ def extract(html: str, wrapper: frozenset[tuple[int, int]]) -> str:
         found = list(slots(root))
         kind = skeleton({box for _, _, box in found})
         template = whole_blocks(root, {id(x) for x, slot, _ in found if (ANY, slot) in wrapper or (kind, slot) in wrapper})
-    mains: list[Node] = []
-
-    def find(node: Node, tags: tuple[str, ...]) -> None:
-        for x in node.children:
-            if x.dropped:
-                continue
-            if x.tag in tags:
-                mains.append(x)
-            else:
-                find(x, tags)
-
-    find(root, ("article",))
-    if not mains:
-        find(root, ("main",))
+    mains = topmost(root, "article") or topmost(root, "main")
     out: list[str] = []
 
-    def emit(node: Node) -> None:
-        if node.dropped or id(node) in template:
-            return
-        if node.tag == "#text":
-            out.append(node.text)
-            return
-        block = node.tag in BLOCKS
-        if block:
-            out.append("\n")
-        if not (block and node.tag in ("ul", "ol", "div", "section", "table", "p") and links(node)):
-            for x in node.children:
-                emit(x)
-        if block:
-            out.append("\n")
-
-    def links(node: Node) -> bool:
-        """A list of links rather than prose: outside an article only."""
-        if mains:
-            return False
-        inside = total = 0
-        stack = [(x, False) for x in node.children]
-        while stack:
-            x, linked = stack.pop()
-            if x.tag == "#text":
-                n = len(x.text.strip())
-                total, inside = total + n, inside + n * linked
-            elif not x.dropped:
-                stack.extend((y, linked or x.tag == "a") for y in x.children)
-        return total > 0 and inside > 0.6 * total
-
-    for x in mains or [root]:
-        emit(x)
+    # characters, characters in links and links below each node that isn't dropped
+    facts: dict[int, list[int]] = {}
+    order: list[tuple[Node, Node | None]] = []
+    walked: list[tuple[Node, Node | None, bool]] = [(root, None, False)]
+    while walked and not mains:
+        x, above, linked = walked.pop()
+        n = len(x.text.strip()) if x.tag == "#text" else 0
+        facts[id(x)] = [n, n * linked, int(x.tag == "a")]
+        order.append((x, above))
+        walked.extend((y, x, linked or x.tag == "a") for y in x.children if not y.dropped)
+    for x, above in reversed(order):
+        if above is not None:
+            facts[id(above)] = [p + q for p, q in zip(facts[id(above)], facts[id(x)], strict=True)]
+
+    def listed(node: Node) -> bool:
+        """A list of links rather than prose, by most of its characters; one link alone is none."""
+        total, inside, anchors = facts[id(node)]
+        return anchors > 1 and inside > 0.6 * total
+
+    stack: list[Node | str] = list(reversed(mains or [root]))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.tag == "#text":
+            if id(x) not in template:
+                out.append(x.text)
+        elif not x.dropped:
+            block = x.tag in BLOCKS
+            if block:
+                out.append("\n")
+                stack.append("\n")
+            if mains or x.tag not in ("ul", "ol", "div", "section", "table", "p") or not listed(x):
+                stack.extend(reversed(x.children))
     return " ".join("".join(out).split())
 
 
+def topmost(root: Node, tag: str) -> list[Node]:
+    """Nodes of the tag that are in no other one, nor in what is dropped, in page order."""
+    found, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x.tag == tag:
+            found.append(x)
+        else:
+            stack.extend(y for y in reversed(x.children) if not y.dropped)
+    return found
+
+
 def host(url: Column) -> Column:
     """Host name in lower case without www, user and port; empty if there is none."""
     return F.coalesce(F.regexp_replace(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), r"^www\.", ""), F.lit(""))

@@ -58,6 +58,12 @@ def voxel_components(mask: DataFrame, connectivity: int = 6) -> DataFrame:
     return nodes.join(found, "node", "left").select("z", "y", "x", F.coalesce("component", "node").alias("component"))
 
 
+def component_facts(labels: DataFrame, by: list[str], least: int) -> DataFrame:
+    """components, meaningful (of at least so many voxels), largest and its fraction for each group of labelled voxels."""
+    sizes = labels.groupBy(*by, "component").agg(F.count("*").alias("n"))
+    return sizes.groupBy(*by).agg(F.count("*").alias("components"), F.count_if(F.col("n") >= least).alias("meaningful"), F.max("n").alias("largest"), F.round(F.max("n") / F.sum("n"), 6).alias("fraction"))
+
+
 def greedy_select(items: DataFrame, conflicts: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Ids that a greedy walk in order of priority would accept, skipping what conflicts with an accepted one.
 

@@ -50,14 +50,15 @@ def pairs_within(points: DataFrame, reach: int, keep: Column | None = None) -> D
     return near.select("plane", "a", "b", F.round(F.sqrt(d2), 6).alias("distance"))
 
 
-def nearest(a: DataFrame, b: DataFrame, reach: int) -> DataFrame:
-    """For each point of a (id, y, x) its nearest point of b within reach; the smaller id on ties."""
+def nearest(a: DataFrame, b: DataFrame, reach: int, by: list[str] | None = None) -> DataFrame:
+    """For each point of a (id, y, x) its nearest point of b within reach and, if given, of the same by; the smaller id on ties."""
+    by = by or []
     cell = {"cy": F.floor(F.col("y") / reach), "cx": F.floor(F.col("x") / reach)}
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
-    left = a.withColumns(cell).select(F.col("id").alias("a"), F.col("y").alias("ay"), F.col("x").alias("ax"), "cy", "cx", around).select("a", "ay", "ax", (F.col("cy") + F.col("o.i")).alias("cy"), (F.col("cx") + F.col("o.j")).alias("cx"))
-    right = b.withColumns(cell).select(F.col("id").alias("b"), F.col("y").alias("by"), F.col("x").alias("bx"), "cy", "cx")
+    left = a.withColumns(cell).select(F.col("id").alias("a"), *by, F.col("y").alias("ay"), F.col("x").alias("ax"), "cy", "cx", around).select("a", *by, "ay", "ax", (F.col("cy") + F.col("o.i")).alias("cy"), (F.col("cx") + F.col("o.j")).alias("cx"))
+    right = b.withColumns(cell).select(F.col("id").alias("b"), *by, F.col("y").alias("by"), F.col("x").alias("bx"), "cy", "cx")
     d2 = (F.col("ay") - F.col("by")) ** 2 + (F.col("ax") - F.col("bx")) ** 2
-    near = left.join(right, ["cy", "cx"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach)
+    near = left.join(right, [*by, "cy", "cx"]).withColumn("d2", d2).where(F.col("d2") <= reach * reach)
     return near.groupBy("a").agg(F.min(F.struct("d2", "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.round(F.sqrt("m.d2"), 6).alias("distance"))
 
 

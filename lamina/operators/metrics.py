@@ -13,9 +13,15 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.greatest(b, F.lit(1))
 
 
+def hit_at(threshold: float) -> Column:
+    """score >= threshold in float32; a null score and not-a-number are misses."""
+    score = F.col("score").cast("float")
+    return F.coalesce((score >= F.lit(threshold).cast("float")) & ~F.isnan(score), F.lit(False))
+
+
 def confusion(df: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """tp, fp, fn, tn, known for each group: scores compare as float32 with >=."""
-    hit, real = F.col("score").cast("float") >= F.lit(threshold).cast("float"), F.col("target") == 1
+    hit, real = hit_at(threshold), F.col("target") == 1
     return df.where(F.col("target") != UNKNOWN).groupBy(*by).agg(F.count_if(hit & real).alias("tp"), F.count_if(hit & ~real).alias("fp"), F.count_if(~hit & real).alias("fn"), F.count_if(~hit & ~real).alias("tn"), F.count("*").alias("known"))
 
 
@@ -24,8 +30,9 @@ def threshold_counts(df: DataFrame, thresholds: list[float], by: list[str]) -> D
 
     A score falls into the bin of the number of thresholds that it reaches; counts at a threshold are cumulative from the top.
     """
-    table = F.array(*[F.lit(t).cast("float") for t in thresholds])
-    bins = df.where(F.col("target") != UNKNOWN).withColumn("bin", F.size(F.filter(table, lambda t: F.col("score").cast("float") >= t)))
+    table, score = F.array(*[F.lit(t).cast("float") for t in thresholds]), F.col("score").cast("float")
+    reached = F.when(score.isNull() | F.isnan(score), 0).otherwise(F.size(F.filter(table, lambda t: score >= t)))
+    bins = df.where(F.col("target") != UNKNOWN).withColumn("bin", reached)
     counts = bins.groupBy(*by, "bin").agg(F.count_if(F.col("target") == 1).alias("real"), F.count("*").alias("n"))
     totals = counts.groupBy(*by).agg(F.sum("real").alias("positive"), F.sum("n").alias("known"))
     every = totals.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(thresholds)))))
@@ -52,7 +59,7 @@ def pooled_macro(counts: DataFrame) -> DataFrame:
 
 def stratified(df: DataFrame, strata: list[str], threshold: float) -> DataFrame:
     """Confusion counts and Dice of the scores and of the baseline for each value of each stratum, and the gain."""
-    known = df.where(F.col("target") != UNKNOWN).withColumns({"hit": F.col("score") >= F.lit(threshold).cast("float"), "real": F.col("target") == 1})
+    known = df.where(F.col("target") != UNKNOWN).withColumns({"hit": hit_at(threshold), "real": F.col("target") == 1})
     long = known.select("hit", "real", "baseline", F.explode(F.array(*[F.struct(F.lit(s).alias("stratum"), F.col(s).cast("string").alias("level")) for s in strata])).alias("s"))
     parts = [F.count_if(F.col(p) & F.col("real")).alias(f"tp_{p}") for p in ("hit", "baseline")] + [F.count_if(F.col(p)).alias(f"n_{p}") for p in ("hit", "baseline")]
     sums = long.groupBy(F.col("s.stratum").alias("stratum"), F.col("s.level").alias("level")).agg(F.count("*").alias("known"), F.count_if("real").alias("positive"), *parts)
@@ -61,16 +68,36 @@ def stratified(df: DataFrame, strata: list[str], threshold: float) -> DataFrame:
 
 
 def ranking(df: DataFrame, by: list[str], bins: int = 2048) -> DataFrame:
-    """Average precision, AUROC and the best Dice from a histogram of tied scores in [0, 1]."""
-    b = F.least(F.floor(F.col("score").cast("double") * bins), F.lit(bins - 1)).cast("int")
+    """Average precision, AUROC, Dice at one half, the best Dice with its threshold, and prevalence, from a histogram of tied scores.
+
+    Scores are clipped to [0, 1] and rounded to bins, halves to even; null and not-a-number are 0. The best Dice is that of the
+    highest threshold on ties.
+    """
+    score = F.col("score").cast("double")
+    clipped = F.least(F.greatest(F.when(score.isNull() | F.isnan(score), 0.0).otherwise(score), F.lit(0.0)), F.lit(1.0))
+    b = F.bround(clipped * (bins - 1)).cast("int")
     counts = df.where(F.col("target") != UNKNOWN).groupBy(*by, b.alias("bin")).agg(F.count_if(F.col("target") == 1).alias("p"), F.count_if(F.col("target") == 0).alias("n"))
     down = Window.partitionBy(*by).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     c = counts.select("*", F.sum("p").over(down).alias("cp"), F.sum("n").over(down).alias("cn"), F.sum("p").over(whole).alias("tp"), F.sum("n").over(whole).alias("tn"))
     ap = F.sum(F.col("p") / F.greatest("tp", F.lit(1)) * F.col("cp") / (F.col("cp") + F.col("cn")))
     roc = F.sum(F.col("n") * (F.col("cp") - F.col("p") / 2.0)) / F.greatest(F.max("tp") * F.max("tn"), F.lit(1))
-    best = F.max(2 * F.col("cp") / (F.col("tp") + F.col("cp") + F.col("cn")))
-    return c.groupBy(*by).agg(F.round(ap, 6).alias("ap"), F.round(roc, 6).alias("auroc"), F.round(best, 6).alias("best_dice"))
+    dice = 2 * F.col("cp") / (F.col("tp") + F.col("cp") + F.col("cn"))
+    best = F.max_by("bin", F.struct(F.round(dice, 12), "bin")) / (bins - 1)
+    half = F.min_by(dice, F.when(F.col("bin") >= round(0.5 * (bins - 1)), F.col("bin")))
+    return c.groupBy(*by).agg(F.round(ap, 6).alias("ap"), F.round(roc, 6).alias("auroc"), F.round(F.max(dice), 6).alias("best_dice"), F.round(best, 6).alias("best_threshold"), F.round(half, 6).alias("dice_at_half"), F.round(F.max("tp") / (F.max("tp") + F.max("tn")), 6).alias("prevalence"))
+
+
+def mask_agreement(df: DataFrame, by: list[str]) -> DataFrame:
+    """iou and agreement of two masks (boolean columns a and b) over the rows of each group."""
+    a, b = F.col("a"), F.col("b")
+    c = df.groupBy(*by).agg(F.count_if(a & b).alias("i"), F.count_if(a).alias("a"), F.count_if(b).alias("b"), F.count("*").alias("n"))
+    return c.select(*by, F.round(ratio(F.col("i"), F.col("a") + F.col("b") - F.col("i")), 6).alias("iou"), F.round((F.col("n") - F.col("a") - F.col("b") + 2 * F.col("i")) / F.col("n"), 6).alias("agreement"))
+
+
+def nan_means(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Means of columns without null and not-a-number, and the number of cases."""
+    return df.groupBy(*by).agg(*[F.round(F.avg(F.nanvl(F.col(c), F.lit(None).cast("double"))), 4).alias(c) for c in columns], F.count("*").alias("cases"))
 
 
 def otsu(df: DataFrame, by: list[str], value: str, bins: int = 256) -> DataFrame:

@@ -42,17 +42,23 @@ def erode(mask: DataFrame, connectivity: int, n: int = 1) -> DataFrame:
     return out
 
 
+def cross(steps: int) -> list[tuple[int, int, int]]:
+    """Offsets of at most so many steps along the axes."""
+    r = range(-steps, steps + 1)
+    return [(z, y, x) for z in r for y in r for x in r if abs(z) + abs(y) + abs(x) <= steps]
+
+
 def max_filter(field: DataFrame, value: str, connectivity: int) -> DataFrame:
     """Largest value of the neighbourhood at each known voxel."""
     spread = shifted(field, [(0, 0, 0), *offsets(connectivity)], value).groupBy(*CELL).agg(F.max(value).alias("filtered"))
     return field.select(*CELL).join(spread, CELL)
 
 
-def l1_depth(mask: DataFrame, cap: int = 17) -> DataFrame:
-    """Number of erosions (6 neighbours) that a voxel survives plus one, at most cap."""
+def l1_depth(mask: DataFrame, cap: int = 17, connectivity: int = 6) -> DataFrame:
+    """Number of erosions that a voxel survives plus one, at most cap; 4 neighbours stay in a plane."""
     out = left = materialise(mask.select(*CELL).distinct().withColumn("depth", F.lit(1)), "depth1")
     for depth in range(2, cap + 1):
-        left = materialise(erode(left, 6).withColumn("depth", F.lit(depth)), f"depth{depth}")
+        left = materialise(erode(left, connectivity).withColumn("depth", F.lit(depth)), f"depth{depth}")
         if not left.take(1):
             break
         out = out.unionByName(left)

@@ -22,12 +22,22 @@ SCORES = "scores as (select l_returnflag as scroll, l_suppkey as cluster, l_orde
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """z, y, x, value, other: one row per known voxel."""
-    cell = [(F.col("l_suppkey") % 8).cast("int").alias("z"), (F.col("l_partkey") % 64).cast("int").alias("y"), (F.col("l_orderkey") % 64).cast("int").alias("x")]
+    """z, y, x, value, other: one row per known voxel. Planes are pairs for each 1024 order keys, so their number grows with the rows."""
+    cell = [(F.floor(F.col("l_orderkey") / 1024) * 2 + F.col("l_linenumber") % 2).cast("int").alias("z"), (F.col("l_partkey") % 64).cast("int").alias("y"), (F.col("l_orderkey") % 64).cast("int").alias("x")]
     return load(spark, sf_dir, "lineitem").groupBy(*cell).agg(F.max("l_discount").alias("value"), F.max("l_tax").alias("other"))
 
 
-GRID = "grid as (select cast(l_suppkey % 8 as int) as z, cast(l_partkey % 64 as int) as y, cast(l_orderkey % 64 as int) as x, max(l_discount) as value, max(l_tax) as other from lineitem group by all)"
+GRID = "grid as (select cast(l_orderkey // 1024 * 2 + l_linenumber % 2 as int) as z, cast(l_partkey % 64 as int) as y, cast(l_orderkey % 64 as int) as x, max(l_discount) as value, max(l_tax) as other from lineitem group by all)"
+
+
+MASK = f"{GRID}, mask as (select z, y, x from grid where value >= 0.07), ref as (select z, y, x from grid where other >= 0.06), strong as (select z, y, x from grid where value >= 0.09)"
+N6 = "(values (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1))"
+N4 = "(values (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1))"
+LABELS = "{name} as (with recursive node as (select z * 4096 + y * 64 + x as id, z, y, x from {src}), edge as (select a.id as a, b.id as b from node a, node b where a.z = b.z and (abs(a.y - b.y) + abs(a.x - b.x)) = 1), reach(id, label) as (select id, id from node union select edge.b, reach.label from reach join edge on edge.a = reach.id where reach.label < edge.b) select z, y, x, min(label) as label from reach join node using (id) group by all)"
+
+
+def mask(s: SparkSession, d: str, least: float = 0.07, column: str = "value") -> DataFrame:
+    return grid(s, d).where(F.col(column) >= least).select("z", "y", "x")
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,29 +9,16 @@ from pyspark.sql import functions as F
 
 from lamina.functions import geometry
 from lamina.operators import graph, joins, metrics, quality, sampling, stencils, windows
-from lamina.plans.bindings import GRID, PATCHES, SCORES, THRESHOLDS, grid, hash_number, hash_number_sql, load, patches, scores
+from lamina.plans import audits, rules  # noqa: F401 (registers its queries)
+from lamina.plans.bindings import GRID, LABELS, MASK, N4, N6, PATCHES, SCORES, THRESHOLDS, grid, hash_number, hash_number_sql, load, mask, patches, scores
+from lamina.plans.registry import QUERIES, SQL, query
 from lamina.sources import manifests
 from lamina.sources.shared import materialise, shared_dir
 from lamina.streaming import counts as streams
 
 FLAGSHIP = "best_threshold"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 T = "(select unnest([" + ", ".join(map(str, THRESHOLDS)) + "]) as threshold)"
 COUNTS = f"{SCORES}, counts as (select scroll, cast(threshold as double) as threshold, count(*) filter (where score >= cast(threshold as float) and target = 1) as tp, count(*) filter (where score >= cast(threshold as float) and target = 0) as fp, count(*) filter (where score < cast(threshold as float) and target = 1) as fn, count(*) as known, count(*) filter (where target = 1) as positive from scores, {T} where target <> 2 group by all)"
-MASK = f"{GRID}, mask as (select z, y, x from grid where value >= 0.07), ref as (select z, y, x from grid where other >= 0.06), strong as (select z, y, x from grid where value >= 0.09)"
-N6 = "(values (-1, 0, 0), (1, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1))"
-N4 = "(values (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1))"
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -42,10 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
-def mask(s: SparkSession, d: str, least: float = 0.07, column: str = "value") -> DataFrame:
-    return grid(s, d).where(F.col(column) >= least).select("z", "y", "x")
-
-
 def swept(s: SparkSession, d: str) -> DataFrame:
     return metrics.threshold_counts(scores(s, d), THRESHOLDS, ["scroll"])
 
@@ -92,7 +75,7 @@ def stratified_counts(s: SparkSession, d: str) -> DataFrame:
     return metrics.stratified(scores(s, d).withColumn("patch_band", F.col("patch") % 5), ["scroll", "patch_band"], 0.3)
 
 
-@query(f"with {SCORES}, b as (select scroll, cast(least(floor(cast(score as double) * 2048), 2047) as int) as bin, count(*) filter (where target = 1) as p, count(*) filter (where target = 0) as n from scores where target <> 2 group by all), c as (select *, sum(p) over w as cp, sum(n) over w as cn, sum(p) over (partition by scroll) as tp, sum(n) over (partition by scroll) as tn from b window w as (partition by scroll order by bin desc rows unbounded preceding)) select scroll, round(sum(p / greatest(tp, 1) * cp / (cp + cn)), 6) as ap, round(sum(n * (cp - p / 2)) / greatest(max(tp) * max(tn), 1), 6) as auroc, round(max(2 * cp / (tp + cp + cn)), 6) as best_dice from c group by scroll")
+@query(f"with {SCORES}, b as (select scroll, cast(round_even(least(greatest(cast(score as double), 0), 1) * 2047, 0) as int) as bin, count(*) filter (where target = 1) as p, count(*) filter (where target = 0) as n from scores where target <> 2 group by all), c as (select *, sum(p) over w as cp, sum(n) over w as cn, sum(p) over (partition by scroll) as tp, sum(n) over (partition by scroll) as tn from b window w as (partition by scroll order by bin desc rows unbounded preceding)) select scroll, round(sum(p / greatest(tp, 1) * cp / (cp + cn)), 6) as ap, round(sum(n * (cp - p / 2)) / greatest(max(tp) * max(tn), 1), 6) as auroc, round(max(2 * cp / (tp + cp + cn)), 6) as best_dice, round(arg_max(bin, (round(2 * cp / (tp + cp + cn), 12), bin)) / 2047, 6) as best_threshold, round(arg_min(2 * cp / (tp + cp + cn), bin) filter (where bin >= 1024), 6) as dice_at_half, round(max(tp) / (max(tp) + max(tn)), 6) as prevalence from c group by scroll")
 def ranking_metrics(s: SparkSession, d: str) -> DataFrame:
     return metrics.ranking(scores(s, d), ["scroll"])
 
@@ -114,15 +97,14 @@ def loss_components(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {SCORES}, s as (select l_suppkey % 8 as z, count(*) filter (where l_discount >= 0.05 and l_tax >= 0.04) as i, count(*) filter (where l_discount >= 0.05) as a, count(*) filter (where l_tax >= 0.04) as b, count(*) as n from lineitem group by 1) select z, round(i / greatest(a + b - i, 1), 6) as iou, round((n - a - b + 2 * i) / n, 6) as agreement from s")
 def mask_agreement(s: SparkSession, d: str) -> DataFrame:
-    a, b = F.col("l_discount") >= 0.05, F.col("l_tax") >= 0.04
-    c = load(s, d, "lineitem").groupBy((F.col("l_suppkey") % 8).alias("z")).agg(F.count_if(a & b).alias("i"), F.count_if(a).alias("a"), F.count_if(b).alias("b"), F.count("*").alias("n"))
-    return c.select("z", F.round(metrics.ratio(F.col("i"), F.col("a") + F.col("b") - F.col("i")), 6).alias("iou"), F.round((F.col("n") - F.col("a") - F.col("b") + 2 * F.col("i")) / F.col("n"), 6).alias("agreement"))
+    rows = load(s, d, "lineitem").select((F.col("l_suppkey") % 8).alias("z"), (F.col("l_discount") >= 0.05).alias("a"), (F.col("l_tax") >= 0.04).alias("b"))
+    return metrics.mask_agreement(rows, ["z"])
 
 
 @query("select s_nationkey as grp, round(avg(case when s_acctbal < 0 then null else s_acctbal end), 4) as mean, count(*) as cases from supplier group by all")
 def nan_means(s: SparkSession, d: str) -> DataFrame:
     value = F.when(F.col("s_acctbal") < 0, float("nan")).otherwise(F.col("s_acctbal"))
-    return load(s, d, "supplier").groupBy(F.col("s_nationkey").alias("grp")).agg(F.round(F.avg(F.nanvl(value, F.lit(None).cast("double"))), 4).alias("mean"), F.count("*").alias("cases"))
+    return metrics.nan_means(load(s, d, "supplier").select(F.col("s_nationkey").alias("grp"), value.alias("mean")), ["grp"], ["mean"])
 
 
 # Windows
@@ -197,12 +179,12 @@ def points_in_boxes(s: SparkSession, d: str) -> DataFrame:
     return joins.points_in_boxes(points, boxes, 32)
 
 
-ENDPOINTS = "endpoints as (select o_orderkey as id, cast(o_custkey % 8 as int) as plane, cast(o_orderkey * 7919 % 2000 as int) as y, cast(o_orderkey * 104729 % 2000 as int) as x from orders)"
+ENDPOINTS = "endpoints as (select o_orderkey as id, cast(o_orderkey // 500 as int) as plane, cast((o_orderkey * 7919 + o_custkey * 31) % 1000 as int) as y, cast((o_custkey * 104729 + o_orderkey) % 1000 as int) as x from orders)"
 
 
 def endpoints(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return load(s, d, "orders").select(k.alias("id"), (F.col("o_custkey") % 8).cast("int").alias("plane"), (k * 7919 % 2000).cast("int").alias("y"), (k * 104729 % 2000).cast("int").alias("x"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return load(s, d, "orders").select(k.alias("id"), F.floor(k / 500).cast("int").alias("plane"), ((k * 7919 + c * 31) % 1000).cast("int").alias("y"), ((c * 104729 + k) % 1000).cast("int").alias("x"))
 
 
 NEAR = f"{ENDPOINTS}, near as (select a.plane, a.id as a, b.id as b, round(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2), 6) as distance from endpoints a, endpoints b where a.plane = b.plane and a.id < b.id and abs(a.y - b.y) <= 12 and abs(a.x - b.x) <= 12 and (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 144)"
@@ -213,10 +195,10 @@ def pairs_within_reach(s: SparkSession, d: str) -> DataFrame:
     return joins.pairs_within(endpoints(s, d), 12)
 
 
-@query(f"with {ENDPOINTS}, p as (select a.id as a, b.id as b, (a.y - b.y) ** 2 + (a.x - b.x) ** 2 as d2 from endpoints a, endpoints b where a.plane = 0 and b.plane = 1 and abs(a.y - b.y) <= 25 and abs(a.x - b.x) <= 25) select a, b, round(sqrt(d2), 6) as distance from (select *, row_number() over (partition by a order by d2, b) as k from p where d2 <= 625) where k = 1")
+@query(f"with {ENDPOINTS}, p as (select a.id as a, b.id as b, (a.y - b.y) ** 2 + (a.x - b.x) ** 2 as d2 from endpoints a, endpoints b where a.plane + 1 = b.plane and abs(a.y - b.y) <= 25 and abs(a.x - b.x) <= 25) select a, b, round(sqrt(d2), 6) as distance from (select *, row_number() over (partition by a order by d2, b) as k from p where d2 <= 625) where k = 1")
 def nearest_neighbour(s: SparkSession, d: str) -> DataFrame:
     e = endpoints(s, d)
-    return joins.nearest(e.where("plane = 0"), e.where("plane = 1"), 25)
+    return joins.nearest(e, e.withColumn("plane", F.col("plane") - 1), 25, ["plane"])
 
 
 @query(f"with {MASK}, n as (select z + dz as z, y + dy as y, x + dx as x, m.z as oz from mask m, {N6} o(dz, dy, dx)) select cz, cy, cx, count(*) as voxels from (select distinct z, y, x, cast(floor(z / 4) as bigint) as cz, cast(floor(y / 4) as bigint) as cy, cast(floor(x / 4) as bigint) as cx from n) group by all")
@@ -267,10 +249,11 @@ def pyramid(s: SparkSession, d: str) -> DataFrame:
     return stencils.pyramid(grid(s, d).select("z", "y", "x", "value"), "value", 3)
 
 
-@query(f"with {GRID}, p as (select case when f & 1 > 0 then 7 - z else z end as z, case when f & 2 > 0 then 63 - y else y end as y, case when f & 4 > 0 then 63 - x else x end as x, value + f / 100 as p from grid, unnest(range(8)) t(f)) select z, y, x, round(avg(p), 6) as p, count(*) as views from p group by all")
+@query(f"with {GRID}, p as (select case when f & 1 > 0 then (select max(z) from grid) - z else z end as z, case when f & 2 > 0 then 63 - y else y end as y, case when f & 4 > 0 then 63 - x else x end as x, value + f / 100 as p from grid, unnest(range(8)) t(f)) select z, y, x, round(avg(p), 6) as p, count(*) as views from p group by all")
 def mirror_average(s: SparkSession, d: str) -> DataFrame:
     seen = grid(s, d).select("z", "y", "x", F.col("value"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("flip"))
-    return stencils.mirror_average(seen.withColumn("p", F.col("value") + F.col("flip") / 100), (8, 64, 64))
+    planes = 1 + (grid(s, d).agg(F.max("z")).first()[0] or 0)
+    return stencils.mirror_average(seen.withColumn("p", F.col("value") + F.col("flip") / 100), (planes, 64, 64))
 
 
 @query(f"with {GRID}, p as (select z, y, x, oz * 4 as oz, oy * 8 as oy, ox * 8 as ox, value as p from (select *, unnest([z // 4, z // 4 - 1]) as oz, y // 8 as oy, x // 8 as ox from grid) where oz >= 0), w as (select z, y, x, p, greatest(exp(-(((z - oz - 3.5) / 1.0) ** 2 + ((y - oy - 3.5) / 1.0) ** 2 + ((x - ox - 3.5) / 1.0) ** 2) / 2), 1e-4) as w from p) select z, y, x, round(sum(p * w) / sum(w), 6) as p, count(*) as windows from w group by all")
@@ -290,9 +273,6 @@ def chunk_round_trip(s: SparkSession, d: str) -> DataFrame:
 # Components
 
 
-LABELS = "{name} as (with recursive node as (select z * 4096 + y * 64 + x as id, z, y, x from {src}), edge as (select a.id as a, b.id as b from node a, node b where a.z = b.z and (abs(a.y - b.y) + abs(a.x - b.x)) = 1), reach(id, label) as (select id, id from node union select edge.b, reach.label from reach join edge on edge.a = reach.id where reach.label < edge.b) select z, y, x, min(label) as label from reach join node using (id) group by all)"
-
-
 @query(f"with {MASK}, {LABELS.format(name='lab', src='strong')} select z, label % 4096 // 64 as cy, label % 64 as cx, count(*) as voxels from lab group by z, label")
 def voxel_components(s: SparkSession, d: str) -> DataFrame:
     found = graph.voxel_components(mask(s, d, 0.09), 4)
@@ -302,8 +282,7 @@ def voxel_components(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {MASK}, {LABELS.format(name='lab', src='strong')}, sizes as (select z, label, count(*) as n from lab group by all) select z, count(*) as components, count(*) filter (where n >= 3) as meaningful, max(n) as largest, round(max(n) / sum(n), 6) as fraction from sizes group by z")
 def component_facts(s: SparkSession, d: str) -> DataFrame:
-    sizes = graph.voxel_components(mask(s, d, 0.09), 4).groupBy("z", "component").agg(F.count("*").alias("n"))
-    return sizes.groupBy("z").agg(F.count("*").alias("components"), F.count_if(F.col("n") >= 3).alias("meaningful"), F.max("n").alias("largest"), F.round(F.max("n") / F.sum("n"), 6).alias("fraction"))
+    return graph.component_facts(graph.voxel_components(mask(s, d, 0.09), 4), ["z"], 3)
 
 
 @query(f"with {MASK}, sparse as (select z, y, x from grid where other >= 0.08), {LABELS.format(name='cand', src='strong')}, {LABELS.format(name='refs', src='sparse')}, big as (select label from refs group by label having count(*) >= 2), pairs as (select c.label as c, r.label as r, count(*) as n from cand c join refs r using (z, y, x) where r.label in (select label from big) group by all), b as (select c, count(*) as \"references\", cast(sum(n) as bigint) as voxels from pairs group by c having count(*) > 1) select count(*) as bridging, cast(coalesce(sum(\"references\" - 1), 0) as bigint) as excess, cast(coalesce(sum(voxels), 0) as bigint) as voxels from b")
@@ -355,11 +334,10 @@ def merge_manifests(s: SparkSession, d: str) -> DataFrame:
     return quality.merge_manifests({"first": p.where("known"), "second": p.where("not known")}).groupBy("origin", "split").agg(F.count("*").alias("n"))
 
 
-@query("select side, key, count(*) as n from ((select o_custkey as key, 'left' as side from orders where o_custkey not in (select c_custkey + 5 from customer)) union all (select c_custkey + 5 as key, 'right' as side from customer where c_custkey + 5 not in (select o_custkey from orders))) group by all")
+@query("select side, key, count(*) as n from (select 'left' as side, key from (select o_custkey as key from orders except all select c_custkey + 5 from customer) union all select 'right', key from (select c_custkey + 5 as key from customer except all select o_custkey from orders)) group by all")
 def set_differences(s: SparkSession, d: str) -> DataFrame:
     a, b = load(s, d, "orders").select(F.col("o_custkey").alias("key")), load(s, d, "customer").select((F.col("c_custkey") + 5).alias("key"))
-    only = a.join(b, "key", "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, "key", "left_anti").withColumn("side", F.lit("right")))
-    return only.groupBy("side", "key").agg(F.count("*").alias("n"))
+    return quality.set_differences(a, b).groupBy("side", "key").agg(F.count("*").alias("n"))
 
 
 @query(f"with {MASK} select side, count(*) as n from (select 'left' as side from (select * from mask except all select * from ref) union all select 'right' from (select * from ref except all select * from mask)) group by all")

@@ -114,9 +114,12 @@ def test_near_duplicates_are_all_pairs(spark, monkeypatch):
 
 def test_group_sort():
     rng = random.Random(5)
-    for _ in range(1500):
-        t = [rng.randint(1, rng.choice([1, 2, 4])) for _ in range(rng.randint(1, 50))] + [0]
-        assert repeats.group_sort(t) == sorted(range(len(t)), key=lambda i: t[i:])
+    for _ in range(200):
+        texts = [[*(rng.randint(1, rng.choice([1, 2, 4])) for _ in range(rng.randint(0, 50))), 0] for _ in range(rng.randint(1, 30))]
+        lanes = np.cumsum([0, *map(len, texts)])
+        found = repeats.group_sort(np.concatenate([np.array(t) for t in texts]), lanes)
+        for t, a in zip(texts, lanes.tolist(), strict=False):
+            assert (found[a : a + len(t)] - a).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
 def removed(rows, length):
@@ -214,24 +217,41 @@ def test_toxic_words_are_learned(spark):
     assert len(none) == 3 and all(0 <= r.score <= 1 and r.spans == [] for r in none)
 
 
-def test_marginals_are_exact():
+def test_marginals_are_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHAIN", 3)
     rng = np.random.default_rng(11)
-    e, t = rng.normal(size=5), rng.normal(size=(2, 2))
-    p, _ = toxicity.marginals(e, t, np.arange(5), 1)
-    total, one = 0.0, np.zeros(5)
-    for k in range(32):
-        tags = [k >> i & 1 for i in range(5)]
-        w = np.exp(sum(e[i] * tags[i] for i in range(5)) + sum(t[tags[i], tags[i + 1]] for i in range(4)))
-        total, one = total + w, one + w * np.array(tags)
-    assert np.allclose(p, one / total)
+    sizes = [5, 1, 9, 3, 7]
+    e, t = rng.normal(size=sum(sizes)), rng.normal(size=(2, 2))
+    cell, doc, at = [], [], 0
+    for d, n in enumerate(sizes):
+        rows = -(-n // 3)
+        cell += [(len(doc) + i // 3) * 3 + i % 3 for i in range(n)]
+        doc += [d] * rows
+    p, pairs = toxicity.marginals(e, t, np.array(cell), np.array(doc))
+    want, want_pairs = [], np.zeros((2, 2))
+    for n in sizes:
+        total, one, two = 0.0, np.zeros(n), np.zeros((2, 2))
+        for k in range(1 << n):
+            tags = [k >> i & 1 for i in range(n)]
+            w = np.exp(sum(e[at + i] * tags[i] for i in range(n)) + sum(t[tags[i], tags[i + 1]] for i in range(n - 1)))
+            total, one = total + w, one + w * np.array(tags)
+            for i in range(n - 1):
+                two[tags[i], tags[i + 1]] += w
+        want += list(one / total)
+        want_pairs += two / total
+        at += n
+    assert np.allclose(p, want) and np.allclose(pairs, want_pairs)
 
 
 def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
     rng = random.Random(12)
     rows = [(i, prose(rng, "en", int(rng.paretovariate(0.6)) % 4000)) for i in range(400)] + [(1000 + i, t) for i, (_, t) in enumerate(AWKWARD)]
-    got = packing.pack(documents(spark, rows, True), registry.tokenizer_path("byte_bpe_50k.tiktoken")).collect()
-    encode = packing.encoder(registry.tokenizer_path("byte_bpe_50k.json"))
-    ids = {i: [*encode(t or ""), 2] for i, t in rows}
+    rows += [(2000, "a <|endoftext|> b"), (2001, " " * 1_000_000), (2002, "x" + "\n" * 300_000 + "y"), (2003, "don't\u3000\u00a0 1234 \U0001f600<|endoftext|>"), (2004, "word " * 200_000)]
+    path = registry.tokenizer_path("byte_bpe_50k.json")
+    got = packing.pack(documents(spark, rows, True), path).collect()
+    ids = {i: [*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
         by_doc[r.doc_id].append(r)
@@ -265,6 +285,23 @@ def test_plan_places_every_piece():
     assert packing.plan({}) == ([], 0)
 
 
+def test_packing_of_an_empty_table_and_a_missing_id(spark):
+    path = registry.tokenizer_path("byte_bpe_50k.json")
+    assert packing.pack(documents(spark, []), path).count() == 0
+    rows = packing.pack(documents(spark, [(None, "a b"), (None, "a b"), (1, None)]), path).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 3), (0, 3), (1, 1)] and len({(r.sequence_id, r.offset) for r in rows}) == 3
+
+
+def test_the_fast_encoder_is_the_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    path = registry.tokenizer_path("byte_bpe_50k.json")
+    encode, plain = packing.encoder(path), Tokenizer.from_file(path)
+    texts = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    texts += [f"a{chr(c)}b {chr(c)}1{chr(c)} \n{chr(c)} x" for c in [*range(0xD800), *range(0xE000, 0x30000, 7)]]
+    assert all(encode(t) == e.ids for t, e in zip(texts, plain.encode_batch_fast(texts, add_special_tokens=False), strict=True))
+
+
 def test_wrappers(spark):
     rng = random.Random(14)
     rows, want = [], {}
@@ -379,3 +416,84 @@ def test_leaks_are_all_that_the_plain_test_finds(spark, monkeypatch, cells):
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, [(d, " ".join(w)) for d, w in rows]), bench).collect()}
     assert got == want
+
+
+def test_repeats_with_many_segments_of_one_gram(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 4)
+    rng = random.Random(19)
+    line, passage = "this very common line stands in a great many of the texts, " * 2, prose(rng, "de", 70)
+    rows = [(i, prose(rng, "en", 12) + line + prose(rng, "en", 12)) for i in range(60)]
+    rows += [(100 + i, prose(rng, "en", 20) + passage + prose(rng, "en", 20)) for i in range(60)]
+    near = prose(rng, "en", 120).split()
+    for i in range(40):
+        copy = list(near)
+        copy[rng.randrange(len(copy))] = f"new{rng.randrange(99)}"
+        rows.append((200 + i, " ".join(copy)))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove(documents(spark, rows)).collect()]
+    assert sorted(got) == sorted(removed(rows, 200))
+
+
+def test_repeats_of_long_texts_and_odd_ids(spark):
+    rng = random.Random(20)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(3_000_000))
+    rows = [(-(1 << 62), long), (5, long[1_000_000:1_000_300] + "!"), (6, "q" * 300_000), (7, None)]
+    got = {r.doc_id: r for r in repeats.remove(documents(spark, rows)).collect()}
+    assert got[-(1 << 62)].n_removed == 300 and got[-(1 << 62)].n_spans == 1 and bytes(got[5].kept) == b"!"
+    assert got[6].n_removed == 300_000 and got[7].n_bytes == 0
+    assert repeats.remove(documents(spark, [])).count() == 0
+
+
+def test_whole_characters():
+    raw = np.frombuffer("aé漢x".encode(), np.uint8)
+    mask = np.zeros(len(raw), bool)
+    mask[[2, 3]] = True
+    assert raw[~repeats.whole_characters(raw, mask)].tobytes() == b"ax"
+
+
+def test_embeddings_of_any_size(spark):
+    rng = np.random.default_rng(21)
+    rows = []
+    for i in range(50):
+        v = rng.normal(size=8)
+        rows += [(2 * i, [float(x) for x in v], 1), (2 * i + 1, [float(x) for x in v * 1.0001 + rng.normal(size=8) * 0.01], 1)]
+    rows += [(500, [1e-200] * 8, 1), (501, [2e-200] * 8, 1), (502, [1e200] * 8, 1), (503, [1e200] * 7 + [9e199], 1), (504, [5e-324, 0.0] * 4, 1), (504, [5e-324, 0.0] * 4, 1)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], "vec_id long, embedding array<double>, label int, cell int, query int")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    assert sum(got[i] for i in range(100)) >= 98 and got[500] == got[501] == got[502] == got[503] == 3 and got[504] == 1
+
+
+def test_traversal_is_in_order():
+    rng = np.random.default_rng(22)
+    for _ in range(40):
+        a, b = rng.random(9), rng.random(7)
+        a, b = a - a.min(), b - b.min()
+        cells = list(embeddings.traverse((a, b), 0.8))
+        want = sorted((a[i] + b[j], i, j) for i in range(9) for j in range(7) if a[i] + b[j] <= 0.8)
+        assert cells == [(i, j) for _, i, j in want]
+
+
+def test_pages_of_any_depth_and_class(spark):
+    deep = "<div>" * 5000 + "deep text" + "</div>" * 5000
+    pages = [
+        ("", deep),
+        ("", "<b>" * 20_000 + "bold" + "</i>" * 20_000),
+        ("a.example", '<article><p>One.</p><div class="copyright-law"><p>Two.</p></div><p class="related-work">Three.</p><div class="share-buttons">no</div><div class="comments">no</div></article>'),
+        ("b.example", '<body><p><a href="/x">A whole paragraph that is one link.</a></p></body>'),
+        ("c.example", "<body><ul><li><a>one</a><li><a>two</a></ul><p>Text.</p></body>"),
+        ("d.example", "\x00<!-- <p>no</p> --><p>&#x41;&amp;&notanentity;&eacute; x y</p><script>no</script>"),
+    ]
+    rows = [(i, f"http://{h}/{i}" if h else None, html, "x") for i, (h, html) in enumerate(pages)]
+    df = spark.createDataFrame([*rows, rows[2], (99, None, None, "x")], "page_id long, url string, html string, host string")
+    got = [(r.page_id, r.text) for r in wrappers.main_text(df).orderBy("page_id").collect()]
+    texts = dict(got)
+    assert texts[0] == "deep text" and texts[1] == "bold" and texts[2] == "One. Two. Three." and texts[3] == "A whole paragraph that is one link."
+    assert texts[4] == "Text." and texts[5] == "A&&notanentity;é x y" and texts[99] == "" and [i for i, _ in got].count(2) == 2
+    assert wrappers.main_text(df.limit(0)).count() == 0
+
+
+def test_one_id_may_have_several_texts(spark):
+    rng = random.Random(23)
+    a, b = prose(rng, "en", 80), prose(rng, "de", 80)
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, prose(rng, "en", 50))]
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(documents(spark, rows, True)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
