@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 BASE_CONFIDENCE = 0.9
-# Of scan_sql() only.
-STEMS = ("licen", "copyright", "copyleft", "public domain", "spdx", "all rights reserved", "permission is hereby", "creative commons", "unlicense", "wtfpl", "gpl", "cc by", "cc0", "redistribution and use", "without warranty")
 
 # What each license is called: label, keyword, signature. Single spaces stand between words.
 NAMES = (
-    ("gpl-1.0", "gpl", "gpl (?:v|v ?1|version 1)(?: 0)?"),
+    ("gpl-1.0", "gpl", "gpl (?:v ?1|version 1)(?: 0)?"),
     ("gpl-2.0", "general public license", "gnu general public license (?:as published by the free software foundation )?(?:either )?(?:v2|v 2|version 2|2)(?: 0)?"),
     ("gpl-3.0", "general public license", "gnu general public license (?:as published by the free software foundation )?(?:either )?(?:v3|v 3|version 3|3)(?: 0)?"),
     ("gpl-2.0", "gpl", "(?:gnu )?gpl ?(?:v2|v 2|version 2|2)(?: 0)?(?: only| or later)?"),
@@ -219,14 +217,11 @@ def hits_any(hits: dict[str, Column]) -> Column:
 
 
 def scan_sql(source: str = "documents") -> str:
-    """The result in DuckDB's SQL: detections as rows, suppression by windows over each document.
-
-    It looks for rules only in texts with one of STEMS; scan() looks in all that have a rule's keyword. Both agree on the former.
-    """
+    """The result in DuckDB's SQL: detections as rows, suppression by windows over each document."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({r.place}, {quote(r.label)}, {quote(r.keyword)}, {quote(r.name_keyword)}, {quote(r.pattern)}, {r.priority}, {r.confidence}::double)" for r in rules())
     base = " union all ".join(f"select {quote(' ' + p.replace(' ', '  ') + ' ')} phrase, {quote(label)} label" for p, label in BASE.items())
-    gate = " or ".join(f"contains(w, {quote(s.replace(' ', '  '))})" for s in STEMS)
+    gate = " or ".join(f"contains(w, {quote(s)})" for s in keywords())
     return f"""
 with t as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') ws from {source}),
 d as (select rid, doc_id, len(ws) n_words, ' ' || array_to_string(ws, '  ') || ' ' w from t),

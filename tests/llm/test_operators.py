@@ -51,7 +51,7 @@ def test_licenses_match_sql(spark):
 
 
 def test_licenses_need_no_stem(spark):
-    want = {"Released under Apache 2.0": "apache-2.0", "MPL 2.0": "mpl-2.0", "BSD 3-Clause": "bsd-3-clause", "simplified BSD": "bsd-2-clause", "FreeBSD": "bsd-2-clause", "CeCILL-B": "cecill", "MIT No Attribution": "mit-0", "This program is free software": "gpl", "proprietary and confidential": "proprietary", "Permission to use, copy, modify and/or distribute this software for any purpose": "isc"}
+    want = {"Released under Apache 2.0": "apache-2.0", "MPL 2.0": "mpl-2.0", "BSD 3-Clause": "bsd-3-clause", "simplified BSD": "bsd-2-clause", "FreeBSD": "bsd-2-clause", "CeCILL-B": "cecill", "MIT No Attribution": "mit-0", "This program is free software": "gpl", "proprietary and confidential": "proprietary", "Permission to use, copy, modify and/or distribute this software for any purpose": "isc", "a gpl v of no number": "gpl"}
     got = {r.doc_id: r for r in licenses.scan(documents(spark, list(enumerate(want)))).collect()}
     assert [got[i].labels for i in range(len(want))] == list(want.values()) and all(r.score > 0 and r.n_detections == 1 for r in got.values())
 
