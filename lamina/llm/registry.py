@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import chat, decontaminate, embeddings, langid, licenses, minhash, packing, repeats, toxicity, wrappers
+from lamina.llm import chat, decontaminate, embeddings, filters, langid, licenses, minhash, packing, pieces, repeats, toxicity, vectors, wrappers
 from lamina.llm.common import table
 
 
@@ -60,9 +60,28 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings; one row for each kept vector."""
+    coded, books = vectors.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    rows = vectors.with_label_errors(coded)
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vectors.fingerprint(books)).alias("codebooks_sha256"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of all documents; one row for each."""
+    coded = pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"), spans=False)
+    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of five filters of all documents, for each source, order and step."""
+    return filters.audit(filters.failures(table(spark, sf_dir, "documents", "doc_id", "text", "source")), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_minhash_near_dedup, op4_suffix_array_dedup, op5_language_id, op6_benchmark_decontamination, op7_toxicity, op8_best_fit_packing, op9_html_extraction, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_formatting, op3_minhash_near_dedup, op4_suffix_array_dedup, op5_language_id, op6_benchmark_decontamination, op7_toxicity, op8_best_fit_packing, op9_html_extraction, op10_embedding_near_dedup, op11_vector_codes, op12_sentencepiece, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.scan_sql(), "op2_chat_formatting": chat.COLLAPSE_SQL}
+    return {"op1_license_scan": licenses.scan_sql(), "op2_chat_formatting": chat.COLLAPSE_SQL, "op11_vector_codes": vectors.compress_sql(), "op13_filter_audit": filters.audit_sql()}
