@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import geometry
 from lamina.operators import graph, joins, metrics, quality, sampling, stencils, windows
-from lamina.plans import audits, registration, rules  # noqa: F401 (registers its queries)
+from lamina.plans import audits, growth, registration, rules  # noqa: F401 (registers its queries)
 from lamina.plans.bindings import GRID, LABELS, MASK, N4, N6, PATCHES, SCORES, THRESHOLDS, grid, hash_number, hash_number_sql, load, mask, patches, scores
 from lamina.plans.registry import QUERIES, SQL, query
 from lamina.sources import manifests
