@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lamina.functions.hashing import hash_number
+
 
 def cube_id(z: Column, y: Column, x: Column) -> Column:
     return F.format_string("z%05d_y%05d_x%05d", z, y, x)
@@ -79,8 +81,6 @@ def level_shape(size: Column, level: Column) -> Column:
 
 def record_seed(seed: int, record: Column, index: Column) -> Column:
     """A 32-bit seed of a record and an index."""
-    from lamina.plans.bindings import hash_number
-
     return hash_number(F.concat_ws(":", F.lit(seed), record, index))
 
 
@@ -138,8 +138,6 @@ def importance(distances: list[Column], sigma: float, least: float = 1e-4) -> Co
 
 def local_origin(centre: list[Column], key: Column, volume: list[int], patch: int, window: int, inset: int) -> list[Column]:
     """First voxel of a patch around a centre, moved by hashes of a key so that the centre stays in the central window."""
-    from lamina.plans.bindings import hash_number
-
     low, high = max((patch - window) // 2 + inset, 0), min((patch + window) // 2 - inset, patch - 1)
     room = max(1, high - low + 1)
     out = []

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from lamina.functions.hashing import hash_number
 
-from lamina.plans.bindings import hash_number
 
 
 def sample_n(df: DataFrame, by: str, key: str, n: int, seed: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.plans.bindings import hash_number
+from lamina.functions.hashing import hash_number
 from lamina.sources.shared import materialise
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.functions.hashing import hash_number_sql
 from lamina.functions import geometry
 from lamina.operators import predicates as rules
-from lamina.plans.bindings import hash_number_sql, load
+from lamina.plans.bindings import load
 from lamina.plans.registry import query
 
 
