@@ -133,16 +133,34 @@ def aggregate_slices(slices: DataFrame, by: list[str]) -> DataFrame:
     return slices.groupBy(*by).agg(F.count("*").alias("slices"), *[F.sum(c).alias(c) for c in sums], F.max("deepest").alias("deepest"), F.max("reference_deepest").alias("reference_deepest"), F.max(F.col("deepest") - F.col("reference_deepest")).alias("deepest_delta")).select("*", *_rates())
 
 
+def survival(field: DataFrame, depths: list[int]) -> DataFrame:
+    """z, y, x and, for each depth k, level_k: the largest single-precision threshold at which the voxel is still deeper than k.
+
+    A voxel at the threshold or above has depth 1; it is deeper than k if it survives k erosions with 6 neighbours. level_k is the smallest
+    score within k steps, null where an unknown voxel is as near. One shuffle a step, whatever the number of thresholds is.
+    """
+    now = out = field.select(*CELL, F.col("score").cast("float").alias("v")).where("v is not null and not isnan(v)").groupBy(*CELL).agg(F.max("v").alias("v"))
+    out = out.withColumnRenamed("v", "level_0")
+    for k in range(1, max(depths) + 1):
+        moved = shifted(now, cross(1), "v").groupBy(*CELL).agg(F.min("v").alias("v"), F.count("*").alias("n"))
+        now = materialise(moved.where(F.col("n") == 7).select(*CELL, "v"), f"survival{k}")
+        if k in depths:
+            out = out.join(now.withColumnRenamed("v", f"level_{k}"), CELL, "left")
+    return out
+
+
 def frontier(field: DataFrame, by: str, thresholds: list[float], interior: int = 2, deep: int = 5) -> DataFrame:
-    """For each threshold the pooled shares of voxels deeper than interior and at least deep, and the mean share over groups."""
-    parts = []
-    for t in thresholds:
-        held = field.where(F.col("score") >= t).select(*CELL, by)
-        depth = l1_depth(held, max(interior + 1, deep)).join(held, CELL)
-        facts = depth.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("depth") > interior).alias("i"), F.count_if(F.col("depth") >= deep).alias("d"))
-        every = field.select(by).distinct().join(facts, by, "left").fillna(0)
-        parts.append(every.agg(F.lit(t).alias("threshold"), F.sum("n").alias("foreground"), *_fixed(interior_share=ratio(F.sum("i"), F.sum("n")), deep_share=ratio(F.sum("d"), F.sum("n")), mean_share=F.avg(F.when(F.col("n") > 0, F.col("i") / F.greatest("n", F.lit(1))).otherwise(0.0)))))
-    return reduce(DataFrame.unionByName, parts)
+    """For each threshold the pooled shares of voxels deeper than interior and at least deep, and the mean share over groups.
+
+    Scores meet thresholds in single precision. All thresholds are counted from one table of survival levels.
+    """
+    levels = survival(field, [interior, deep - 1]).join(field.select(*CELL, by).distinct(), CELL)
+    columns = {"n": "level_0", "i": f"level_{interior}", "d": f"level_{deep - 1}"}
+    counts = [F.count_if(F.col(c) >= F.lit(t).cast("float")).alias(f"{name}{k}") for k, t in enumerate(thresholds) for name, c in columns.items()]
+    groups = field.select(by).distinct().join(levels.groupBy(by).agg(*counts), by, "left").fillna(0)
+    rows = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), *[F.col(f"{name}{k}").alias(name) for name in columns]) for k, t in enumerate(thresholds)])).alias("r")
+    share = F.avg(F.when(F.col("n") > 0, F.col("i") / F.greatest("n", F.lit(1))).otherwise(0.0))
+    return groups.select(rows).select("r.*").groupBy("threshold").agg(F.sum("n").alias("foreground"), *_fixed(interior_share=ratio(F.sum("i"), F.sum("n")), deep_share=ratio(F.sum("d"), F.sum("n")), mean_share=share))
 
 
 def cube_summary(cubes: DataFrame, dims: list[str]) -> DataFrame:

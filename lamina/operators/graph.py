@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.sources.shared import materialise
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, component) per node of an edge.
 
     component is the smallest node. Alternates the large-star and the small-star step until the edges are stars around their
@@ -16,7 +18,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pair = edges.where("a is not null and b is not null and a <> b")
     now = pair.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    for turn in range(max_rounds):
+    for turn in count():
         both = now.unionByName(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
         large = both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
@@ -28,8 +30,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         ends = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
         if not ends.where("leaf > 1 or (leaf = 1 and centre = 1)").take(1):
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     centres = now.select(F.col("lo").alias("node")).distinct()
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(centres.select("node", F.col("node").alias("component")))
 
@@ -64,7 +64,7 @@ def component_facts(labels: DataFrame, by: list[str], least: int) -> DataFrame:
     return sizes.groupBy(*by).agg(F.count("*").alias("components"), F.count_if(F.col("n") >= least).alias("meaningful"), F.max("n").alias("largest"), F.round(F.max("n") / F.sum("n"), 6).alias("fraction"))
 
 
-def greedy_select(items: DataFrame, conflicts: DataFrame, max_rounds: int = 200) -> DataFrame:
+def greedy_select(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     """Ids that a greedy walk in order of priority would accept, skipping what conflicts with an accepted one.
 
     items has id and priority (a strict order, larger first); conflicts has pairs a, b. In each round an undecided item
@@ -73,7 +73,7 @@ def greedy_select(items: DataFrame, conflicts: DataFrame, max_rounds: int = 200)
     pairs = conflicts.where("a <> b").select("a", "b")
     pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     open_, chosen = materialise(items.select("id", "priority"), "open"), None
-    for turn in range(max_rounds):
+    for turn in count():
         edge = pairs.join(open_.select(F.col("id").alias("a"), F.col("priority").alias("pa")), "a").join(open_.select(F.col("id").alias("b"), F.col("priority").alias("pb")), "b")
         beaten = edge.where("pb > pa").select(F.col("a").alias("id")).distinct()
         taken = materialise(open_.join(beaten, "id", "left_anti").select("id"), f"taken{turn}")
@@ -82,4 +82,25 @@ def greedy_select(items: DataFrame, conflicts: DataFrame, max_rounds: int = 200)
         open_ = materialise(open_.join(taken, "id", "left_anti").join(refused, "id", "left_anti"), f"open{turn}")
         if not open_.take(1):
             return chosen
-    raise RuntimeError(f"selection did not settle in {max_rounds} rounds")
+
+
+def greedy_disjoint(items: DataFrame) -> DataFrame:
+    """Ids that a greedy walk in order of priority would accept where items that share an end exclude each other.
+
+    items has id, priority (a strict order, larger first) and ends (an array). In each round an item is taken if it is the best open one
+    at all its ends; then the items at these ends go. Each round groups by end, so the items of an end are never paired. Items without
+    ends or priority are ignored.
+    """
+    open_ = materialise(items.where("priority is not null and size(ends) > 0").select("id", "priority", F.array_distinct("ends").alias("ends")), "open")
+    chosen = None
+    for turn in count():
+        sides = open_.select("id", "priority", "ends", F.explode("ends").alias("end"))
+        best = sides.groupBy("end").agg(F.max_by("id", "priority").alias("id"))
+        wins = best.groupBy("id").agg(F.count("*").alias("wins"))
+        taken = materialise(open_.join(wins, "id").where(F.col("wins") == F.size("ends")).select("id", "ends"), f"taken{turn}")
+        chosen = taken.select("id") if chosen is None else chosen.unionByName(taken.select("id"))
+        used = taken.select(F.explode("ends").alias("end")).distinct()
+        gone = sides.join(used, "end", "left_semi").select("id").distinct()
+        open_ = materialise(open_.join(gone, "id", "left_anti"), f"open{turn}")
+        if not open_.take(1):
+            return chosen

@@ -147,8 +147,16 @@ def corridor_rules(gap: int, alignment: float, anisotropy: float, arc: float, me
         (F.array_min("endpoint_anisotropy") >= anisotropy, "ambiguous_endpoint_shape"),
         (F.col("arc_ratio") <= arc, "excessive_detour"),
         (F.col("probability_mean") >= mean, "weak_mean_probability"),
-        (F.col("ridge_positive_fraction") >= ridge, "off_probability_ridge"),
-        (F.size(F.filter("neighbor_probability_coverage", lambda v: v >= coverage)) >= planes, "insufficient_neighbor_support"),
+        (F.col("probability_ridge_positive_fraction") >= ridge, "off_probability_ridge"),
+        (F.size(F.filter("neighbor_probability_coverage", lambda v: v >= coverage)) >= planes, "insufficient_neighbor_probability_support"),
+    ]
+
+
+def refined_path_rules(outward: float, turn: float) -> list[tuple[Column, str]]:
+    """Two more rules for corridors whose path was refined; they come after those of the corridor."""
+    return [
+        (F.array_min("endpoint_outward") >= outward, "backwards_anchor_approach"),
+        (F.col("maximum_local_turn_degrees") <= turn, "abrupt_local_turn"),
     ]
 
 

@@ -118,7 +118,7 @@ def _front(t: float, k: int) -> str:
 @query(f"with {FIELD}, {_front(0.3, 1)}, {_front(0.5, 2)} select * from o1 union all select * from o2")
 def frontier(s: SparkSession, d: str) -> DataFrame:
     known = field(s, d).where("target <> 2").withColumn("part", F.floor(F.col("z") / 8))
-    return audits.frontier(known.withColumn("score", F.col("score").cast("double") + 1e-9), "part", [0.3, 0.5], 1, 3)
+    return audits.frontier(known, "part", [0.3, 0.5], 1, 3)
 
 
 @query("with c as (select o_orderpriority as stratum, o_orderstatus as scroll, o_orderkey % 13 as max_thickness, o_custkey % 4 = 0 as thick, case o_custkey % 9 when 0 then 'solid-slab' when 1 then 'empty' else 'keep' end as reject_kind, o_orderkey % 100 / 100.0 as interior_fraction, o_custkey % 100 / 100.0 as fill_fraction from orders) select coalesce(stratum, '*') as stratum, coalesce(scroll, '*') as scroll, count(*) as cubes, round(avg((max_thickness >= 6)::int), 6) as deep_rate, round(avg(thick::int), 6) as thick_rate, round(avg((reject_kind = 'solid-slab')::int), 6) as slab_rate, round(avg((reject_kind = 'empty')::int), 6) as empty_rate, round(avg(interior_fraction::double), 6) as mean_interior, round(avg(fill_fraction::double), 6) as mean_fill, round(quantile_cont(max_thickness, 0.5), 6) as median_thickness from c group by grouping sets ((stratum), (scroll), ())")

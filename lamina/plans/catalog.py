@@ -293,14 +293,14 @@ def bridge_metrics(s: SparkSession, d: str) -> DataFrame:
     return found.agg(F.count("*").alias("bridging"), F.coalesce(F.sum("excess"), F.lit(0)).alias("excess"), F.coalesce(F.sum("voxels"), F.lit(0)).alias("voxels"))
 
 
-@query()
+@query(f"""with recursive {NEAR}, ranked as (select *, row_number() over (partition by plane order by distance, a, b) as k from near),
+walk(plane, k, used, a, b, distance, taken) as (select distinct plane, 0::bigint, []::bigint[], null::bigint, null::bigint, null::double, false from near union all select r.plane, r.k, case when list_has_any(w.used, [r.a, r.b]) then w.used else list_concat(w.used, [r.a, r.b]) end, r.a, r.b, r.distance, not list_has_any(w.used, [r.a, r.b]) from walk w join ranked r on r.plane = w.plane and r.k = w.k + 1)
+select plane, a, b, distance from walk where taken""")
 def greedy_matching(s: SparkSession, d: str) -> DataFrame:
-    """Endpoint pairs that a greedy walk accepts, the nearest first; a pair conflicts with pairs that share an endpoint."""
+    """Endpoint pairs that a greedy walk accepts, the nearest first; a pair excludes pairs that share an endpoint."""
     near = joins.pairs_within(endpoints(s, d), 12).withColumn("id", F.concat_ws("-", "a", "b"))
-    near = materialise(near.withColumn("priority", F.struct(-F.col("distance"), -F.col("a"), -F.col("b"))), "near")
-    ends = near.select("id", F.explode(F.array("a", "b")).alias("end"))
-    conflicts = ends.withColumnRenamed("id", "a").join(ends.withColumnRenamed("id", "b"), "end").where("a < b").select("a", "b")
-    return near.join(graph.greedy_select(near.select("id", "priority"), conflicts), "id").select("plane", "a", "b", "distance")
+    near = materialise(near.withColumns({"priority": F.struct(-F.col("distance"), -F.col("a"), -F.col("b")), "ends": F.array("a", "b")}), "near")
+    return near.join(graph.greedy_disjoint(near), "id").select("plane", "a", "b", "distance")
 
 
 # Sets and checks

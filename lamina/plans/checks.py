@@ -104,7 +104,7 @@ def check_compaction(s: SparkSession, d: str) -> DataFrame:
     return quality.check_compaction(before, after.unionByName(extra), pruned, ["chunk"])
 
 
-@query(f"with {PATCHES}, a as (select scroll, count(*)::double as n, sum(score) as total from patches where scroll <> 2 group by 1), b as (select scroll, count(*)::double + (scroll = 4)::int * 1e-6 as n, sum(score) as total from patches where scroll <> 3 group by 1), la as (unpivot a on n, total into name name value summary), lb as (unpivot b on n, total into name name value audit) select scroll, name, round(summary, 2) as summary, round(audit, 2) as audit from la full join lb using (scroll, name) where summary is null or audit is null or abs(summary - audit) > 1e-9 * greatest(1, abs(summary))")
+@query(f"with {PATCHES}, a as (select scroll, count(*)::double as n, round(sum(score), 2) as total from patches where scroll <> 2 group by 1), b as (select scroll, count(*)::double + (scroll = 4)::int * 1e-6 as n, round(sum(score), 2) as total from patches where scroll <> 3 group by 1), la as (unpivot a on n, total into name name value summary), lb as (unpivot b on n, total into name name value audit) select scroll, name, round(summary, 2) as summary, round(audit, 2) as audit from la full join lb using (scroll, name) where summary is null or audit is null or abs(summary - audit) > 1e-9")
 def check_qualification(s: SparkSession, d: str) -> DataFrame:
     """Figures of a summary that its audit lacks or has otherwise."""
     rows = patches(s, d)
@@ -210,11 +210,11 @@ def attach_scores(s: SparkSession, d: str) -> DataFrame:
     return quality.attach_scores(rows.select("patch_id", F.lit("new").alias("identity")), scores, "patch_id", "identity").select("patch_id", "state", "score")
 
 
-@query(f"with {MASK}, sparse as (select z, y, x from grid where other >= 0.08), {LABELS.format(name='cand', src='strong')}, {LABELS.format(name='refs', src='sparse')}, big as (select label from refs group by label having count(*) >= 2), pairs as (select c.label as c, r.label as r, count(*) as n from cand c join refs r using (z, y, x) where r.label in (select label from big) group by all), first as (select label, min(z) as z from cand group by 1) select z, count(*) as n, sum(k)::bigint as refs, sum(voxels)::bigint as voxels from (select c, count(*) as k, sum(n) as voxels from pairs group by c having count(*) > 1) b join first on first.label = b.c group by z")
+@query(f"with {MASK}, sparse as (select z, y, x from grid where other >= 0.08), {LABELS.format(name='cand', src='strong')}, {LABELS.format(name='refs', src='sparse')}, big as (select label from refs group by label having count(*) >= 1), pairs as (select c.label as c, r.label as r, count(*) as n from cand c join refs r using (z, y, x) where r.label in (select label from big) group by all), first as (select label, min(z) as z from cand group by 1) select z, count(*) as n, sum(k)::bigint as refs, sum(voxels)::bigint as voxels from (select c, count(*) as k, sum(n) as voxels from pairs group by c having count(*) > 1) b join first on first.label = b.c group by z")
 def merging_components(s: SparkSession, d: str) -> DataFrame:
     """Candidate components over several reference components, counted by plane."""
     cand, ref = graph.voxel_components(mask(s, d, 0.09), 4), graph.voxel_components(mask(s, d, 0.08, "other"), 4)
-    found = audit_ops.merging_components(cand, ref, 2)
+    found = audit_ops.merging_components(cand, ref, 1)
     return found.groupBy(F.shiftright("candidate", 42).cast("int").alias("z")).agg(F.count("*").alias("n"), F.sum("references").alias("refs"), F.sum("voxels").alias("voxels"))
 
 

@@ -122,12 +122,12 @@ def registration_actions(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "lineitem").groupBy(action.alias("action")).agg(F.count("*").alias("n"))
 
 
-@query("""with c as (select cast(l_quantity as int) as gap, least(l_discount * 10, l_tax * 12.5) as alignment, least(l_linenumber, 3) as anisotropy, 1 + l_discount as arc, l_tax * 10 as mean, l_quantity / 50 as ridge, list_filter([l_discount * 10, l_tax * 10, l_quantity / 50], lambda v: v >= 0.3) as planes from lineitem)
-select case when not gap >= 3 then 'tiny_gap' when not alignment >= 0.1 then 'endpoint_direction' when not anisotropy >= 2 then 'ambiguous_endpoint_shape' when not arc <= 1.08 then 'excessive_detour' when not mean >= 0.2 then 'weak_mean_probability' when not ridge >= 0.25 then 'off_probability_ridge' when not len(planes) >= 2 then 'insufficient_neighbor_support' end as reason, count(*) as n from c group by 1""")
+@query("""with c as (select cast(l_quantity as int) as gap, least(l_discount * 10, l_tax * 12.5) as alignment, least(l_linenumber, 3) as anisotropy, 1 + l_discount as arc, l_tax * 10 as mean, l_quantity / 50 as ridge, list_filter([l_discount * 10, l_tax * 10, l_quantity / 50], lambda v: v >= 0.3) as planes, least(l_discount * 20, 1.0) as outward, l_partkey % 90 as turn from lineitem)
+select case when not gap >= 3 then 'tiny_gap' when not alignment >= 0.1 then 'endpoint_direction' when not anisotropy >= 2 then 'ambiguous_endpoint_shape' when not arc <= 1.08 then 'excessive_detour' when not mean >= 0.2 then 'weak_mean_probability' when not ridge >= 0.25 then 'off_probability_ridge' when not len(planes) >= 2 then 'insufficient_neighbor_probability_support' when not outward >= 0.5 then 'backwards_anchor_approach' when not turn <= 60 then 'abrupt_local_turn' end as reason, count(*) as n from c group by 1""")
 def refusal_reasons(s: SparkSession, d: str) -> DataFrame:
     q, t, c, k = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity"), F.col("l_linenumber")
-    rows = load(s, d, "lineitem").select(c.cast("int").alias("gap_pixels"), F.array(q * 10, t * 12.5).alias("endpoint_alignment"), F.array(k.cast("double"), F.lit(3.0)).alias("endpoint_anisotropy"), (1 + q).alias("arc_ratio"), (t * 10).alias("probability_mean"), (c / 50).alias("ridge_positive_fraction"), F.array(q * 10, t * 10, c / 50).alias("neighbor_probability_coverage"))
-    reason = rules.first_refusal(rules.corridor_rules(3, 0.1, 2.0, 1.08, 0.2, 0.25, 0.3, 2))
+    rows = load(s, d, "lineitem").select(c.cast("int").alias("gap_pixels"), F.array(q * 10, t * 12.5).alias("endpoint_alignment"), F.array(k.cast("double"), F.lit(3.0)).alias("endpoint_anisotropy"), (1 + q).alias("arc_ratio"), (t * 10).alias("probability_mean"), (c / 50).alias("probability_ridge_positive_fraction"), F.array(q * 20, F.lit(1.0)).alias("endpoint_outward"), (F.col("l_partkey") % 90).alias("maximum_local_turn_degrees"), F.array(q * 10, t * 10, c / 50).alias("neighbor_probability_coverage"))
+    reason = rules.first_refusal([*rules.corridor_rules(3, 0.1, 2.0, 1.08, 0.2, 0.25, 0.3, 2), *rules.refined_path_rules(0.5, 60.0)])
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -208,7 +208,7 @@ def arc_ratios(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with p as (select o_orderkey as k, o_orderkey * 7919 % 1000 as y, o_custkey * 31 % 1000 as x from orders), q as (select *, sqrt((y - 500.5) ** 2 + (x - 480.25) ** 2) as r from p)
-select k, round_even(y + 9.5 * (y - 500.5) / r, 0)::int as "by", round_even(x + 9.5 * (x - 480.25) / r, 0)::int as bx from q""")
+select k, case when r >= 1 then round_even(y + 9.5 * (y - 500.5) / r, 0)::int end as "by", case when r >= 1 then round_even(x + 9.5 * (x - 480.25) / r, 0)::int end as bx from q""")
 def crosswrap_controls(s: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     pushed = geometry.crosswrap([k * 7919 % 1000, F.col("o_custkey") * 31 % 1000], (500.5, 480.25), 9.5)
