@@ -80,6 +80,9 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        data = data.replace("\0", "")  # as browsers do in text
+        if not data:
+            return
         top = self.open[-1]
         if top.children and top.children[-1].tag == "#text":
             top.children[-1].text += data
