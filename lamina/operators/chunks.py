@@ -68,7 +68,7 @@ class Block:
 def over_chunks(voxels: DataFrame, columns: list[str], size: Three, halo: Three, work: Callable[[Block], dict[str, np.ndarray] | None], schema: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows that work returns for each chunk (of each group of by) from the arrays of its widened box.
 
-    voxels has by, z, y, x and the numeric columns; of repeated voxels one value counts, null is unknown. work returns columns of equal
+    voxels has by, z, y, x and the numeric columns; of repeated voxels one known value counts for each column, null is unknown. work returns columns of equal
     length, without by, which is added; or nothing.
     """
     kind = voxels.select(*by).schema
@@ -83,7 +83,9 @@ def over_chunks(voxels: DataFrame, columns: list[str], size: Three, halo: Three,
         arrays = {}
         for c in columns:
             arrays[c] = np.full(shape, np.nan)
-            arrays[c][at] = table.column(c).cast(pa.float64()).to_numpy()
+            values = table.column(c).cast(pa.float64()).to_numpy()
+            known = np.isfinite(values)
+            arrays[c][tuple(a[known] for a in at)] = values[known]
         got = work(Block({b: table.column(b)[0].as_py() for b in by}, arrays, origin, halo)) or {n: np.zeros(0) for n in names}
         own = {b: pa.array([table.column(b)[0].as_py()] * len(got[names[0]]), table.schema.field(b).type) for b in by}
         return pa.table({**own, **{n: pa.array(got[n]) for n in names}}).cast(wanted)

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamina.operators.chunks import Block, over_chunks
 from lamina.sources.shared import materialise
 
+# Voxels of a chunk along z, y and x.
+CHUNK = (16, 64, 64)
+
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (node, component) per node of an edge.
@@ -45,17 +50,44 @@ def offsets(connectivity: int) -> list[tuple[int, int, int]]:
 def voxel_components(mask: DataFrame, connectivity: int = 6) -> DataFrame:
     """z, y, x, component for each voxel of mask: component is the smallest voxel number of the connected set.
 
-    Voxels are numbered z * 2**42 + y * 2**21 + x. Half of the neighbours suffice for the edges. A voxel without neighbours is a
-    component of its own; an empty mask gives no rows.
+    Voxels are numbered z * 2**42 + y * 2**21 + x. Each chunk labels its own voxels; then only the neighbours across chunk borders give
+    edges, between the labels. A voxel without neighbours is a component of its own; an empty mask gives no rows.
     """
-    number = (F.shiftleft(F.col("z").cast("long"), 42) + F.shiftleft(F.col("y").cast("long"), 21) + F.col("x").cast("long")).alias("node")
-    nodes = mask.select("z", "y", "x").distinct().select("z", "y", "x", number)
     half = [o for o in offsets(connectivity) if o > (0, 0, 0)]
-    moves = F.explode(F.array(*[F.lit((z << 42) + (y << 21) + x).cast("long") for z, y, x in half])).alias("move")
-    near = nodes.select(F.col("node").alias("a"), moves).select("a", (F.col("a") + F.col("move")).alias("b"))
-    edges = near.join(nodes.select(F.col("node").alias("b")), "b")
-    found = components(edges.select("a", "b"))
-    return nodes.join(found, "node", "left").select("z", "y", "x", F.coalesce("component", "node").alias("component"))
+
+    def work(block: Block) -> dict[str, np.ndarray]:
+        there = np.isfinite(block.arrays["mask"])
+        cells = np.argwhere(there)
+        index = np.full(there.shape, -1)
+        index[there] = np.arange(len(cells))
+        ends = []
+        for step in half:
+            one = tuple(slice(max(0, -d), n - max(0, d)) for d, n in zip(step, there.shape, strict=True))
+            two = tuple(slice(max(0, d), n - max(0, -d)) for d, n in zip(step, there.shape, strict=True))
+            both = there[one] & there[two]
+            ends.append((index[one][both], index[two][both]))
+        a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+        label = np.arange(len(cells))
+        while len(a):
+            # The larger root of each edge goes below the smaller one, then paths are halved until they are flat.
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            np.minimum.at(label, high, low)
+            while (label[label] != label).any():
+                label = label[label]
+            open_ = label[a] != label[b]
+            a, b = a[open_], b[open_]
+        place = (cells + np.array(block.origin)).astype(np.int64)
+        number = (place[:, 0] << 42) + (place[:, 1] << 21) + place[:, 2]
+        return {**{c: place[:, i].astype(np.int32) for i, c in enumerate("zyx")}, "label": number[label]}
+
+    labelled = materialise(over_chunks(mask.select("z", "y", "x", F.lit(1.0).alias("mask")), ["mask"], CHUNK, (0, 0, 0), work, "z int, y int, x int, label long"), "labels")
+    moves = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for v, c in zip(o, "zyx", strict=True)]) for o in half])).alias("o")
+    near = labelled.select("z", "y", "x", F.col("label").alias("a"), moves)
+    out = [(F.floor((F.col(c) + F.col(f"o.d{c}")) / n) != F.floor(F.col(c) / n)) for c, n in zip("zyx", CHUNK, strict=True)]
+    across = near.where(out[0] | out[1] | out[2]).select("a", *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in "zyx"])
+    edges = across.join(labelled.select("z", "y", "x", F.col("label").alias("b")), ["z", "y", "x"]).select("a", "b").distinct()
+    found = components(edges).select(F.col("node").alias("label"), "component")
+    return labelled.join(found, "label", "left").select("z", "y", "x", F.coalesce("component", "label").alias("component"))
 
 
 def component_facts(labels: DataFrame, by: list[str], least: int) -> DataFrame:

@@ -1,13 +1,16 @@
-"""Morphology and resampling of voxel tables: offsets are exploded and grouped; outside the table is background."""
+"""Morphology and resampling of voxel tables, in chunks with halos where a neighbourhood is wide; outside the table is background."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators.graph import offsets
+from lamina.operators.chunks import Block, over_chunks
+from lamina.operators.graph import CHUNK, offsets
 from lamina.sources.shared import materialise
 
 CELL = ["z", "y", "x"]
@@ -22,24 +25,43 @@ def shifted(df: DataFrame, steps: list[tuple[int, int, int]], *columns: str) ->
     return df.select(*CELL, *columns, _moves(steps)).select(*[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in CELL], *columns)
 
 
-def dilate(mask: DataFrame, connectivity: int, n: int = 1, within: DataFrame | None = None) -> DataFrame:
-    """The mask grown n times; within, if given, is what it may grow through."""
-    out = mask.select(*CELL).distinct()
-    for _ in range(n):
-        out = shifted(out, [(0, 0, 0), *offsets(connectivity)]).distinct()
-        if within is not None:
-            out = out.join(within.select(*CELL).distinct(), CELL, "left_semi").unionByName(mask.select(*CELL)).distinct()
+def moved(block: np.ndarray, step: tuple[int, int, int], fill: float | bool) -> np.ndarray:
+    """A block of voxels moved by a step; what comes in from outside is fill."""
+    out = np.full_like(block, fill)
+    to = tuple(slice(max(0, d), n + min(0, d)) for d, n in zip(step, block.shape, strict=True))
+    out[to] = block[tuple(slice(max(0, -d), n + min(0, -d)) for d, n in zip(step, block.shape, strict=True))]
     return out
 
 
+def dilate(mask: DataFrame, connectivity: int, n: int = 1, within: DataFrame | None = None) -> DataFrame:
+    """The mask grown n times; within, if given, is what it may grow through. All steps are taken in chunks with a halo of n."""
+    steps, bounded = offsets(connectivity), within is not None
+    flags = mask.select(*CELL, F.lit(1.0).alias("mask"), F.lit(None).cast("double").alias("open"))
+    if bounded:
+        flags = flags.unionByName(within.select(*CELL, F.lit(None).cast("double").alias("mask"), F.lit(1.0).alias("open")))
+
+    def work(block: Block) -> dict[str, np.ndarray]:
+        own, may = np.isfinite(block.arrays["mask"]), np.isfinite(block.arrays["open"])
+        out = own
+        for _ in range(n):
+            grown = np.logical_or.reduce([out, *(moved(out, s, False) for s in steps)])
+            out = grown & may | own if bounded else grown
+        return block.rows(out[block.core])
+
+    return over_chunks(flags, ["mask", "open"], CHUNK, (0 if connectivity in (4, 8) else n, n, n), work, "z int, y int, x int")
+
+
 def erode(mask: DataFrame, connectivity: int, n: int = 1) -> DataFrame:
     """The voxels of the mask whose neighbours are all in it, n times."""
     steps = offsets(connectivity)
-    out = mask.select(*CELL).distinct()
-    for _ in range(n):
-        full = shifted(out, steps).groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") == len(steps))
-        out = out.join(full.select(*CELL), CELL, "left_semi")
-    return out
+
+    def work(block: Block) -> dict[str, np.ndarray]:
+        out = np.isfinite(block.arrays["mask"])
+        for _ in range(n):
+            out = np.logical_and.reduce([out, *(moved(out, s, False) for s in steps)])
+        return block.rows(out[block.core])
+
+    return over_chunks(mask.select(*CELL, F.lit(1.0).alias("mask")), ["mask"], CHUNK, (0 if connectivity in (4, 8) else n, n, n), work, "z int, y int, x int")
 
 
 def cross(steps: int) -> list[tuple[int, int, int]]:
@@ -72,22 +94,42 @@ def ball(radius: float) -> list[tuple[int, int, int]]:
 
 def capped_distance(source: DataFrame, target: DataFrame, tolerance: float) -> DataFrame:
     """Distance of each source voxel to the nearest target voxel; null beyond the tolerance."""
-    steps = [(o, sum(v * v for v in o)) for o in ball(tolerance)]
-    moved = target.select(*CELL).distinct().select(*CELL, F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for v, c in zip(o, "zyx", strict=True)], F.lit(d).alias("d2")) for o, d in steps])).alias("o"))
-    near = moved.select(*[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in CELL], F.col("o.d2").alias("d2")).groupBy(*CELL).agg(F.min("d2").alias("d2"))
-    return source.select(*CELL).distinct().join(near, CELL, "left").select(*CELL, F.round(F.sqrt("d2"), 6).alias("distance"))
+    r = math.floor(tolerance)
+    steps = sorted((sum(v * v for v in o), o) for o in ball(tolerance))
+    flags = source.select(*CELL, F.lit(1.0).alias("source"), F.lit(None).cast("double").alias("target")).unionByName(target.select(*CELL, F.lit(None).cast("double").alias("source"), F.lit(1.0).alias("target")))
+
+    def work(block: Block) -> dict[str, np.ndarray]:
+        asked, there = np.isfinite(block.arrays["source"])[block.core], np.isfinite(block.arrays["target"])
+        square = np.full(asked.shape, np.nan)
+        left = asked.copy()
+        for d2, step in steps:
+            near = left & there[tuple(slice(r + o, r + o + n) for o, n in zip(step, asked.shape, strict=True))]
+            square[near] = d2
+            left &= ~near
+        return block.rows(asked, d2=square)
+
+    near = over_chunks(flags, ["source", "target"], CHUNK, (r, r, r), work, "z int, y int, x int, d2 double")
+    return near.select(*CELL, F.round(F.sqrt(F.nanvl("d2", F.lit(None))), 6).alias("distance"))
 
 
 def gaussian(field: DataFrame, value: str, sigma: float) -> DataFrame:
     """Separable smoothing, normalised over the known voxels in reach; one weighted pass per axis."""
     radius = int(4 * sigma + 0.5)
     weights = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-radius, radius + 1)]
-    out = field.select(*CELL, F.col(value).cast("double").alias("v"))
-    for axis in range(3):
-        table = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in zip(range(-radius, radius + 1), weights, strict=True)])).alias("o")
-        moved = out.select(*CELL, "v", table).select(*[(F.col(c) + F.col("o.k")).alias(c) if i == axis else F.col(c) for i, c in enumerate(CELL)], (F.col("v") * F.col("o.w")).alias("s"), F.col("o.w").alias("w"))
-        sums = moved.groupBy(*CELL).agg((F.sum("s") / F.sum("w")).alias("v"))
-        out = sums.join(field.select(*CELL), CELL, "left_semi")
+
+    def work(block: Block) -> dict[str, np.ndarray]:
+        out = block.arrays[value]
+        for axis in range(3):
+            n = out.shape[axis] - 2 * radius
+            known = np.isfinite(out)
+            filled = np.where(known, out, 0.0)
+            parts = [tuple(slice(k, k + n) if a == axis else slice(None) for a in range(3)) for k in range(2 * radius + 1)]
+            total = sum(w * filled[p] for w, p in zip(weights, parts, strict=True))
+            mass = sum(w * known[p] for w, p in zip(weights, parts, strict=True))
+            out = np.where(known[parts[radius]], total / np.where(mass > 0, mass, 1.0), np.nan)
+        return block.rows(np.isfinite(out), v=out)
+
+    out = over_chunks(field.select(*CELL, F.col(value).cast("double").alias(value)), [value], CHUNK, (radius,) * 3, work, "z int, y int, x int, v double")
     return out.select(*CELL, F.round("v", 6).alias("smoothed"))
 
 
@@ -124,8 +166,17 @@ def explode_chunks(chunks: DataFrame, size: int) -> DataFrame:
 
 
 def implode_chunks(voxels: DataFrame, value: str, size: int) -> DataFrame:
-    """One row per chunk that has voxels: cz, cy, cx, values (null where unknown)."""
+    """One row per chunk that has voxels: cz, cy, cx, values (null where unknown); of repeated voxels one counts."""
     place = ((F.col("z") % size) * size + F.col("y") % size) * size + F.col("x") % size
-    cells = voxels.select(*[F.floor(F.col(c) / size).cast("int").alias(f"c{c}") for c in CELL], place.cast("int").alias("i"), value)
-    packed = cells.groupBy("cz", "cy", "cx").agg(F.map_from_entries(F.collect_list(F.struct("i", value))).alias("m"))
-    return packed.select("cz", "cy", "cx", F.transform(F.sequence(F.lit(0), F.lit(size**3 - 1)), lambda i: F.try_element_at("m", i)).alias("values"))
+    cells = voxels.select(*[F.floor(F.col(c) / size).cast("int").alias(f"c{c}") for c in CELL], place.cast("int").alias("i"), F.col(value).alias("value"))
+    kind = cells.schema["value"].dataType.simpleString()
+
+    def pack(table: pa.Table) -> pa.Table:
+        values = table.column("value").combine_chunks()
+        at = np.full(size**3, -1, np.int64)
+        at[table.column("i").to_numpy()] = np.arange(len(values))
+        row = values.take(pa.array(at, mask=at < 0))
+        keys = {c: table.column(c).slice(0, 1) for c in ("cz", "cy", "cx")}
+        return pa.table({**keys, "values": pa.ListArray.from_arrays(pa.array([0, size**3], pa.int32()), row)})
+
+    return cells.groupBy("cz", "cy", "cx").applyInArrow(pack, f"cz int, cy int, cx int, values array<{kind}>")
