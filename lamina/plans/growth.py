@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.operators import growth
-from lamina.plans.bindings import load
+from lamina.operators.necks import find_necks, neck_support
+from lamina.plans.bindings import grid, load
 from lamina.plans.registry import query
+from lamina.sources.shared import materialise
 
 DENSE = "dense as (select (l_orderkey // 1024 * 2 + l_linenumber % 2)::int as z, (l_partkey % 16)::int as y, (l_orderkey % 16)::int as x, sum(round(l_discount * 100)::bigint) / count(*) as p from lineitem group by all)"
 
@@ -50,3 +52,10 @@ def seam_report(s: SparkSession, d: str) -> DataFrame:
     """New interior voxels before and after the removals."""
     seed, candidate, field, targets = seams(s, d)
     return growth.seam_report(seed, candidate, growth.seam_removals(seed, candidate, field, targets, 4), targets, 4)
+
+
+@query()
+def neck_certificates(s: SparkSession, d: str) -> DataFrame:
+    """Thin necks between bodies of the planes, with their support in near planes."""
+    necks = materialise(find_necks(grid(s, d).select("z", F.shiftright("y", 1).alias("y"), F.shiftright("x", 1).alias("x")).distinct(), (31.5, 30.5)), "necks")
+    return neck_support(necks).withColumns({c: F.round(c, 6) for c in ("width", "dr", "radial_dot")})
