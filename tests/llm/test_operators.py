@@ -346,7 +346,7 @@ def test_embedding_links(spark, monkeypatch):
 
 def test_registered_queries(spark):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings", "labels"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
         got = registry.queries()[name](spark, DATA)
