@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lamina.functions.hashing import hash_number, hash_number_sql
 from lamina.functions import geometry
 from lamina.operators import graph, joins, metrics, quality, sampling, stencils, windows
-from lamina.plans import audits, checks, growth, matching, reads, records, registration, rules, surfaces, tracks  # noqa: F401 (registers its queries)
+from lamina.plans import audits, checks, growth, matching, reads, records, registration, release, rules, surfaces, tracks  # noqa: F401 (registers its queries)
 from lamina.plans.bindings import GRID, LABELS, MASK, N4, N6, PATCHES, SCORES, THRESHOLDS, grid, load, mask, patches, scores
 from lamina.plans.registry import QUERIES, SQL, query
 from lamina.sources import manifests
