@@ -23,13 +23,13 @@ def dense(s: SparkSession, d: str) -> DataFrame:
 @query()
 def ridge_growth(s: SparkSession, d: str) -> DataFrame:
     """Voxels grown from the strong ones along the weaker ones, with their step and seed component."""
-    field = dense(s, d)
+    field = materialise(dense(s, d), "field")
     mask, _ = growth.grow_ridges(field, field.where("p >= 6.5"), 4.0, 3)
     return mask.where("step > 0").select("z", "y", "x", "label", "step")
 
 
 def seams(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    field = dense(s, d)
+    field = materialise(dense(s, d), "field")
     targets = field.select(*[F.floor(F.col(c) / 4).cast("int").alias(f"c{c}") for c in "zyx"]).distinct().where("(cz + cy + cx) % 5 <> 0")
     return field.where("p >= 5.0"), field.where("p >= 4.0"), field, targets
 

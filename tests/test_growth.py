@@ -84,3 +84,19 @@ def test_seams_are_the_walk(spark):
         report = growth.seam_report(rows(spark, seed), rows(spark, whole), removed, chunks, 4).first()
         assert tuple(report) == (len(new), len(gone), len(left))
     assert growth.seam_removals(rows(spark, []), rows(spark, []), field, chunks, 4).count() == 0
+
+
+def test_voxel_joins_stay_off_the_driver(spark, monkeypatch):
+    field = spark.createDataFrame([(z, y, x, 0.1 * ((z + y * x) % 10)) for z in range(3) for y in range(6) for x in range(6)], "z int, y int, x int, p double")
+    seed, chunks = field.where("p >= 0.6"), rows(spark, [(0, 0, 0), (0, 1, 1)], "cz int, cy int, cx int")
+    plans = []
+
+    def noted(df, name, write=growth.materialise):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(growth, "materialise", noted)
+    removed = growth.seam_removals(seed, field.where("p >= 0.2"), field, chunks, 4)
+    noted(growth.seam_report(seed, field.where("p >= 0.2"), removed, chunks, 4), "report")
+    growth.grow_ridges(field, seed, 0.2, 1)
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
