@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.hashing import hash_number_sql
@@ -64,9 +64,29 @@ def surviving_arms(s: SparkSession, d: str) -> DataFrame:
     return release.surviving_terms(arms(s, d), gains, ["family"], 0.0011115)
 
 
-@query(f"with {ARMS} select family, arg_min(arm, (-macro, arm)) filter (where passed and macro is not null) as arm, max(macro) filter (where passed) as macro from arms where arm <> 'A0' group by family")
+# Means as whole millionths, halves up: sums of doubles depend on their order, and with them the digit that a half is rounded to.
+MICRO = "round({v} * 1000000)::bigint"
+HALF_UP = "((2 * ({a}) + ({b})) // (2 * ({b}))) / 1000000.0::double"
+
+
+def micro(column: str) -> Column:
+    return F.round(F.col(column) * 1000000).cast("long")
+
+
+def half_up(a: str, b: str) -> Column:
+    """a / b millionths of long columns or their products, rounded to whole ones."""
+    return F.expr(f"(2 * ({a}) + ({b})) div (2 * ({b}))") / 1000000.0
+
+
+WHOLE_ARMS = f"arms as (select family, arm, case when n > 0 then {HALF_UP.format(a='v', b='n')} end as macro, passed from (select l_suppkey as family, case when l_linenumber = 1 then 'R_full' when l_linenumber = 2 then 'B0' when l_linenumber = 3 then 'A0' else 'R_minus_t' || l_linenumber end as arm, sum({MICRO.format(v='l_discount')}) filter (where l_quantity > 6) as v, count(l_discount) filter (where l_quantity > 6) as n, count(*) % 3 <> 0 as passed from lineitem group by all))"
+
+
+@query(f"with {WHOLE_ARMS} select family, arg_min(arm, (-macro, arm)) filter (where passed and macro is not null) as arm, max(macro) filter (where passed) as macro from arms where arm <> 'A0' group by family")
 def winning_arms(s: SparkSession, d: str) -> DataFrame:
-    return release.pick_winner(arms(s, d), ["family"])
+    n, used = F.col("l_linenumber"), F.col("l_quantity") > 6
+    arm = F.when(n == 1, "R_full").when(n == 2, "B0").when(n == 3, "A0").otherwise(F.concat(F.lit("R_minus_t"), n))
+    sums = load(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("family"), arm.alias("arm")).agg(F.sum(F.when(used, micro("l_discount"))).alias("v"), F.count(F.when(used, F.col("l_discount"))).alias("n"), (F.count("*") % 3 != 0).alias("passed"))
+    return release.pick_winner(sums.select("family", "arm", F.when(F.col("n") > 0, half_up("v", "n")).alias("macro"), "passed"), ["family"])
 
 
 POINTS = "pt as (select l_suppkey as family, round(l_discount::double, 2) as threshold, round(avg(l_tax), 6) as score, round(avg(l_quantity) / 50, 6) as precision, round(avg(l_linenumber) / 3, 6) as macro, round(count(*) filter (where l_linestatus = 'F') * 2.0 / count(*), 6)::double as ratio from lineitem where {where} group by all)"

@@ -59,3 +59,33 @@ def test_candidate_gate(spark):
     assert got["a", "named_bridge_reduction"] == (0.5, True) and got["a", "named_deep_reduction"] == (1.0, True)
     assert [c for (f, c), (_, ok) in got.items() if f == "a" and not ok] == ["guard_deep", "calibrated_dice_delta", "new_failures"]
     assert [c for (f, c), (_, ok) in got.items() if f == "b" and ok] == ["new_failures"]
+
+
+def halves(spark, folder):
+    """Line items of 40 suppliers with the mean 187 / 3200 of discount and tax, in orders whose sum of doubles falls short of it."""
+    import functools
+    import operator
+    import random
+
+    import duckdb
+
+    rng, rows = random.Random(1), []
+    for family in range(40):
+        values = [1.0]
+        while sum(round(v * 100) for v in values) != 187 or functools.reduce(operator.add, values) / 32 >= 0.0584375:
+            values = [rng.randrange(11) / 100 for _ in range(32)]
+        rows += [(2 * k, family, 4, 10.0, v, 0.01, "N", "F") for k, v in enumerate(values)] + [(2 * k, family, 5, 10.0, 0.02, v, "N", "F") for k, v in enumerate(values)]
+    names = "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{folder}/lineitem.parquet/*.parquet'")
+    return con
+
+
+def test_winners_round_halves_up(spark, tmp_path):
+    from lamina.plans import catalog
+
+    con = halves(spark, tmp_path)
+    want = [(k, "R_minus_t4", 0.058438) for k in range(40)]
+    assert sorted(con.execute(catalog.oracle_sql()["winning_arms"]).fetchall()) == want
+    assert sorted((r.family, r.arm, r.macro) for r in catalog.queries()["winning_arms"](spark, str(tmp_path)).collect()) == want
