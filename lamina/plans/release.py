@@ -96,13 +96,22 @@ def points(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("l_suppkey").alias("family"), F.round("l_discount", 2).alias("threshold")).agg(F.round(F.avg("l_tax"), 6).alias("score"), F.round(F.avg("l_quantity") / 50, 6).alias("precision"), F.round(F.avg("l_linenumber") / 3, 6).alias("macro"), F.round(F.count_if(F.col("l_linestatus") == "F") * 2.0 / F.count("*"), 6).alias("ratio"))
 
 
-@query(f"with t as (with {POINTS.format(where='l_orderkey % 2 = 0')} from pt), i as (with {POINTS.format(where='l_orderkey % 2 = 1')} from pt), g as (select family, threshold, min(coalesce(a - b, '-inf'::double)) as worst, bool_and(a is not null and b is not null) as whole from (select l_suppkey as family, round(l_discount::double, 2) as threshold, l_returnflag as scroll, sum(l_quantity) filter (where l_orderkey % 2 = 0) as a, sum(l_quantity) filter (where l_orderkey % 2 = 1) as b from lineitem group by all) group by all), r as (select family, threshold, t.score, t.score - i.score as score_gain, t.precision as p, t.macro as m, coalesce(t.score is not null and i.score is not null and whole, false) as comparable, coalesce(t.score is not null and i.score is not null and whole and worst >= -60 and t.precision - i.precision >= -0.05 and t.ratio between 0.8 and 1.2, false) as qualified from t full join i using (family, threshold) left join g using (family, threshold)) select family, threshold, score, round(score_gain, 6) as score_gain, comparable, qualified, comparable and row_number() over (partition by family order by comparable desc, qualified desc, score desc nulls last, p desc nulls last, m desc nulls last, abs(threshold - 0.5), threshold) = 1 as selected from r")
+WHOLE_POINTS = f"pt as (select family, threshold, {HALF_UP.format(a='tax', b='nt')} as score, {HALF_UP.format(a='quantity', b='50 * nq')} as precision, {HALF_UP.format(a='1000000 * number', b='3 * nn')} as macro, {HALF_UP.format(a='2000000 * f', b='n')} as ratio from (select l_suppkey as family, round(l_discount::double, 2) as threshold, sum({MICRO.format(v='l_tax')}) as tax, count(l_tax) as nt, sum({MICRO.format(v='l_quantity')}) as quantity, count(l_quantity) as nq, sum(l_linenumber) as number, count(l_linenumber) as nn, count(*) filter (where l_linestatus = 'F') as f, count(*) as n from lineitem where {{where}} group by all))"
+
+
+def whole_points(rows: DataFrame) -> DataFrame:
+    """The points with means from whole millionths."""
+    sums = rows.groupBy(F.col("l_suppkey").alias("family"), F.round("l_discount", 2).alias("threshold")).agg(F.sum(micro("l_tax")).alias("tax"), F.count("l_tax").alias("nt"), F.sum(micro("l_quantity")).alias("quantity"), F.count("l_quantity").alias("nq"), F.sum("l_linenumber").alias("number"), F.count("l_linenumber").alias("nn"), F.count_if(F.col("l_linestatus") == "F").alias("f"), F.count("*").alias("n"))
+    return sums.select("family", "threshold", half_up("tax", "nt").alias("score"), half_up("quantity", "50 * nq").alias("precision"), half_up("1000000 * number", "3 * nn").alias("macro"), half_up("2000000 * f", "n").alias("ratio"))
+
+
+@query(f"with t as (with {WHOLE_POINTS.format(where='l_orderkey % 2 = 0')} from pt), i as (with {WHOLE_POINTS.format(where='l_orderkey % 2 = 1')} from pt), g as (select family, threshold, min(coalesce(a - b, '-inf'::double)) as worst, bool_and(a is not null and b is not null) as whole from (select l_suppkey as family, round(l_discount::double, 2) as threshold, l_returnflag as scroll, sum(l_quantity) filter (where l_orderkey % 2 = 0) as a, sum(l_quantity) filter (where l_orderkey % 2 = 1) as b from lineitem group by all) group by all), r as (select family, threshold, t.score, t.score - i.score as score_gain, t.precision as p, t.macro as m, coalesce(t.score is not null and i.score is not null and whole, false) as comparable, coalesce(t.score is not null and i.score is not null and whole and worst >= -60 and t.precision - i.precision >= -0.05 and t.ratio between 0.8 and 1.2, false) as qualified from t full join i using (family, threshold) left join g using (family, threshold)) select family, threshold, score, round(score_gain, 6) as score_gain, comparable, qualified, comparable and row_number() over (partition by family order by comparable desc, qualified desc, score desc nulls last, p desc nulls last, m desc nulls last, abs(threshold - 0.5), threshold) = 1 as selected from r")
 def operating_points(s: SparkSession, d: str) -> DataFrame:
     """Points of two sweeps by family, which are qualified and which is selected."""
     rows = load(s, d, "lineitem")
     even, odd = F.col("l_orderkey") % 2 == 0, F.col("l_orderkey") % 2 == 1
     scrolls = rows.groupBy(F.col("l_suppkey").alias("family"), F.round("l_discount", 2).alias("threshold"), F.col("l_returnflag").alias("scroll")).agg(F.sum(F.when(even, F.col("l_quantity"))).alias("after"), F.sum(F.when(odd, F.col("l_quantity"))).alias("before"))
-    found = release.operating_points(points(rows.where(odd)), points(rows.where(even)), scrolls, ["family"], release.PointGates(-60.0, -0.05, 0.8, 1.2))
+    found = release.operating_points(whole_points(rows.where(odd)), whole_points(rows.where(even)), scrolls, ["family"], release.PointGates(-60.0, -0.05, 0.8, 1.2))
     return found.select("family", "threshold", "score", F.round("score_gain", 6).alias("score_gain"), "comparable", "qualified", "selected")
 
 

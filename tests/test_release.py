@@ -62,30 +62,38 @@ def test_candidate_gate(spark):
 
 
 def halves(spark, folder):
-    """Line items of 40 suppliers with the mean 187 / 3200 of discount and tax, in orders whose sum of doubles falls short of it."""
-    import functools
-    import operator
+    """Line items of 40 suppliers whose discounts and taxes have a mean with a half at the sixth digit; the exact means, halves up."""
     import random
 
     import duckdb
 
-    rng, rows = random.Random(1), []
+    rng, rows, means = random.Random(1), [], {}
     for family in range(40):
-        values = [1.0]
-        while sum(round(v * 100) for v in values) != 187 or functools.reduce(operator.add, values) / 32 >= 0.0584375:
-            values = [rng.randrange(11) / 100 for _ in range(32)]
-        rows += [(2 * k, family, 4, 10.0, v, 0.01, "N", "F") for k, v in enumerate(values)] + [(2 * k, family, 5, 10.0, 0.02, v, "N", "F") for k, v in enumerate(values)]
+        cents = [rng.randrange(11) for _ in range(160)]
+        cents[0] = sum(cents[1:]) % 2 + 1
+        cents[0] += (sum(cents) + 1) % 2
+        means[family] = (sum(cents) * 125 + 1) // 2 / 1e6
+        rows += [(2 * k, family, 4, 10.0, v / 100, 0.01, "N", "F") for k, v in enumerate(cents)] + [(2 * k, family, 5, 1.0, 0.15, v / 100, "N", "F") for k, v in enumerate(cents)]
     names = "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
     spark.createDataFrame(rows, names).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{folder}/lineitem.parquet/*.parquet'")
-    return con
+    return con, means
 
 
 def test_winners_round_halves_up(spark, tmp_path):
     from lamina.plans import catalog
 
-    con = halves(spark, tmp_path)
-    want = [(k, "R_minus_t4", 0.058438) for k in range(40)]
+    con, means = halves(spark, tmp_path)
+    want = [(k, "R_minus_t4", m) for k, m in means.items()]
     assert sorted(con.execute(catalog.oracle_sql()["winning_arms"]).fetchall()) == want
     assert sorted((r.family, r.arm, r.macro) for r in catalog.queries()["winning_arms"](spark, str(tmp_path)).collect()) == want
+
+
+def test_points_round_halves_up(spark, tmp_path):
+    from lamina.plans import catalog
+
+    con, means = halves(spark, tmp_path)
+    got = {(r.family, r.threshold): r.score for r in catalog.queries()["operating_points"](spark, str(tmp_path)).collect()}
+    assert {k: got[k, 0.15] for k in means} == means
+    assert {(f, t): score for f, t, score, *_ in con.execute(catalog.oracle_sql()["operating_points"]).fetchall()} == got
