@@ -176,7 +176,25 @@ def polyline_length(points: Column) -> Column:
     return F.aggregate(step, F.lit(0.0), lambda s, v: s + v)
 
 
-def arc_ratio(a: list[Column], ta: list[Column], b: list[Column], tb: list[Column]) -> Column:
-    """Length of the curve over that of its chord; 1 for ends at one place."""
+def arc_ratio(a: list[Column], ta: list[Column], b: list[Column], tb: list[Column], samples: int = 20) -> Column:
+    """Length of the curve over that of its chord; 1 for ends at one place.
+
+    The polynomial's coefficients are worked out once a curve; a step between two samples is their sum weighted with constants.
+    """
     chord = F.sqrt((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2)
-    return F.when(chord < 0.001, 1.0).otherwise(polyline_length(bezier(a, ta, b, tb)) / chord)
+    reach, powers = chord / 3, {}
+    for i, c in enumerate("yx"):
+        p, q, r, s = a[i], a[i] + reach * ta[i], b[i] + reach * tb[i], b[i]
+        powers |= {f"{c}1": 3 * (q - p), f"{c}2": 3 * (r - 2 * q + p), f"{c}3": s - 3 * r + 3 * q - p}
+    curve = F.struct(*[v.cast("double").alias(n) for n, v in powers.items()])
+    t = [k / samples for k in range(samples + 1)]
+    steps = F.array(*[F.struct(F.lit(v * v - u * u).alias("d2"), F.lit(v * v * v - u * u * u).alias("d3")) for u, v in zip(t, t[1:], strict=False)])
+
+    def length(w: Column) -> Column:
+        def step(total: Column, d: Column) -> Column:
+            dy, dx = (w[f"{c}1"] / samples + w[f"{c}2"] * d["d2"] + w[f"{c}3"] * d["d3"] for c in "yx")
+            return total + F.sqrt(dy * dy + dx * dx)
+
+        return F.aggregate(steps, F.lit(0.0), step)
+
+    return F.when(chord < 0.001, 1.0).otherwise(F.transform(F.array(curve), length)[0] / chord)

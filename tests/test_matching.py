@@ -116,3 +116,22 @@ def test_path_features(spark):
         assert np.allclose((r.length, r.chord, r.arc_ratio, r.radial_difference, r.radial_extent, r.turn), want, atol=1e-6)
         assert r.gap_pixels == len(gaps)
         assert np.allclose((r.mean, r.least, r.p10), (np.mean(gaps), min(gaps), np.quantile(gaps, 0.1))) if gaps else r.mean is None
+
+
+def test_arc_ratio_works_a_curve_out_once(spark):
+    from pyspark.sql import functions as F
+
+    from lamina.functions import geometry
+
+    rng = np.random.default_rng(3)
+    rows = [tuple(map(float, r)) for r in rng.normal(0, 10, (30, 8))] + [(1.0, 1.0, 0.6, 0.8, 1.0, 1.0, 0.6, 0.8)]
+    df = spark.createDataFrame(rows, "ay double, ax double, aty double, atx double, by double, bx double, bty double, btx double")
+    pairs = [[F.col(s + c) for c in ("y", "x")] if t == "" else [F.col(s + t + c) for c in ("y", "x")] for s in "ab" for t in ("", "t")]
+    out = df.select("*", geometry.arc_ratio(*pairs).alias("ratio"))
+    for r in out.collect():
+        a, ta, b, tb = (np.array([r[s + t + c] for c in "yx"]) for s in "ab" for t in ("", "t"))
+        chord, t = np.hypot(*(b - a)), np.arange(21)[:, None] / 20
+        u, reach = 1 - t, chord / 3
+        points = u**3 * a + 3 * u * u * t * (a + reach * ta) + 3 * u * t * t * (b + reach * tb) + t**3 * b
+        assert math.isclose(r.ratio, 1.0 if chord < 0.001 else np.hypot(*np.diff(points, axis=0).T).sum() / chord, rel_tol=1e-9)
+    assert out._jdf.queryExecution().analyzed().toString().lower().count("sequence(") == 0
