@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry
+from lamina.sources.shared import large, materialise
 
 
 class Gates(NamedTuple):
@@ -38,6 +39,23 @@ def end_pairs(ends: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.drop("plane", "distance").join(sides[0], "a").join(sides[1], "b")
 
 
+def near_pairs(ends: DataFrame, reach: int) -> DataFrame:
+    """end_pairs of all ends a < b of a plane at a distance of at most reach.
+
+    Ends meet with all their columns in tiles of four times the reach; the first goes to each tile that it reaches, so few copies are
+    shuffled and no pair is.
+    """
+    names = ["y", "x", "ty", "tx", "component", "skeleton"]
+    size = 4 * reach
+    spread = ends.select("plane", F.col("id").alias("a"), *[F.col(n).alias(f"a{n}") for n in names])
+    for c in "yx":
+        tiles = F.sequence(F.floor((F.col(f"a{c}") - reach) / size), F.floor((F.col(f"a{c}") + reach) / size))
+        spread = spread.select("*", F.explode(tiles).alias(f"_{c}"))
+    own = ends.select("plane", F.col("id").alias("b"), *[F.col(n).alias(f"b{n}") for n in names], *[F.floor(F.col(c) / size).alias(f"_{c}") for c in "yx"])
+    dy, dx = F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")
+    return spread.join(large(own), ["plane", "_y", "_x"]).where("a < b").where(dy * dy + dx * dx <= reach * reach).drop("_y", "_x")
+
+
 def _side(side: str, names: str = "y x") -> list[Column]:
     return [F.col(side + n) for n in names.split()]
 
@@ -126,7 +144,7 @@ def merged_bodies(pairs: DataFrame, labels: DataFrame, margin: int = 2) -> DataF
     rows = rows.select(*own, "c", F.explode(side).alias("_dy")).select(*own, "c", "_dy", F.explode(side).alias("_dx"))
     rows = rows.select(*own, (F.col("c.y") + F.col("_dy")).alias("y"), (F.col("c.x") + F.col("_dx")).alias("x")).distinct()
     foreign = (F.col("label") > 0) & ~F.coalesce(F.col("label") == F.col("acomponent"), F.lit(False)) & ~F.coalesce(F.col("label") == F.col("bcomponent"), F.lit(False))
-    return rows.join(labels.select("plane", "y", "x", "label"), ["plane", "y", "x"]).where(foreign).select("plane", "a", "b").distinct()
+    return rows.join(large(labels.select("plane", "y", "x", "label")), ["plane", "y", "x"]).where(foreign).select("plane", "a", "b").distinct()
 
 
 def crossed_sheets(pairs: DataFrame, labels: DataFrame, planes: int = 2, samples: int = 20) -> DataFrame:
@@ -137,7 +155,7 @@ def crossed_sheets(pairs: DataFrame, labels: DataFrame, planes: int = 2, samples
     apart = (F.col("ay") != F.col("by")) | (F.col("ax") != F.col("bx"))
     rows = pairs.where(apart).select("plane", "a", "b", F.explode(F.array_distinct(F.concat(F.array(*ends), path))).alias("c"))
     rows = rows.select("plane", "a", "b", "c.*", F.explode(dz).alias("dz")).withColumn("_at", F.col("plane") + F.col("dz"))
-    met = rows.join(labels.where("label > 0").select(F.col("plane").alias("_at"), "y", "x", "label"), ["_at", "y", "x"])
+    met = rows.join(large(labels.where("label > 0").select(F.col("plane").alias("_at"), "y", "x", "label")), ["_at", "y", "x"])
     under = [F.max(F.when(F.col("part") == s, F.col("label"))).alias(f"under_{s}") for s in "ab"]
     planes_met = met.groupBy("plane", "a", "b", "dz").agg(*under, F.collect_set(F.when(F.col("part") == "path", F.col("label"))).alias("found"))
     others = F.filter("found", lambda v: F.coalesce(v != F.col("under_a"), F.lit(True)) & F.coalesce(v != F.col("under_b"), F.lit(True)))
@@ -147,10 +165,11 @@ def crossed_sheets(pairs: DataFrame, labels: DataFrame, planes: int = 2, samples
 def guarded(candidates: DataFrame, labels: DataFrame, margin: int = 2, planes: int = 2) -> DataFrame:
     """Candidates with the reasons merger and cross_sheet added; only pairs that no other gate refused are looked up."""
     key = ["plane", "a", "b"]
+    candidates = materialise(candidates, "candidates")
     open_pairs = candidates.where("reason is null")
     merged = merged_bodies(open_pairs, labels, margin).withColumn("_merger", F.lit("merger"))
     crossed = crossed_sheets(open_pairs, labels, planes).withColumn("_crossed", F.lit("cross_sheet"))
-    return candidates.join(merged, key, "left").join(crossed, key, "left").withColumn("reason", F.coalesce("reason", "_merger", "_crossed")).drop("_merger", "_crossed")
+    return candidates.join(large(merged), key, "left").join(large(crossed), key, "left").withColumn("reason", F.coalesce("reason", "_merger", "_crossed")).drop("_merger", "_crossed")
 
 
 def local_axis(ends: DataFrame, labels: DataFrame, radius: int = 8, least: int = 5) -> DataFrame:

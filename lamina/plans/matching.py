@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.operators import joins, matching
+from lamina.operators import matching
 from lamina.plans.bindings import load
 from lamina.plans.registry import query
 
@@ -41,7 +41,7 @@ def labels(rows: DataFrame) -> DataFrame:
 def pairs(s: SparkSession, d: str) -> DataFrame:
     rows = ends(s, d)
     a, b = F.col("a"), F.col("b")
-    return matching.end_pairs(rows, joins.pairs_within(rows, 21)).withColumns({"adjacent": (a * 3 + b) % 10 / 10, "track": (a + b * 7) % 10 / 10})
+    return matching.near_pairs(rows, 21).withColumns({"adjacent": (a * 3 + b) % 10 / 10, "track": (a + b * 7) % 10 / 10})
 
 
 @query(f"with {PAIRS} select plane, count(*) as n, count(*) filter (where far) as far, round(sum(cos_a), 4) as cos_a, round(sum(cos_b), 4) as cos_b, round(sum(oppose), 4) as oppose, round(sum(radial), 4) as radial, round(sum(score), 4) as score from scored group by plane")

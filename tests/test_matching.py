@@ -135,3 +135,15 @@ def test_arc_ratio_works_a_curve_out_once(spark):
         points = u**3 * a + 3 * u * u * t * (a + reach * ta) + 3 * u * t * t * (b + reach * tb) + t**3 * b
         assert math.isclose(r.ratio, 1.0 if chord < 0.001 else np.hypot(*np.diff(points, axis=0).T).sum() / chord, rel_tol=1e-9)
     assert out._jdf.queryExecution().analyzed().toString().lower().count("sequence(") == 0
+
+
+def test_near_pairs_are_all_pairs_without_joins_back(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(rng.integers(2)), int(rng.integers(-60, 60)), int(rng.integers(-60, 60)), 1.0, 0.0, k, k) for k in range(200)]
+    ends = spark.createDataFrame(rows, "id long, plane int, y int, x int, ty double, tx double, component long, skeleton long")
+    got = matching.near_pairs(ends, 10)
+    want = {(p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and p[1] == q[1] and (p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 <= 100}
+    pairs = [(r.a, r.b) for r in got.collect()]
+    assert len(pairs) == len(want) and set(pairs) == want
+    assert set(got.columns) == set(matching.end_pairs(ends, joins.pairs_within(ends, 10)).columns)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
