@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lamina.operators.chunks import Block, over_chunks
 from lamina.operators.graph import CHUNK, offsets, voxel_components
 from lamina.operators.stencils import CELL, moved, shifted
-from lamina.sources.shared import materialise
+from lamina.sources.shared import large, materialise
 
 # Half-width of a neck at most, of the bodies at its ends at least, and its length at most, in pixels.
 NARROW, OPEN, LONGEST = 1.9, 2.4, 12
@@ -53,15 +53,15 @@ def find_necks(mask: DataFrame, centre: tuple[float, float] | None = None, narro
     dr and radial_dot are null.
     """
     wide = materialise(local_width(mask), "width")
-    thin = materialise(voxel_components(wide.where(F.col("width") <= narrow), 8).withColumnRenamed("component", "neck").join(wide, CELL), "thin")
-    thick = voxel_components(wide.where(F.col("width") > narrow), 8).withColumnRenamed("component", "body").join(wide, CELL)
+    thin = materialise(voxel_components(wide.where(F.col("width") <= narrow), 8).withColumnRenamed("component", "neck").join(large(wide), CELL), "thin")
+    thick = voxel_components(wide.where(F.col("width") > narrow), 8).withColumnRenamed("component", "body").join(large(wide), CELL)
     bodies = materialise(thick, "bodies")
-    large = bodies.groupBy("body").agg(F.max("width").alias("w")).where(F.col("w") >= opening).select("body")
-    opens = bodies.join(large, "body", "left_semi").withColumn("at", F.struct("y", "x"))
-    contact = shifted(opens, offsets(8), "body", "at").join(thin, CELL).groupBy("neck", "z", "body").agg(F.min("at").alias("at"))
+    opened = bodies.groupBy("body").agg(F.max("width").alias("w")).where(F.col("w") >= opening).select("body")
+    opens = bodies.join(large(opened), "body", "left_semi").withColumn("at", F.struct("y", "x"))
+    contact = shifted(opens, offsets(8), "body", "at").join(large(thin), CELL).groupBy("neck", "z", "body").agg(F.min("at").alias("at"))
     facts = contact.groupBy("neck", "z").agg(F.count("*").alias("bodies"), F.min_by("at", "body").alias("a"), F.max_by("at", "body").alias("b")).where("bodies > 1")
     sizes = thin.groupBy("neck").agg(F.max("width").alias("width"))
-    rows = facts.join(sizes, "neck").select("z", *[F.col(f"{e}.{c}").alias(f"{e}{c}") for e in "ab" for c in "yx"], "width", "bodies")
+    rows = facts.join(large(sizes), "neck").select("z", *[F.col(f"{e}.{c}").alias(f"{e}{c}") for e in "ab" for c in "yx"], "width", "bodies")
     dy, dx = F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")
     rows = rows.withColumns({"length": F.greatest(F.abs(dy), F.abs(dx)) - 1, "my": F.floor((F.col("ay") + F.col("by")) / 2).cast("int"), "mx": F.floor((F.col("ax") + F.col("bx")) / 2).cast("int")}).where(F.col("length") <= longest)
     if centre is None:
@@ -87,6 +87,6 @@ def neck_support(necks: DataFrame, planes: int = NEAR_PLANES, pixels: int = NEAR
     for c, name in zip(cell, ("cy", "cx"), strict=True):
         around = around.select("*", F.explode(F.sequence(c - 1, c + 1)).alias(name))
     others = rows.select(F.col("z").alias("oz"), F.col("my").alias("py"), F.col("mx").alias("px"), cell[0].alias("cy"), cell[1].alias("cx")).distinct()
-    near = around.join(others, ["oz", "cy", "cx"]).where((F.col("my") - F.col("py")) * (F.col("my") - F.col("py")) + (F.col("mx") - F.col("px")) * (F.col("mx") - F.col("px")) <= pixels * pixels)
+    near = around.join(large(others), ["oz", "cy", "cx"]).where((F.col("my") - F.col("py")) * (F.col("my") - F.col("py")) + (F.col("mx") - F.col("px")) * (F.col("mx") - F.col("px")) <= pixels * pixels)
     counts = near.select("neck", "oz").distinct().groupBy("neck").agg(F.count("*").alias("support"))
-    return rows.join(counts, "neck").drop("neck").withColumn("persistent", F.col("certified") & (F.col("support") >= least))
+    return rows.join(large(counts), "neck").drop("neck").withColumn("persistent", F.col("certified") & (F.col("support") >= least))
