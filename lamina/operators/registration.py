@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import geometry
 from lamina.operators.chunks import Block, Three, over_chunks
-from lamina.sources.shared import materialise
+from lamina.sources.shared import large, materialise
 
 CELL = ["z", "y", "x"]
 SHIFT = ["dz", "dy", "dx"]
@@ -402,14 +402,14 @@ def pull_back(fine: DataFrame, value: str, matrix: list[float], box: DataFrame,
         cells[f"g{c}"] = (base + F.col(f"o.d{c}")).cast("int")
     corner = corner.select(*CELL, *[v.alias(n) for n, v in cells.items()], weight.alias("w")).where("w > 0")
     fields = filtered.select(*[F.col(c).alias(f"g{c}") for c in CELL], "v")
-    sums = corner.join(fields, [f"g{c}" for c in CELL]).groupBy(*CELL).agg(F.sum(F.col("w") * F.col("v")).alias("p"))
-    out = coarse.join(sums, CELL, "left").withColumn("p", F.least(F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+    sums = corner.join(large(fields), [f"g{c}" for c in CELL]).groupBy(*CELL).agg(F.sum(F.col("w") * F.col("v")).alias("p"))
+    out = coarse.join(large(sums), CELL, "left").withColumn("p", F.least(F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
     if coverage is None:
         return out.select(*CELL, "p", F.lit(True).alias("valid"))
     solid = eroded_coverage(coverage, math.ceil(3 * sigma) + 2 + margin)
     nearest = [F.floor(F.col(f"f{c}") + 0.5).cast("int").alias(f"g{c}") for c in CELL]
     solid = solid.select(*[F.col(c).alias(f"g{c}") for c in CELL], F.lit(True).alias("solid"))
-    return out.select(*CELL, "p", *nearest).join(solid, [f"g{c}" for c in CELL], "left").select(*CELL, "p", F.coalesce("solid", F.lit(False)).alias("valid"))
+    return out.select(*CELL, "p", *nearest).join(large(solid), [f"g{c}" for c in CELL], "left").select(*CELL, "p", F.coalesce("solid", F.lit(False)).alias("valid"))
 
 
 def push_forward(fine: DataFrame, matrix: list[float], box: DataFrame) -> DataFrame:
@@ -422,5 +422,5 @@ def push_forward(fine: DataFrame, matrix: list[float], box: DataFrame) -> DataFr
     landed = fine.where("label = 1").select(*[F.floor(v + 0.5).cast("int").alias(c) for c, v in zip(("x", "y", "z"), image, strict=True)]).distinct().withColumn("hit", F.lit(True))
     nearest = [F.floor(p + 0.5).cast("int").alias(f"g{c}") for c, p in zip(CELL, _fine_place(matrix), strict=True)]
     known = fine.where("label in (0, 1)").select(*[F.col(c).alias(f"g{c}") for c in CELL], F.lit(True).alias("known")).distinct()
-    out = box.select(*CELL).distinct().select(*CELL, *nearest).join(known, [f"g{c}" for c in CELL], "left").join(landed, CELL, "left")
+    out = box.select(*CELL).distinct().select(*CELL, *nearest).join(large(known), [f"g{c}" for c in CELL], "left").join(large(landed), CELL, "left")
     return out.select(*CELL, F.when(F.col("hit"), 1).when(F.col("known"), 0).otherwise(2).alias("label"))
