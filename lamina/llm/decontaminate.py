@@ -17,6 +17,8 @@ BUCKET_BITS, RANK, HALF, SLICE, STOP = 14, 64, 16, 256, 2.0
 SHARE, SURE, ANSWER_WORDS, ANSWER_SHARE = 0.6, 0.8, 5, 0.6
 # Of an item's words the rarest are counted: as many as a leak may lack, and GATE of them more, which it has to have.
 ITEMS_PER_PASS, CHARS_PER_PASS, CHUNK, GATE, CELLS = 512, 256 << 10, 512 << 10, 0.3, 4 << 20
+# Rows of a segment that are added beside those of other segments.
+LONG = 64
 
 
 class Space(NamedTuple):
@@ -54,20 +56,39 @@ def halves(raw: np.ndarray, offsets: np.ndarray) -> Halves:
     return Halves(w, (w.hash >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), half, first, passage, last)
 
 
+def segment_sums(table: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows over segments of rows, none of them empty, that begin at first.
+
+    Segments are taken by size, so that those with a k-th row are the first ones, and their k-th rows are added at once; what is beyond LONG rows is
+    summed segment by segment.
+    """
+    size = np.diff(np.append(first, len(rows)))
+    order = np.argsort(-size, kind="stable")
+    size, first = size[order], first[order]
+    total = table[rows[first]]
+    for k in range(1, min(size[0], LONG)):
+        m = np.searchsorted(-size, -k)
+        total[:m] += table[rows[first[:m] + k]]
+    for i in range(np.searchsorted(-size, -LONG)):
+        total[i] += table[rows[first[i] + LONG : first[i] + size[i]]].sum(0)
+    out = np.empty_like(total)
+    out[order] = total
+    return out
+
+
 def sums(h: Halves, weight: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each passage the weighted sum of its words' rows of the table, and the norm of its weights."""
     if not len(h.first):
         return np.zeros((0, table.shape[1]), np.float32), np.zeros(0)
     at = np.flatnonzero(weight[h.bucket])
     bucket = h.bucket[at]
-    w = weight[bucket]
     first = np.searchsorted(at, h.first)
     size = np.diff(np.append(first, len(at)))
     some = np.flatnonzero(size)
     each, square = np.zeros((len(first), table.shape[1]), np.float32), np.zeros(len(first))
     if len(some):
-        each[some] = np.add.reduceat(table[bucket] * w[:, None], first[some], axis=0)
-        square[some] = np.add.reduceat(w.astype(float) ** 2, first[some])
+        each[some] = segment_sums(table * weight[:, None], bucket, first[some])
+        square[some] = np.add.reduceat(weight[bucket].astype(float) ** 2, first[some])
     double = (h.last > h.passage)[:, None]
     return each[h.passage] + np.where(double, each[h.last], 0), np.sqrt(square[h.passage] + np.where(double[:, 0], square[h.last], 0)) + 1e-9
 
@@ -141,7 +162,7 @@ def fit(docs: DataFrame, seed: int = 3) -> Space:
                 bucket = h.bucket[order]
                 at = np.flatnonzero(np.diff(bucket, prepend=-1))
                 if len(at):
-                    total[bucket[at]] += np.add.reduceat(back[h.half[order]], at, axis=0) * idf[bucket[at]][:, None]
+                    total[bucket[at]] += segment_sums(back, h.half[order], at) * idf[bucket[at]][:, None]
         yield _slices(total)
 
     got = summed(texts.mapInArrow(sketch, "key int, vector binary"), RANK)

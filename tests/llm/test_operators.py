@@ -497,3 +497,13 @@ def test_one_id_may_have_several_texts(spark):
     rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, prose(rng, "en", 50))]
     got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(documents(spark, rows, True)).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_segment_sums_are_plain_sums():
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=(50, 3)).astype(np.float32)
+    size = np.array([1, 3, 200, 64, 65, 2, 1, 16])
+    rows, first = rng.integers(0, 50, size.sum()), np.cumsum(size) - size
+    want = [table[rows[a : a + n]].sum(0) for a, n in zip(first, size, strict=True)]
+    assert np.allclose(decontaminate.segment_sums(table, rows, first), want, atol=1e-4)
+    assert np.allclose(decontaminate.segment_sums(table, rows[:1], first[:1]), table[rows[:1]])
