@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry
@@ -155,10 +155,13 @@ def _solve(sums: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def prepared(anchors: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """anchors (by, z, y, x and shifts sz, sy, sx) with the old places oz, oy, ox and each group's mean and spread of them."""
+    """anchors (by, z, y, x and shifts sz, sy, sx) with the old places oz, oy, ox and each group's mean and spread of them.
+
+    The facts of the groups are written, so that the anchors of a large group stay where they are unless there are very many groups.
+    """
     old = anchors.withColumns({o: F.col(c) - F.col(s) for o, c, s in zip(OLD, AXES, DELTA, strict=True)})
     facts = old.groupBy(*by).agg(*[F.avg(o).alias(f"m{o}") for o in OLD], *[F.greatest(F.stddev_pop(o), F.lit(1.0)).alias(f"d{o}") for o in OLD])
-    return old.join(facts, list(by))
+    return old.join(materialise(facts, "places"), list(by))
 
 
 def huber_fit(anchors: DataFrame, by: tuple[str, ...], delta: float = 1.5, rounds: int = 25, settled: float = 1e-5) -> DataFrame:
@@ -203,14 +206,40 @@ def correction(fit: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return fit.select(*by, F.array(*rows).alias("correction"), "rank", "n", "rounds")
 
 
+def _quantiles(rows: DataFrame, by: tuple[str, ...], value: str, wanted: dict[str, float]) -> DataFrame:
+    """by and the exact interpolated quantiles of a column of numbers of at least 0, as percentile gives them.
+
+    A histogram by size tells in which bins the ranks lie (64 bins an octave); only these bins' values are put in order, equal ones once.
+    """
+    v = F.col(value)
+    size = F.when(F.isnan(v), F.lit(2**31 - 1)).otherwise(F.coalesce(F.floor(F.when(v > 0, F.least(F.log2(v) * 64, F.lit(1e9)))).cast("int"), F.lit(-(2**31))))
+    binned = rows.where(v.isNotNull()).select(*by, v.alias("_v"), size.alias("_bin"))
+    up, whole = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+    bins = binned.groupBy(*by, "_bin").agg(F.count("*").alias("_c")).select("*", (F.sum("_c").over(up) - F.col("_c")).alias("_before"), F.sum("_c").over(whole).alias("_n"))
+    place = {name: F.lit(q) * (F.col("_n") - 1) for name, q in wanted.items()}
+    ranks = F.array(*[f(p).cast("long") for p in place.values() for f in (F.floor, F.ceil)])
+    held = bins.where(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c"))))
+    few = binned.join(materialise(held.drop("_c"), "bins"), [*by, "_bin"]).groupBy(*by, "_bin", "_before", "_n", "_v").agg(F.count("*").alias("_c"))
+    ordered = Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    few = few.withColumn("_end", F.col("_before") + F.sum("_c").over(ordered))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end")), F.col("_v")))
+
+    ends = few.groupBy(*by, "_n").agg(*[at(f(p)).alias(f"_{name}{k}") for name, p in place.items() for k, f in enumerate((F.floor, F.ceil))])
+    between = {name: F.when(F.floor(p) == F.ceil(p), F.col(f"_{name}0")).otherwise((F.ceil(p) - p) * F.col(f"_{name}0") + (p - F.floor(p)) * F.col(f"_{name}1")) for name, p in place.items()}
+    return ends.select(*by, *[v.alias(name) for name, v in between.items()])
+
+
 def residual_facts(anchors: DataFrame, corrections: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """count, largest component, norms (median, 90th percentile, largest) and rms of what the corrections leave at the anchors."""
     joined = anchors.join(corrections, list(by))
     m = [F.col("correction")[i] for i in range(12)]
     old = [F.col(c) - F.col(s) for c, s in zip(AXES, DELTA, strict=True)]
     left = [F.col(c) - (m[4 * i] * old[0] + m[4 * i + 1] * old[1] + m[4 * i + 2] * old[2] + m[4 * i + 3]) for i, c in enumerate(AXES)]
-    rows = joined.select(*by, _norm(left).alias("norm"), F.greatest(*[F.abs(v) for v in left]).alias("component"))
-    return rows.groupBy(*by).agg(F.count("*").alias("count"), F.max("component").alias("largest_component"), F.percentile("norm", 0.5).alias("median_norm"), F.percentile("norm", 0.9).alias("p90_norm"), F.max("norm").alias("largest_norm"), F.sqrt(F.sum(F.col("norm") * F.col("norm")) / (3 * F.count("*"))).alias("rms"))
+    rows = materialise(joined.select(*by, _norm(left).alias("norm"), F.greatest(*[F.abs(v) for v in left]).alias("component")), "residuals")
+    facts = rows.groupBy(*by).agg(F.count("*").alias("count"), F.max("component").alias("largest_component"), F.max("norm").alias("largest_norm"), F.sqrt(F.sum(F.col("norm") * F.col("norm")) / (3 * F.count("*"))).alias("rms"))
+    return facts.join(_quantiles(rows, by, "norm", {"median_norm": 0.5, "p90_norm": 0.9}), list(by), "left")
 
 
 def hold_out(anchors: DataFrame, by: tuple[str, ...], key: str, modulus: int = 3) -> DataFrame:
@@ -226,11 +255,9 @@ def hold_out(anchors: DataFrame, by: tuple[str, ...], key: str, modulus: int = 3
     need = F.greatest(F.lit(4), F.floor(F.col("n") / (modulus + 1)))
     facts = facts.withColumn("need", need).withColumn("few", F.col("k") < F.col("need"))
     facts = facts.withColumn("thin", F.col("n") - F.when(F.col("few"), F.least("need", "n")).otherwise(F.col("k")) < 5)
-    rows = marked.join(facts.select(*by, "need", "few", "thin"), list(by))
+    rows = marked.join(materialise(facts.select(*by, "need", "few", "thin"), "sizes"), list(by))
     plain = rows.where("not few and not thin")
     odd = rows.where("few or thin")
-    from pyspark.sql import Window
-
     by_sha, by_key = (Window.partitionBy(*by).orderBy(*c) for c in (["sha", key], [key, "sha"]))
     odd = odd.withColumn("held", F.when(F.col("thin"), (F.row_number().over(by_key) - 1) % modulus == 0).otherwise(F.row_number().over(by_sha) <= F.col("need")))
     return plain.unionByName(odd).drop("sha", "need", "few", "thin")
@@ -243,7 +270,7 @@ def refine(anchors: DataFrame, by: tuple[str, ...], key: str, least: int = 12, m
     all anchors. Groups that fail keep it as a first guess for local registration. A group of fewer than least anchors isn't fitted.
     """
     known = anchors.dropna(subset=[*AXES, *DELTA, key])
-    sizes = known.groupBy(*by).agg(F.count("*").alias("eligible"))
+    sizes = materialise(known.groupBy(*by).agg(F.count("*").alias("eligible")), "eligible")
     enough = materialise(hold_out(known.join(sizes.where(F.col("eligible") >= least).select(*by), list(by), "left_semi"), by, key, modulus), "anchors")
     # Both fits of all groups go through the rounds together.
     both = enough.select("*", F.explode(F.lit(["all", "fit"])).alias("rows")).where("rows = 'all' or not held")
