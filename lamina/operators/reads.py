@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.sources.shared import materialise
+
 CELL = ["z", "y", "x"]
 BOUNDS = ["z0", "z1", "y0", "y1", "x0", "x1"]
 
@@ -73,24 +75,63 @@ def _gap(a: str, b: str) -> Column:
     return F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
 
 
+# Others that a box is held against at once when the first touching one is looked for.
+BLOCK = 64
+
+
+def _first_touching(key: str, kind: str, asks: DataFrame, others: DataFrame, apart: bool) -> DataFrame:
+    """a and b: for each cell and box a of it the smallest key b of the cell's others that touch or overlap it."""
+    cell = [f"g{c}" for c in CELL]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("b")
+        mine, theirs = (np.stack([t.column(c).to_numpy() for c in BOUNDS]) for t in (left, right))
+        names, keys = (t.column(n).to_numpy(zero_copy_only=False) for t, n in ((left, "a"), (right, "b")))
+        found, open_ = np.full(len(names), -1), np.arange(len(names))
+        for x in range(0, len(keys) if len(names) else 0, BLOCK):
+            some = slice(x, x + BLOCK)
+            touch = names[open_][:, None] != keys[some] if apart else np.ones((len(open_), len(keys[some])), bool)
+            for low, high in ((0, 1), (2, 3), (4, 5)):
+                touch &= (mine[low][open_][:, None] <= theirs[high][some]) & (theirs[low][some] <= mine[high][open_][:, None])
+            hit = touch.any(1)
+            found[open_[hit]] = x + touch[hit].argmax(1)
+            open_ = open_[~hit]
+            if not len(open_):
+                break
+        at = np.flatnonzero(found >= 0)
+        return pa.table({"a": left.column("a").take(pa.array(at)), "b": right.column("b").take(pa.array(found[at]))})
+
+    return asks.groupBy(*cell).cogroup(others.groupBy(*cell)).applyInArrow(run, f"a {kind}, b {kind}")
+
+
 def nearest_boxes(boxes: DataFrame, others: DataFrame, key: str, reach: float, apart: bool = False) -> DataFrame:
     """key, nearest and distance for each box (z0, z1, y0, y1, x0, x1, half-open): its distance to the nearest of the others within reach.
 
     Touching and overlapping boxes have distance 0; equally near ones go by key; nearest is null if none is within reach. With apart,
-    others of the same key don't count. Boxes meet through cells as wide as the reach, so pairs beyond it are hardly made.
+    others of the same key don't count. Boxes that touch meet in narrow cells, where the others are gone through by key up to the first
+    that touches; only boxes that touch none are paired with all others of cells as wide as the reach. So crowded boxes aren't paired.
     """
     wide = max(1.0, float(reach))
+    kind = boxes.schema[key].dataType.simpleString()
 
-    def cells(df: DataFrame, name: str, more: float) -> DataFrame:
-        out = df.dropna(subset=[key, *BOUNDS]).select(F.col(key).alias(name), F.struct(*BOUNDS).alias(f"{name}_box"))
+    def cells(df: DataFrame, name: str, width: float, more: float) -> DataFrame:
+        out = df.dropna(subset=[key, *BOUNDS]).select(F.col(key).alias(name), *BOUNDS)
         for c in CELL:
-            span = F.sequence(F.floor((F.col(f"{name}_box.{c}0") - more) / wide), F.floor((F.col(f"{name}_box.{c}1") + more) / wide))
+            span = F.sequence(F.floor((F.col(f"{c}0") - more) / width), F.floor((F.col(f"{c}1") + more) / width))
             out = out.select("*", F.explode(span).alias(f"g{c}"))
         return out
 
-    near = cells(boxes, "a", wide).join(cells(others, "b", 0.0), [f"g{c}" for c in CELL])
+    def boxed(df: DataFrame, name: str) -> DataFrame:
+        return df.select(name, F.struct(*BOUNDS).alias(f"{name}_box"), *[f"g{c}" for c in CELL])
+
+    narrow = max(1.0, wide / 3)
+    touching = _first_touching(key, kind, cells(boxes, "a", narrow, 0.0), cells(others, "b", narrow, 0.0), apart).where(F.lit(reach) >= 0)
+    touching = materialise(touching.groupBy("a").agg(F.min("b").alias("b")).withColumn("d", F.lit(0.0)), "touching")
+    alone = boxes.join(touching.select(F.col("a").alias(key)), key, "left_anti")
+    near = boxed(cells(alone, "a", wide, wide), "a").join(boxed(cells(others, "b", wide, 0.0), "b"), [f"g{c}" for c in CELL])
     if apart:
         near = near.where("a <> b")
     near = near.withColumn("d", _gap("a_box", "b_box")).where(F.col("d") <= reach)
-    best = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select(F.col("a").alias(key), F.col("m.b").alias("nearest"), F.col("m.d").alias("distance"))
+    best = touching.select("a", F.struct("d", "b").alias("m")).unionByName(near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")))
+    best = best.groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias(key), F.col("m.b").alias("nearest"), F.col("m.d").alias("distance"))
     return boxes.select(key).distinct().join(best, key, "left")

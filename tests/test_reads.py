@@ -53,3 +53,24 @@ def test_box_distances(spark):
             want = (j, d) if d <= 12.5 else (None, None)
             assert got[i][0] == want[0] and (want[1] is None or abs(got[i][1] - want[1]) < 1e-9)
         assert got[99] == (None, None)
+
+
+def test_crowded_boxes_are_not_paired(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    low = np.vstack([rng.integers(0, 30, (400, 3)), rng.integers(300, 600, (20, 3))])
+    high = low + rng.integers(1, 12, low.shape)
+    df = spark.createDataFrame([(f"b{i}", *(int(v) for pair in zip(a, b, strict=True) for v in pair)) for i, (a, b) in enumerate(zip(low, high, strict=True))], "id string, z0 long, z1 long, y0 long, y1 long, x0 long, x1 long")
+    written = {}
+
+    def noted(rows, name, write=reads.materialise):
+        written[name] = write(rows, name)
+        return written[name]
+
+    monkeypatch.setattr(reads, "materialise", noted)
+    for apart in (True, False):
+        got = {r.id: (r.nearest, r.distance) for r in reads.nearest_boxes(df, df, "id", 40.0, apart).collect()}
+        for i in range(len(low)):
+            gap = np.maximum(np.maximum(low[i] - high, low - high[i]), 0)
+            far = sorted((d, f"b{j}") for j, d in enumerate(np.sqrt((gap**2).sum(1))) if d <= 40.0 and not (apart and i == j))
+            assert got[f"b{i}"] == ((far[0][1], far[0][0]) if far else (None, None)), i
+        assert 400 <= written["touching"].count() <= 420
