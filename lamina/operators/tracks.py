@@ -28,18 +28,19 @@ def _advance(live: dict[int, tuple], free: int, z: int, ends: np.ndarray, reach:
         del live[t]
     names = sorted(t for t, v in live.items() if v[4] != z)
     now = np.array([live[t][:4] for t in names]).reshape(-1, 4)
+    far = ((ends[:, None, :2] - now[None, :, :2]) ** 2).sum(2)
+    far[ends[:, 2:3] * now[:, 2] + ends[:, 3:4] * now[:, 3] < 0] = np.inf
     out = []
-    for end in ends:
-        far = ((end[:2] - now[:, :2]) ** 2).sum(1)
-        far[(end[2:] @ now[:, 2:].T) < 0] = np.inf
-        k = int(far.argmin()) if len(far) else 0
-        if len(far) and far[k] < reach * reach:
-            track, members = names[k], live[names[k]][5] + 1
-            live[track] = (*(now[k] + (end - now[k]) / members).tolist(), z, members)
-            now[k, :2] = np.inf  # taken for this plane
+    for i, end in enumerate(ends.tolist()):
+        k = int(far[i].argmin()) if names else 0
+        if names and far[i, k] < reach * reach:
+            track, old = names[k], live[names[k]]
+            members = old[5] + 1
+            live[track] = (*(a + (b - a) / members for a, b in zip(old, end)), z, members)
+            far[:, k] = np.inf  # taken for this plane
         else:
             track, free = free, free + 1
-            live[track] = (*end.tolist(), z, 1)
+            live[track] = (*end, z, 1)
         out.append(track)
     return out, free
 
@@ -50,15 +51,17 @@ def _walk(df: pd.DataFrame, live: dict[int, tuple], free: int, newest: int | Non
     good = df[["z", "id", "y", "x", "ty", "tx"]].notna().all(axis=1).to_numpy()
     if newest is not None:
         good &= df["z"].to_numpy() >= newest
-    tracks = pd.array([None] * len(df), dtype="Int64")
+    tracks = np.full(len(df), -1, np.int64)
     places = df[["y", "x", "ty", "tx"]].to_numpy(float)
     planes = df["z"].to_numpy()
-    for z in pd.unique(planes[good]):
-        at = np.flatnonzero(good & (planes == z))
-        found, free = _advance(live, free, int(z), places[at], reach, gap)
-        tracks[at] = found
-        newest = int(z)
-    return df[["region", "z", "id"]].assign(track=tracks), free, newest
+    # Rows are in order of planes, so each plane is a run of them.
+    rows = np.flatnonzero(good)
+    first = np.flatnonzero(np.diff(planes[rows].astype(float), prepend=-np.inf))
+    for begin, end in zip(first, [*first[1:], len(rows)], strict=True) if len(rows) else ():
+        at, z = rows[begin:end], int(planes[rows[begin]])
+        tracks[at], free = _advance(live, free, z, places[at], reach, gap)
+        newest = z
+    return df[["region", "z", "id"]].assign(track=pd.arrays.IntegerArray(tracks, tracks < 0)), free, newest
 
 
 def endpoint_tracks(ends: DataFrame, reach: float = REACH, gap: int = GAP) -> DataFrame:

@@ -3,6 +3,9 @@
 import random
 import tempfile
 
+import numpy as np
+import pandas as pd
+
 from lamina.operators import tracks
 from lamina.streaming.counts import run_available
 
@@ -109,3 +112,11 @@ def test_stream_and_batch_agree(spark):
     finally:
         spark.conf.unset(name)
     assert got == walked(rows)
+
+
+def test_planes_are_not_searched_for_once_a_plane(monkeypatch):
+    n, looked = 3000, []
+    df = pd.DataFrame({"region": 1, "z": np.arange(n) // 2, "id": np.arange(n), "y": 0.0, "x": 0.0, "ty": 1.0, "tx": 0.0})
+    monkeypatch.setattr(tracks.np, "flatnonzero", lambda a, plain=np.flatnonzero: looked.append(np.size(a)) or plain(a))
+    out = tracks._walk(df, {}, 0, None, 8.0, 10)[0]
+    assert list(out["track"]) == [0, 1] * (n // 2) and sum(looked) <= 3 * n
