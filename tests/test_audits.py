@@ -35,3 +35,17 @@ def test_recovered(spark, capsys):
     found = audits.recovered(df, "score", 2)
     assert not moved_rows(found, capsys)
     assert {(r.z, r.y, r.x): r.recovered for r in found.collect()} == want
+
+
+def test_survival_in_chunks(spark, capsys):
+    rows = voxels(1, (20, 8, 70))
+    df = spark.createDataFrame([(*at, *v) for at, v in rows.items()], FIELD)
+    known = {at: s for at, (s, t) in rows.items() if s is not None and s == s}
+    found = audits.survival(df, [1, 2])
+    assert not moved_rows(found, capsys)
+    got = {(r.z, r.y, r.x): (r.level_0, r.level_1, r.level_2) for r in found.collect()}
+    assert got.keys() == known.keys()
+    for at, levels in got.items():
+        for k, level in enumerate(levels):
+            near = [known.get(tuple(a + o for a, o in zip(at, step, strict=True))) for step in stencils.cross(k)]
+            assert level == (None if None in near else min(near))
