@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from lamina.functions.hashing import hash_number
 
+from lamina.functions.hashing import hash_number
+from lamina.sources.shared import large, materialise, partitions
 
 
 def sample_n(df: DataFrame, by: str, key: str, n: int, seed: int) -> DataFrame:
@@ -32,10 +33,12 @@ def bootstrap(counts: DataFrame, replicates: int, seed: int) -> DataFrame:
     cluster with the number hash(seed, replicate, scroll, k) modulo their count.
     """
     ranked = counts.withColumns({"_i": F.row_number().over(Window.partitionBy("scroll").orderBy("cluster")) - 1, "_n": F.count("*").over(Window.partitionBy("scroll"))})
-    draws = ranked.select("scroll", F.col("_i").alias("k"), "_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    ranked = materialise(ranked.drop("cluster"), "clusters")
+    # The clusters are dealt out before they are drawn for: a scroll's draws aren't one task's, and no task holds draws to count them.
+    parts = partitions(counts.sparkSession, ranked.count() * replicates)
+    draws = ranked.select("scroll", F.col("_i").alias("k"), "_n").repartition(parts, "scroll", "k").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draws = draws.select("scroll", "replicate", (hash_number(F.concat_ws(":", F.lit(seed), "replicate", "scroll", "k")) % F.col("_n")).cast("int").alias("_i"))
-    weights = draws.groupBy("scroll", "replicate", "_i").agg(F.count("*").alias("w"))
-    sums = weights.join(ranked, ["scroll", "_i"]).groupBy("replicate", "scroll").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "fp", "fn")])
+    sums = draws.join(large(ranked), ["scroll", "_i"]).groupBy("replicate", "scroll").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     dice = 2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1))
     return sums.groupBy("replicate").agg(F.avg(dice).alias("macro"))
 
