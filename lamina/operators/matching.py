@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import geometry
 from lamina.sources.shared import large, materialise
 
+# Width of the tiles whose ends are answered at once.
+TILE = 64
+
 
 class Gates(NamedTuple):
     """Limits of a join. The defaults; near limits hold up to safe pixels, far ones beyond."""
@@ -176,18 +182,44 @@ def local_axis(ends: DataFrame, labels: DataFrame, radius: int = 8, least: int =
     """Main direction of an end's own body in the square window around it: id, n, axis_y, axis_x, anisotropy, outward_y, outward_x.
 
     The axis points to positive y (or x); outward is the unit vector from the body's mean to the end. With fewer than least pixels all are 0.
-    Windows meet labels through cells of the radius; only sums leave a cell.
+    Whole coordinates. Labels go to the tiles that their windows meet, ends to their own; a tile answers its ends from tables of box sums.
     """
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
-    left = ends.select("id", "plane", F.col("y").alias("ey"), F.col("x").alias("ex"), F.col("component").alias("label"), around)
-    left = left.select("id", "plane", "label", "ey", "ex", (F.floor(F.col("ey") / radius) + F.col("o.i")).alias("cy"), (F.floor(F.col("ex") / radius) + F.col("o.j")).alias("cx"))
-    right = labels.select("plane", "label", "y", "x", F.floor(F.col("y") / radius).alias("cy"), F.floor(F.col("x") / radius).alias("cx"))
-    near = left.join(right, ["plane", "label", "cy", "cx"]).where((F.abs(F.col("y") - F.col("ey")) <= radius) & (F.abs(F.col("x") - F.col("ex")) <= radius))
-    v, u = (F.col("y") - F.col("ey")).cast("long"), (F.col("x") - F.col("ex")).cast("long")
-    sums = near.groupBy("id").agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in (("sy", v), ("sx", u), ("syy", v * v), ("sxx", u * u), ("syx", v * u))])
+    complete = F.lit(True)
+    for name in ("plane", "y", "x", "component"):
+        complete = complete & F.col(name).isNotNull()
+    own = [F.when(complete, F.floor(F.col(c) / TILE)).otherwise(F.pmod(F.xxhash64("id"), F.lit(1024))).alias(f"t{c}") for c in "yx"]
+    left = ends.select("id", "plane", *own, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.when(complete, F.col("component")).alias("label"))
+    right = labels.dropna(subset=["plane", "y", "x", "label"]).select("plane", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("label").cast(left.schema["label"].dataType).alias("label"))
+    for c in "yx":
+        right = right.select("*", F.explode(F.sequence(F.floor((F.col(c) - radius) / TILE), F.floor((F.col(c) + radius) / TILE))).alias(f"t{c}"))
+    side = TILE + 2 * radius
+    kinds = ["n", "sy", "sx", "syy", "sxx", "syx"]
+
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        out = np.zeros((6, mine.num_rows), np.int64)
+        if mine.num_rows and theirs.num_rows:
+            names = pc.unique(theirs.column("label"))
+            whose, label = (pc.fill_null(pc.index_in(t.column("label"), names), -1).to_numpy() for t in (mine, theirs))
+            low = [theirs.column(f"t{c}")[0].as_py() * TILE - radius for c in "yx"]
+            ey, ex, y, x = (pc.fill_null(t.column(c), 0).to_numpy() - o for t in (mine, theirs) for c, o in zip("yx", low, strict=True))
+            gy, gx = np.mgrid[:side, :side]
+            for k in np.unique(whose[whose >= 0]):
+                at, of = whose == k, label == k
+                pixels = np.bincount(y[of] * side + x[of], minlength=side * side).reshape(side, side)
+                sums = np.zeros((6, side + 1, side + 1), np.int64)
+                sums[:, 1:, 1:] = np.stack([pixels, pixels * gy, pixels * gx, pixels * gy * gy, pixels * gx * gx, pixels * gy * gx]).cumsum(1).cumsum(2)
+                a, b = ey[at] - radius, ex[at] - radius
+                c, d = a + 2 * radius + 1, b + 2 * radius + 1
+                n, sy, sx, syy, sxx, syx = sums[:, c, d] - sums[:, a, d] - sums[:, c, b] + sums[:, a, b]
+                v, u = ey[at], ex[at]
+                out[:, at] = n, sy - n * v, sx - n * u, syy - 2 * v * sy + n * v * v, sxx - 2 * u * sx + n * u * u, syx - v * sx - u * sy + n * v * u
+        return pa.table({"id": mine.column("id"), **dict(zip(kinds, map(pa.array, out), strict=True))})
+
+    place = ["plane", "ty", "tx"]
+    rows = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(run, f"id {ends.schema['id'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in kinds))
     n = F.col("n")
     a, c, b = ((n * F.col(p) - F.col(q) * F.col(r)) / (n * (n - 1)) for p, q, r in (("syy", "sy", "sy"), ("sxx", "sx", "sx"), ("syx", "sy", "sx")))
-    rows = ends.select("id").join(sums, "id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("_ok", n >= least)
+    rows = rows.withColumn("_ok", n >= least)
     rows = rows.withColumns({name: F.when(F.col("_ok"), e) for name, e in (("_a", a), ("_b", b), ("_c", c))})
     half = F.sqrt((F.col("_a") - F.col("_c")) * (F.col("_a") - F.col("_c")) / 4 + F.col("_b") * F.col("_b"))
     mean = (F.col("_a") + F.col("_c")) / 2

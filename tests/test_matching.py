@@ -97,6 +97,25 @@ def test_axes(spark):
         assert np.allclose(out / max(1e-8, np.linalg.norm(out)), (r.outward_y, r.outward_x))
 
 
+def test_axes_in_tiles(spark, capsys):
+    rng = np.random.default_rng(8)
+    cells = [(0, int(y), int(x), int(v)) for (y, x), v in zip(rng.integers(-80, 150, (9000, 2)), rng.integers(1, 4, 9000), strict=True)]
+    rows = [(i, 0, int(y), int(x), 0.0, 0.0, 1 + i % 4, 0) for i, (y, x) in enumerate(rng.integers(-80, 150, (60, 2)))] + [(90, None, 1, 1, 0.0, 0.0, 1, 0), (91, 0, None, 1, 0.0, 0.0, 1, 0)]
+    found = matching.local_axis(spark.createDataFrame(rows, ENDS), spark.createDataFrame(cells, LABELS))
+    found.explain()
+    assert "Generate explode([" not in capsys.readouterr().out  # no end is written once a cell around it
+    got = {r.id: r for r in found.collect()}
+    assert len(got) == len(rows) and got[90].n == got[91].n == 0
+    for i, _, y, x, _, _, owner, _ in rows[:60]:
+        points = np.array([c[1:3] for c in cells if c[3] == owner and abs(c[1] - y) <= 8 and abs(c[2] - x) <= 8])
+        assert got[i].n == len(points)
+        if len(points) >= 5:
+            values = np.linalg.eigvalsh(np.cov(points.T))
+            assert math.isclose(got[i].anisotropy, values[-1] / max(0.25, values[0]), rel_tol=1e-9)
+            out = np.array([y, x]) - points.mean(axis=0)
+            assert np.allclose(out / max(1e-8, np.linalg.norm(out)), (got[i].outward_y, got[i].outward_x))
+
+
 def test_path_features(spark):
     rng = np.random.default_rng(7)
     paths = {p: np.cumsum(rng.integers(-2, 3, (n, 2)), axis=0) for p, n in enumerate((1, 2, 8, 9, 60))}
