@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,42 +31,84 @@ def read_points(chunks: DataFrame, points: DataFrame, size: int, fill: float) ->
 def read_windows(chunks: DataFrame, boxes: DataFrame, key: str, size: int, fill: float) -> DataFrame:
     """key, shape and values (row-major) of each half-open box z0, z1, y0, y1, x0, x1; fill where nothing is stored or known.
 
-    A box asks for the chunks that it meets; its task holds one box and one chunk after the other. Boxes may reach outside the volume and
-    overlap. Boxes with a null, or without extent along an axis, give an empty array.
+    A box asks for the chunks that it meets and gets only the cells of each that it needs; boxes are put together batch by batch, so one of
+    them is held at least. Boxes may reach outside the volume and overlap. Boxes with a null, or without extent along an axis, give an empty array.
     """
     kind = boxes.schema[key].dataType.simpleString()
     number = chunks.schema["values"].dataType.elementType.simpleString()
-    ask = boxes.select(key, *BOUNDS)
     valid = F.lit(True)
     for c in CELL:
         valid = valid & (F.col(f"{c}0") < F.col(f"{c}1"))
-    reach = ask.withColumn("_valid", F.coalesce(valid, F.lit(False)))
+    reach = boxes.select(key, *BOUNDS).withColumn("_valid", F.coalesce(valid, F.lit(False)))
     for c in CELL:
         span = F.sequence(F.floor(F.col(f"{c}0") / size).cast("int"), F.floor((F.col(f"{c}1") - 1) / size).cast("int"))
         reach = reach.select("*", F.explode(F.when(F.col("_valid"), span).otherwise(F.array(F.lit(0)))).alias(f"c{c}"))
-    joined = reach.join(chunks.select("cz", "cy", "cx", "values"), ["cz", "cy", "cx"], "left").select(key, "_valid", *BOUNDS, "cz", "cy", "cx", "values")
-
-    def fetch(table: pa.Table) -> pa.Table:
-        low, high = ([table.column(f"{c}{e}")[0].as_py() for c in CELL] for e in (0, 1))
-        shape = [b - a for a, b in zip(low, high, strict=True)] if table.column("_valid")[0].as_py() else [0, 0, 0]
-        out = np.full(shape, fill, float)
-        for i in range(table.num_rows if out.size else 0):
-            values = table.column("values")[i].values
-            if values is None:
+    # Chunks that no box meets stay out of the join: where few are asked for by many boxes, they are sent to the boxes.
+    place = ["cz", "cy", "cx"]
+    stored = chunks.select(*place, "values").join(reach.where("_valid").select(*place).distinct(), place, "left_semi")
+    joined = reach.join(stored, place, "left")
+    for c in CELL:
+        joined = joined.withColumns({f"_{c}0": F.greatest(F.col(f"{c}0") - F.col(f"c{c}") * size, F.lit(0)).cast("int"), f"_{c}1": F.least(F.col(f"{c}1") - F.col(f"c{c}") * size, F.lit(size)).cast("int")})
+    rows = lambda z: F.flatten(F.transform(F.sequence(F.col("_y0"), F.col("_y1") - 1), lambda y: F.slice("values", (z * size + y) * size + F.col("_x0") + 1, F.col("_x1") - F.col("_x0"))))
+    part = F.when(F.col("_valid") & F.col("values").isNotNull(), F.flatten(F.transform(F.sequence(F.col("_z0"), F.col("_z1") - 1), rows)))
+    parts = joined.select(key, "_valid", *[F.col(b).cast("long").alias(b) for b in BOUNDS], *place, part.alias("part"))
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        """Number of the box of each row: rows of one key and the same bounds stand together."""
+        new = np.diff(table.column(key).combine_chunks().dictionary_encode("encode").indices.to_numpy()) != 0
+        for b in BOUNDS:
+            new |= np.diff(table.column(b).fill_null(0).to_numpy()) != 0
+        return np.r_[0, np.cumsum(new)]
+
+    def put_together(table: pa.Table, box: np.ndarray) -> pa.RecordBatch:
+        """One row for each box; every known value of a part goes to its cell of the box."""
+        first = np.flatnonzero(np.r_[True, np.diff(box) != 0])
+        bounds = {b: table.column(b).fill_null(0).to_numpy() for b in BOUNDS}
+        whole = table.column("_valid").to_numpy(zero_copy_only=False).astype(bool)[first]
+        shape = np.stack([np.where(whole, bounds[f"{c}1"][first] - bounds[f"{c}0"][first], 0) for c in CELL])
+        starts = np.r_[0, np.cumsum(shape.prod(0))]
+        out = np.full(starts[-1], fill, float)
+        lists = table.column("part").combine_chunks()
+        lengths = np.asarray(lists.value_lengths().fill_null(0))
+        values = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        left = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        at = starts[box[row]]
+        low = {c: np.maximum(bounds[f"{c}0"], table.column(f"c{c}").to_numpy() * size) for c in CELL}
+        wide = {c: np.minimum(bounds[f"{c}1"], (table.column(f"c{c}").to_numpy() + 1) * size) - low[c] for c in CELL}
+        stride = {"z": shape[1] * shape[2], "y": shape[2], "x": np.ones_like(shape[2])}
+        for c in reversed(CELL):
+            at = at + (left % wide[c][row] + (low[c] - bounds[f"{c}0"])[row]) * stride[c][box[row]]
+            left = left // wide[c][row]
+        known = ~np.isnan(values)
+        out[at[known]] = values[known]
+        arrays = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(out, pa.float64())).cast(pa.list_(wanted))
+        shapes = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * 3, pa.int32()), pa.array(shape.T.ravel(), pa.int32()))
+        names = table.column(key).take(pa.array(first))
+        return pa.RecordBatch.from_arrays([names.combine_chunks(), shapes, arrays], [key, "shape", "values"])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            known = values.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape((size,) * 3)
-            origin = [table.column(f"c{c}")[i].as_py() * size for c in CELL]
-            begin, end = [max(a, o) for a, o in zip(low, origin, strict=True)], [min(b, o + size) for b, o in zip(high, origin, strict=True)]
-            part = known[tuple(slice(a - o, b - o) for a, b, o in zip(begin, end, origin, strict=True))]
-            to = tuple(slice(a - o, b - o) for a, b, o in zip(begin, end, low, strict=True))
-            out[to] = np.where(np.isnan(part), out[to], part)
-        whole = pa.array([[*shape]], pa.list_(pa.int32()))
-        return pa.table({key: table.column(key).slice(0, 1), "shape": whole, "values": pa.array([out.ravel()], pa.list_(pa.float64())).cast(pa.list_(wanted))})
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            box = numbered(table)
+            # The last box may go on in the next batch.
+            n = int(np.searchsorted(box, box[-1]))
+            if n:
+                yield put_together(table.slice(0, n), box[:n])
+                held = table.slice(n).combine_chunks().to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield put_together(table, numbered(table))
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     wanted = to_arrow_type(chunks.schema["values"].dataType.elementType)
-    return joined.groupBy(key).applyInArrow(fetch, f"`{key}` {kind}, shape array<int>, values array<{number}>")
+    dealt = parts.repartition(key).sortWithinPartitions(key, *BOUNDS)
+    return dealt.mapInArrow(fetch, f"`{key}` {kind}, shape array<int>, values array<{number}>")
 
 
 def _gap(a: str, b: str) -> Column:

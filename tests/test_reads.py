@@ -41,6 +41,30 @@ def test_windows(spark):
     assert reads.read_windows(chunks, df.limit(0), "name", 4, 0.0).count() == 0
 
 
+def test_windows_over_batches(spark, capsys):
+    field, chunks = volume(spark, 3)
+    rng = np.random.default_rng(4)
+    low = rng.integers(-3, 8, (400, 3))
+    boxes = [(i, *(int(v) for c, w in zip(at, wide, strict=True) for v in (c, c + w))) for i, (at, wide) in enumerate(zip(low, rng.integers(0, 7, (400, 3)), strict=True))]
+    df = spark.createDataFrame([*boxes, (None, 0, 7, 0, 9, 0, 10)], "k int, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int")
+    padded = np.full((30, 30, 30), -1.0)
+    padded[5:12, 5:14, 5:15] = np.nan_to_num(field, nan=-1.0)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for rows in (3, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            found = reads.read_windows(chunks, df, "k", 4, -1.0)
+            got = {r.k: r for r in found.collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+        assert len(got) == len(boxes) + 1
+        for k, z0, z1, y0, y1, x0, x1 in [*boxes, (None, 0, 7, 0, 9, 0, 10)]:
+            want = padded[z0 + 5 : z1 + 5, y0 + 5 : y1 + 5, x0 + 5 : x1 + 5]
+            assert np.array_equal(np.array(got[k]["values"]), want.ravel()) and (got[k].shape == list(want.shape) or not want.size and got[k].shape == [0, 0, 0])
+    found.explain()
+    assert "MapInArrow" in capsys.readouterr().out  # boxes aren't groups of their own
+
+
 def test_box_distances(spark):
     rng = np.random.default_rng(2)
     boxes = {i: (o.tolist(), (o + s).tolist()) for i, (o, s) in enumerate(zip(rng.integers(-40, 60, (60, 3)), rng.integers(1, 15, (60, 3)), strict=True))}
