@@ -90,3 +90,14 @@ def test_surface_points(spark):
     assert sorted((r.row, r.col) for r in records.surface_points(cells, 2).collect()) == [(0, 2), (4, 4)]
     masked = cells.selectExpr("*", "if(row = 4, 0, 1) as mask")
     assert sorted((r.row, r.col) for r in records.surface_points(masked, 2).collect()) == [(0, 0), (0, 2)]
+
+
+def test_lines_are_parsed_few_times(spark, capsys):
+    texts = ['{"schema_version": 1}', '\t {"a": 1}', "[1]", "1", '{"a": 1} {"b": 2}', '{"a": 1}, {"b": 2}', '{"a": 1}, "b": 2', '{"a": 1}] [{"b": 2}', '{"a": 1, "a": 2}', "{", '"{"']
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "file string, line long, value string")
+    marked = records.screened(lines, records.PAIR, [])
+    assert [r.reason is None for r in marked.orderBy("line").collect()] == [True, True] + [False] * 9
+    marked.explain("extended")
+    plan = capsys.readouterr().out
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert max(line.count("VariantExpressionEvalUtils") for line in physical.splitlines()) <= 2
