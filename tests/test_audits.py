@@ -37,7 +37,11 @@ def test_recovered(spark, capsys):
     assert {(r.z, r.y, r.x): r.recovered for r in found.collect()} == want
 
 
-def test_survival_in_chunks(spark, capsys):
+def test_survival_in_chunks(spark, capsys, monkeypatch):
+    def written(*_):
+        raise AssertionError("a step was written")
+
+    monkeypatch.setattr(audits, "materialise", written)
     rows = voxels(1, (20, 8, 70))
     df = spark.createDataFrame([(*at, *v) for at, v in rows.items()], FIELD)
     known = {at: s for at, (s, t) in rows.items() if s is not None and s == s}
