@@ -37,6 +37,20 @@ def test_recovered(spark, capsys):
     assert {(r.z, r.y, r.x): r.recovered for r in found.collect()} == want
 
 
+def test_matched_voxels_come_with_the_scores(spark, capsys):
+    rows = voxels(2)
+    df = spark.createDataFrame([(*at, *v) for at, v in rows.items()], FIELD)
+    known = {at for at, (_, t) in rows.items() if t != 2}
+    want = {at for at in known if rows[at][1] == 1}
+    for _ in range(2):
+        want |= {at for at in known if any(tuple(a + o for a, o in zip(at, step, strict=True)) in want for step in stencils.cross(1))}
+    found = audits.recovered(df, "score", 2, True)
+    found.explain()
+    assert capsys.readouterr().out.count("FlatMapGroupsInArrow") == 1
+    assert {(r.z, r.y, r.x) for r in found.collect() if r.near} == want
+    assert found.drop("near").exceptAll(audits.recovered(df, "score", 2)).isEmpty()
+
+
 def test_survival_in_chunks(spark, capsys, monkeypatch):
     def written(*_):
         raise AssertionError("a step was written")

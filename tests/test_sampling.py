@@ -38,3 +38,9 @@ def test_rows_are_dealt_by_their_number(spark, monkeypatch):
     grid = bindings.grid(spark, "/root/testdata/sf0.001")
     assert grid.rdd.getNumPartitions() >= 50
     assert grid.count() == grid.select("z", "y", "x").distinct().count()
+
+
+def test_dealt_rows_are_not_put_together(spark, monkeypatch):
+    monkeypatch.setattr(shared, "ROWS", 1000)
+    grid = bindings.grid(spark, "/root/testdata/sf0.001")
+    assert grid.rdd.getNumPartitions() >= 6
