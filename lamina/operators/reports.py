@@ -12,22 +12,20 @@ def flatten_metrics(reports: DataFrame, key: str, report: str) -> DataFrame:
     """key, path and value of every number and truth value of a JSON report, at any depth; path joins the names by "/".
 
     Truth values count as 0 or 1; texts, nulls and lists are left out, and so are reports that are no object or no JSON. The reports are
-    opened level by level as variants, all rows of a level at once.
+    opened level by level as variants, all rows of a level at once. They are dealt out first: files of small rows have few splits.
     """
-    level = reports.select(key, F.lit("").alias("path"), F.try_parse_json(F.col(report)).alias("v")).where("v is not null")
+    dealt = reports.select(key, F.col(report).alias("report")).repartition(key, "report")
+    level = dealt.select(key, F.lit("").alias("path"), F.try_parse_json("report").alias("v"))
     spark, out, depth = reports.sparkSession, None, 0
     while True:
-        # A variant is opened by a lateral join, so every level is one pass over the values that are still objects.
-        level = level.where("schema_of_variant(v) like 'OBJECT%'")
-        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "child"))
-        kind = F.schema_of_variant("child")
-        rows = opened.select(key, F.concat("path", F.when(F.col("path") != "", "/").otherwise(""), "name").alias("path"), kind.alias("kind"), F.col("child").alias("v"))
+        # A variant is opened by a lateral join, so every level is one pass over the values that are still objects; entries of lists have no name.
+        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "child")).where("name is not null")
+        rows = opened.select(key, F.concat("path", F.when(F.col("path") != "", "/").otherwise(""), "name").alias("path"), F.schema_of_variant("child").alias("kind"), F.col("child").alias("v"))
         number = F.when(F.col("kind") == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("double")).when(F.col("kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|INT|SMALLINT|TINYINT)"), F.try_variant_get("v", "$", "double"))
-        text = rows.select(key, "path", "kind", number.alias("value"), F.when(F.col("kind").like("OBJECT%"), F.to_json("v")).alias("inner"))
-        text = materialise(text, f"level{depth}")
-        numbers = text.where("value is not null").select(key, "path", "value")
+        found = materialise(rows.select(key, "path", number.alias("value"), F.when(F.col("kind").like("OBJECT%"), F.col("v")).alias("v")), f"level{depth}")
+        numbers = found.where("value is not null").select(key, "path", "value")
         out = numbers if out is None else out.unionByName(numbers)
-        level = text.where("inner is not null").select(key, "path", F.parse_json("inner").alias("v"))
+        level = found.where("v is not null").select(key, "path", "v")
         depth += 1
         if not level.take(1):
             return out
@@ -36,21 +34,33 @@ def flatten_metrics(reports: DataFrame, key: str, report: str) -> DataFrame:
 def nest_metrics(metrics: DataFrame, key: str) -> DataFrame:
     """key and report: the JSON object of the rows (key, path, value) of each key, names in order; the inverse of flatten_metrics.
 
-    Levels are closed from the deepest one up. A name that is both a value and an object keeps the object.
+    A name that is both a value and an object keeps the object; null values are left out. The rows of a report meet once, in order of their
+    names: each then opens the objects that the row before isn't in and closes those that the next one isn't in.
     """
-    rows = metrics.select(key, F.split("path", "/").alias("names"), F.col("value").cast("string").alias("json"), F.lit(0).alias("inner"))
-    depth = rows.agg(F.max(F.size("names")).alias("n")).first().n or 0
-    for n in range(depth, 0, -1):
-        rows = rows.groupBy(key, "names").agg(F.max_by("json", "inner").alias("json"))
-        deep = rows.where(F.size("names") == n)
-        entry = F.concat(F.to_json(F.array(F.element_at("names", -1))), F.lit(":"), F.col("json"))
-        closed = deep.groupBy(key, F.slice("names", 1, n - 1).alias("names")).agg(F.array_sort(F.collect_list(F.struct(F.element_at("names", -1).alias("name"), entry.alias("entry")))).alias("entries"))
-        # to_json of a list of one name gives the quoted name in brackets.
-        joined = F.array_join(F.transform("entries", lambda e: F.regexp_replace(e.entry, r'^\[(".*?(?<!\\)(?:\\\\)*")\]:', "$1:")), ",")
-        closed = closed.select(key, "names", F.concat(F.lit("{"), joined, F.lit("}")).alias("json"), F.lit(1).alias("inner"))
-        rows = rows.where(F.size("names") < n).withColumn("inner", F.lit(0)).unionByName(closed)
-        rows = materialise(rows, f"nest{n}")
-    return rows.select(key, F.col("json").alias("report"))
+    # to_json of a list of one name gives the quoted name in brackets; U+0001, which it escapes, stands for a comma until it is known
+    # whether something follows.
+    quoted = lambda name: F.btrim(F.to_json(F.array(name)), F.lit("[]"))
+    names = metrics.where("path is not null").select(key, F.split("path", "/").alias("names"), F.col("value").cast("string").alias("json"))
+    leaf = F.concat(quoted(F.element_at("names", -1)), F.lit(":"), "json", F.lit("\x01"))
+    rows = names.select(key, F.struct("names", leaf.alias("leaf")).alias("row"))
+    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    follows = lambda r, i: F.slice(F.get("rows", i + 1).names, 1, F.size(r.names)) == r.names
+    rows = rows.select(key, F.filter("rows", lambda r, i: ~F.coalesce(follows(r, i), F.lit(False))).alias("rows"))
+    # Objects of a row: how many of them the row at the other place is in too.
+    depth = lambda r: F.size(r.names) - 1
+    steps = lambda n: F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1))))
+
+    def shared(r: Column, other: Column) -> Column:
+        levels = steps(F.least(depth(r), depth(other)))
+        return F.coalesce(F.size(F.filter(levels, lambda k: F.slice(r.names, 1, k) == F.slice(other.names, 1, k))), F.lit(0))
+
+    def entry(r: Column, i: Column) -> Column:
+        before = F.when(i > 0, shared(r, F.get("rows", i - 1))).otherwise(0)
+        opened = F.array_join(F.transform(F.slice(r.names, before + 1, depth(r) - before), lambda n: F.concat(quoted(n), F.lit(":{"))), "")
+        return F.concat(opened, F.coalesce(r.leaf, F.lit("")), F.repeat(F.lit("}\x01"), depth(r) - shared(r, F.get("rows", i + 1))))
+
+    text = F.concat(F.lit("{"), F.array_join(F.transform("rows", entry), ""), F.lit("}"))
+    return rows.select(key, F.replace(F.replace(text, F.lit("\x01}"), F.lit("}")), F.lit("\x01"), F.lit(",")).alias("report"))
 
 
 def _sizes(column: str, keep=None) -> Column:

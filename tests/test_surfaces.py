@@ -92,6 +92,31 @@ def test_reports_there_and_back(spark):
     assert reports.flatten_metrics(spark.createDataFrame([], "id long, report string"), "id", "report").count() == 0
 
 
+def test_reports_meet_once(spark, capsys, monkeypatch):
+    rows = [(1, "a/x", 1.0), (1, "a", 2.0), (1, "b/c/d", 3.0), (1, "b/c/e", None), (2, "a/b", None), (3, 'a,}"]:/x', 2.5), (3, "a!/k", 1.0), (3, "a/k", 1.0), (3, "\x01/y", 0.0), (4, "", 1.0), (4, "//", 2.0), (5, "z", 3.0), (5, "a/b", 1.0), (5, "a/b/c", None), (5, None, 1.0)]
+    monkeypatch.setattr(reports, "materialise", lambda *_: None)
+    back = reports.nest_metrics(spark.createDataFrame(rows, "id long, path string, value double"), "id")
+    back.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+    want = {1: '{"a":{"x":1.0},"b":{"c":{"d":3.0}}}', 2: '{"a":{}}', 3: '{"\\u0001":{"y":0.0},"a":{"k":1.0},"a!":{"k":1.0},"a,}\\"]:":{"x":2.5}}', 4: '{"":{"":{"":2.0}}}', 5: '{"a":{"b":{}},"z":3.0}'}
+    assert {r.id: r.report for r in back.collect()} == want
+
+
+def test_reports_are_dealt_out_before_they_are_opened(spark, capsys, monkeypatch):
+    plans = []
+    write = reports.materialise
+
+    def written(df, name):
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return write(df, name)
+
+    monkeypatch.setattr(reports, "materialise", written)
+    df = spark.createDataFrame([(1, '{"a": {"b": 1}, "l": [{"c": 2}]}')], "id long, report string")
+    assert [tuple(r) for r in reports.flatten_metrics(df, "id", "report").collect()] == [(1, "a/b", 1.0)]
+    assert len(plans) == 2 and "REPARTITION_BY_COL" in plans[0]
+
+
 def test_catalog_reasons(spark):
     kind = "id string, label string, scans array<struct<px:double>>, predictions array<struct<px:double,purpose:string>>, n_segments int"
     rows = [("a", None, [(7.9,), (2.4,), (7.9,), (None,)], [(2.4, "surface-prediction"), (1.0, "ink"), (None, "surface-prediction"), (3.0, None)], None), ("b", "B", None, None, 4), ("b", "B", [], [], 4), (None, None, None, None, 0), ("c", "C", [(1000.0,)], None, 1)]
