@@ -38,6 +38,8 @@ def bootstrap(counts: DataFrame, replicates: int, seed: int) -> DataFrame:
     parts = partitions(counts.sparkSession, ranked.count() * replicates)
     draws = ranked.select("scroll", F.col("_i").alias("k"), "_n").repartition(parts, "scroll", "k").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draws = draws.select("scroll", "replicate", (hash_number(F.concat_ws(":", F.lit(seed), "replicate", "scroll", "k")) % F.col("_n")).cast("int").alias("_i"))
+    # Both sides meet in that number of partitions too: those of the session would be put together by their bytes.
+    draws, ranked = (df.repartition(parts, "scroll", "_i") for df in (draws, ranked))
     sums = draws.join(large(ranked), ["scroll", "_i"]).groupBy("replicate", "scroll").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     dice = 2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1))
     return sums.groupBy("replicate").agg(F.avg(dice).alias("macro"))

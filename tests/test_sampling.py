@@ -33,6 +33,13 @@ def test_draws_are_not_counted_in_tasks(spark, capsys):
     assert "_i#" not in "".join(line for line in plan.splitlines() if "HashAggregate(keys" in line)
 
 
+def test_draws_meet_their_clusters_by_number(spark, capsys):
+    df = spark.createDataFrame(clusters(40), "scroll string, cluster long, tp long, fp long, fn long")
+    sampling.bootstrap(df, 6, 3).explain()
+    plan = capsys.readouterr().out
+    assert sum("REPARTITION_BY_NUM" in line and "_i#" in line for line in plan.splitlines()) == 2
+
+
 def test_rows_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(shared, "ROWS", 100)
     grid = bindings.grid(spark, "/root/testdata/sf0.001")
