@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -9,12 +10,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lamina.functions import geometry
 from lamina.sources.shared import large, materialise
 
 # Width of the tiles whose ends are answered at once.
 TILE = 64
+# Least side of the tiles in which pairs are sought and curves looked up, planes whose curves are looked up at once, and how many
+# comparisons a task holds.
+SIDE, DEPTH, BLOCK = 512, 16, 1 << 18
 
 
 class Gates(NamedTuple):
@@ -62,6 +67,61 @@ def near_pairs(ends: DataFrame, reach: int) -> DataFrame:
     return spread.join(large(own), ["plane", "_y", "_x"]).where("a < b").where(dy * dy + dx * dx <= reach * reach).drop("_y", "_x")
 
 
+def _spans(start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each k with every j from start[k] up to stop[k], BLOCK of them at a time or those of one k."""
+    count = np.maximum(stop - start, 0)
+    total = np.cumsum(count)
+    first = 0
+    while first < len(count):
+        done = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, done + BLOCK, "right")))
+        n = count[first:last]
+        k = np.repeat(np.arange(first, last), n)
+        yield k, start[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+        first = last
+
+
+def pairs_in_planes(ends: DataFrame, reach: int) -> DataFrame:
+    """near_pairs found by tasks that hold a tile of a plane: ends move once with hardly a copy, or stay where they are dealt by plane."""
+    names = ["y", "x", "ty", "tx", "component", "skeleton"]
+    side, width = max(SIDE, 4 * reach), reach * (1 + 1e-6)
+    rows = ends.select("plane", "id", *names).dropna(subset=["plane", "id", "y", "x"])
+    for c in "yx":
+        rows = rows.select("*", F.explode(F.sequence(F.floor(F.col(c) / side), F.floor((F.col(c) + reach) / side))).alias(f"_{c}"))
+    kinds = {f.name: f.dataType for f in ends.schema}
+    columns = {"plane": "plane"} | {s + (n if n != "id" else ""): n for s in "ab" for n in ("id", *names)}
+    schema = StructType([StructField(name, kinds[n]) for name, n in columns.items()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks().to_batches()[0]
+        ids, y, x = rows.column("id").to_numpy(), *(rows.column(c).to_numpy().astype(float) for c in "yx")
+        finite = np.flatnonzero(np.isfinite(y) & np.isfinite(x))
+        if len(finite) < 2:
+            return
+        # Cells are as wide as the reach: partners stand in the rest of a cell, the next one, and three of the next row.
+        cy, cx = (np.floor(v[finite] / width).astype(np.int64) for v in (y, x))
+        row = np.ptp(cx) + 3
+        code = (cy - cy.min()) * row + cx - cx.min() + 1
+        order = np.argsort(code, kind="stable")
+        code, order, n = code[order], finite[order], len(order)
+        start = np.concatenate([np.arange(n) + 1, np.searchsorted(code, code + row - 1)])
+        stop = np.concatenate([np.searchsorted(code, code + 2), np.searchsorted(code, code + row + 2)])
+        tile = [rows.column(f"_{c}")[0].as_py() for c in "yx"]
+        for k, j in _spans(start, stop):
+            p, q = order[k % n], order[j]
+            dy, dx = y[q] - y[p], x[q] - x[p]
+            near = dy * dy + dx * dx <= reach * reach
+            p, q = p[near], q[near]
+            # A pair is told in the tile of its upper corner, which holds both ends.
+            mine = (ids[p] != ids[q]) & (np.floor(np.maximum(y[p], y[q]) / side) == tile[0]) & (np.floor(np.maximum(x[p], x[q]) / side) == tile[1])
+            p, q = p[mine], q[mine]
+            swap = ids[p] > ids[q]
+            at = {"a": pa.array(np.where(swap, q, p)), "b": pa.array(np.where(swap, p, q))}
+            yield pa.RecordBatch.from_arrays([rows.column(n).take(at["b" if name[0] == "b" else "a"]) for name, n in columns.items()], list(columns))
+
+    return rows.groupBy("plane", "_y", "_x").applyInArrow(run, schema)
+
+
 def _side(side: str, names: str = "y x") -> list[Column]:
     return [F.col(side + n) for n in names.split()]
 
@@ -124,58 +184,110 @@ def match_candidates(pairs: DataFrame, gates: Gates = Gates(), centre: tuple[flo
     return rows.withColumn("reason", F.coalesce("reason", F.when(F.col("reason").isNull() & bent, F.lit("arc"))))
 
 
-def _pixel(v: Column) -> Column:
-    return F.floor(v + 0.5).cast("int")
+def _points(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Pixels of cubic curves at t; -2**40 where there is none."""
+    u = 1 - t
+    v = np.floor(u * u * u * p + 3 * u * u * t * q + 3 * u * t * t * r + t * t * t * s + 0.5)
+    return np.where(np.abs(v) < 1e9, v, -(2.0**40)).astype(np.int64)
+
+
+def _meet(pairs: pa.Table, labels: pa.Table, margin: int, planes: int, samples: int) -> np.ndarray:
+    """Whether the curve of each pair passes a third body and crosses a sheet, by the labels of its surroundings in order of their cells."""
+    ay, ax, aty, atx, by, bx, bty, btx = (pairs.column(c).cast("double").to_numpy() for c in ("ay", "ax", "aty", "atx", "by", "bx", "bty", "btx"))
+    plane = pairs.column("plane").to_numpy().astype(np.int64)
+    own = [pc.fill_null(pairs.column(f"{s}component").cast("int64"), 0).to_numpy() for s in "ab"]
+    cells = [labels.column(c).to_numpy() for c in ("plane", "y", "x")]
+    low, size = [int(c.min()) for c in cells], [int(np.ptp(c)) + 1 for c in cells]
+    code = ((cells[0] - low[0]) * size[1] + cells[1] - low[1]) * size[2] + cells[2] - low[2]
+    order = np.argsort(code, kind="stable")
+    code, label = code[order], labels.column("label").to_numpy()[order]
+    chord = np.sqrt((by - ay) ** 2 + (bx - ax) ** 2)
+    reach = chord / 3
+    curves = (ay, ay + reach * aty, by + reach * bty, by), (ax, ax + reach * atx, bx + reach * btx, bx)
+    merged, crossed = np.zeros((2, len(plane)), bool)
+
+    def found(z: np.ndarray, y: np.ndarray, x: np.ndarray, side: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of z, y, x and the labels up to side beside them in their row."""
+        z, y = z - low[0], y - low[1]
+        row = np.where((z >= 0) & (z < size[0]) & (y >= 0) & (y < size[1]), (z * size[1] + y) * size[2], -size[2])
+        start, stop = (np.searchsorted(code, row + np.clip(x + o - low[2], 0, size[2])) for o in (-side, side + 1))
+        for k, j in _spans(start, stop):
+            yield k, label[j]
+
+    steps = np.floor(np.where(chord >= 0.001, chord, 0) * 2).astype(np.int64) + 1
+    for k, i in _spans(np.zeros(len(plane), np.int64), np.where(chord >= 0.001, steps + 1, 0)):
+        t = i / steps[k]
+        y, x = (_points(*(v[k] for v in c), t) for c in curves)
+        for o in range(-margin, margin + 1):
+            for at, body in found(plane[k], y + o, x, margin):
+                who = k[at]
+                merged[who[(body != own[0][who]) & (body != own[1][who])]] = True
+
+    dz = np.array([o for o in range(-planes, planes + 1) if o])
+    t = np.arange(samples // 10, samples - samples // 10 + 1) / float(samples)
+    apart = np.flatnonzero((ay != by) | (ax != bx))
+    for first in range(0, len(apart), max(1, BLOCK // max(1, len(dz) * len(t)))):
+        k = apart[first : first + max(1, BLOCK // max(1, len(dz) * len(t)))]
+        z = (plane[k] + dz[:, None]).ravel()
+        under = np.zeros((2, len(z)), np.int64)
+        for s, (y, x) in enumerate(((ay, ax), (by, bx))):
+            spot = [np.tile(np.where(np.abs(v[k]) < 1e9, np.trunc(v[k]), -(2.0**40)).astype(np.int64), len(dz)) for v in (y, x)]
+            for at, body in found(z, *spot, 0):
+                np.maximum.at(under[s], at, body)
+        y, x = (np.tile(_points(*(v[k][:, None] for v in c), t), (len(dz), 1)) for c in curves)
+        for at, body in found(np.repeat(z, len(t)), y.ravel(), x.ravel(), 0):
+            at = at // len(t)
+            crossed[k[at[(body != under[0][at]) & (body != under[1][at])] % len(k)]] = True
+    return np.stack([merged, crossed])
+
+
+def _looked_up(pairs: DataFrame, labels: DataFrame, margin: int = 2, planes: int = 2, samples: int = 20) -> DataFrame:
+    """pairs with _merger and _crossed: whether the curve meets a third body in its plane, or a sheet in the next ones.
+
+    Pairs and labels meet in blocks of DEPTH planes and tiles; a pair goes to the one tile that holds all labels near its curve, and no cell
+    of a curve is written. pairs are read twice.
+    """
+    reach = F.sqrt((F.col("by") - F.col("ay")) ** 2 + (F.col("bx") - F.col("ax")) ** 2) / 3
+    box = {}
+    for c in "yx":
+        controls = [F.col(f"a{c}").cast("double"), F.col(f"a{c}") + reach * F.col(f"at{c}"), F.col(f"b{c}") + reach * F.col(f"bt{c}"), F.col(f"b{c}").cast("double")]
+        # A curve lies between its control points.
+        known = [F.when(F.abs(v) < 1e9, v) for v in controls]
+        box[c] = F.floor(F.least(*known)) - margin - 1, F.floor(F.greatest(*known)) + margin + 2
+    wide = pairs.agg(F.max(F.greatest(*[high - low for low, high in box.values()]))).first()[0] or 0
+    side, place = max(SIDE, 4 * wide), ["_tz", "_ty", "_tx"]
+    left = pairs.select("*", F.floor(F.col("plane") / DEPTH).alias("_tz"), *[F.floor(box[c][1] / side).alias(f"_t{c}") for c in "yx"])
+    right = labels.where("label > 0").select(*[F.col(c).cast("long").alias(c) for c in ("plane", "y", "x", "label")])
+    for c, size, before, after in (("plane", DEPTH, planes, planes), ("y", side, 0, wide), ("x", side, 0, wide)):
+        right = right.select("*", F.explode(F.sequence(F.floor((F.col(c) - before) / size), F.floor((F.col(c) + after) / size))).alias(f"_t{c}" if c != "plane" else "_tz"))
+
+    def run(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        told = _meet(mine, theirs, margin, planes, samples) if mine.num_rows and theirs.num_rows else np.zeros((2, mine.num_rows), bool)
+        return mine.drop_columns(place).append_column("_merger", pa.array(told[0])).append_column("_crossed", pa.array(told[1]))
+
+    schema = StructType(list(pairs.schema.fields)).add("_merger", "boolean").add("_crossed", "boolean")
+    return left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(run, schema)
 
 
 def merged_bodies(pairs: DataFrame, labels: DataFrame, margin: int = 2) -> DataFrame:
     """Pairs (plane, a, b) whose curve passes within margin pixels (a square) of a third body of labels (plane, y, x, label).
 
-    Curves are sampled twice a pixel; each cell of their band is looked up once.
+    Curves are sampled twice a pixel.
     """
-    chord = F.sqrt((F.col("by") - F.col("ay")) ** 2 + (F.col("bx") - F.col("ax")) ** 2)
-    steps = F.floor(chord * 2).cast("int") + 1
-    reach = chord / 3
-    controls = [(F.col(f"a{c}"), F.col(f"a{c}") + reach * F.col(f"at{c}"), F.col(f"b{c}") + reach * F.col(f"bt{c}"), F.col(f"b{c}")) for c in "yx"]
-
-    def cell(i: Column) -> Column:
-        t = i / steps
-        u = 1 - t
-        y, x = (_pixel(u * u * u * p + 3 * u * u * t * q + 3 * u * t * t * r + t * t * t * s) for p, q, r, s in controls)
-        return F.struct(y.alias("y"), x.alias("x"))
-
-    side = F.sequence(F.lit(-margin), F.lit(margin))
-    rows = pairs.where(chord >= 0.001).select("plane", "a", "b", "acomponent", "bcomponent", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), steps), cell))).alias("c"))
-    own = ["plane", "a", "b", "acomponent", "bcomponent"]
-    rows = rows.select(*own, "c", F.explode(side).alias("_dy")).select(*own, "c", "_dy", F.explode(side).alias("_dx"))
-    rows = rows.select(*own, (F.col("c.y") + F.col("_dy")).alias("y"), (F.col("c.x") + F.col("_dx")).alias("x")).distinct()
-    foreign = (F.col("label") > 0) & ~F.coalesce(F.col("label") == F.col("acomponent"), F.lit(False)) & ~F.coalesce(F.col("label") == F.col("bcomponent"), F.lit(False))
-    return rows.join(large(labels.select("plane", "y", "x", "label")), ["plane", "y", "x"]).where(foreign).select("plane", "a", "b").distinct()
+    return _looked_up(pairs, labels, margin, 0).where("_merger").select("plane", "a", "b").distinct()
 
 
 def crossed_sheets(pairs: DataFrame, labels: DataFrame, planes: int = 2, samples: int = 20) -> DataFrame:
     """Pairs (plane, a, b) whose curve, but for a tenth at either end, meets in one of the next planes a body that lies under neither end."""
-    path = F.transform(F.slice(_curve(samples), samples // 10 + 1, samples - 2 * (samples // 10) + 1), lambda p: F.struct(_pixel(p["y"]).alias("y"), _pixel(p["x"]).alias("x"), F.lit("path").alias("part")))
-    ends = [F.struct(F.col(f"{s}y").cast("int").alias("y"), F.col(f"{s}x").cast("int").alias("x"), F.lit(s).alias("part")) for s in "ab"]
-    dz = F.array(*[F.lit(k) for k in range(-planes, planes + 1) if k])
-    apart = (F.col("ay") != F.col("by")) | (F.col("ax") != F.col("bx"))
-    rows = pairs.where(apart).select("plane", "a", "b", F.explode(F.array_distinct(F.concat(F.array(*ends), path))).alias("c"))
-    rows = rows.select("plane", "a", "b", "c.*", F.explode(dz).alias("dz")).withColumn("_at", F.col("plane") + F.col("dz"))
-    met = rows.join(large(labels.where("label > 0").select(F.col("plane").alias("_at"), "y", "x", "label")), ["_at", "y", "x"])
-    under = [F.max(F.when(F.col("part") == s, F.col("label"))).alias(f"under_{s}") for s in "ab"]
-    planes_met = met.groupBy("plane", "a", "b", "dz").agg(*under, F.collect_set(F.when(F.col("part") == "path", F.col("label"))).alias("found"))
-    others = F.filter("found", lambda v: F.coalesce(v != F.col("under_a"), F.lit(True)) & F.coalesce(v != F.col("under_b"), F.lit(True)))
-    return planes_met.where(F.size(others) > 0).select("plane", "a", "b").distinct()
+    return _looked_up(pairs, labels, 0, planes, samples).where("_crossed").select("plane", "a", "b").distinct()
 
 
 def guarded(candidates: DataFrame, labels: DataFrame, margin: int = 2, planes: int = 2) -> DataFrame:
     """Candidates with the reasons merger and cross_sheet added; only pairs that no other gate refused are looked up."""
-    key = ["plane", "a", "b"]
     candidates = materialise(candidates, "candidates")
-    open_pairs = candidates.where("reason is null")
-    merged = merged_bodies(open_pairs, labels, margin).withColumn("_merger", F.lit("merger"))
-    crossed = crossed_sheets(open_pairs, labels, planes).withColumn("_crossed", F.lit("cross_sheet"))
-    return candidates.join(large(merged), key, "left").join(large(crossed), key, "left").withColumn("reason", F.coalesce("reason", "_merger", "_crossed")).drop("_merger", "_crossed")
+    told = _looked_up(candidates.where("reason is null"), labels, margin, planes)
+    told = told.withColumn("reason", F.when(F.col("_merger"), "merger").when(F.col("_crossed"), "cross_sheet"))
+    return candidates.where("reason is not null").unionByName(told.drop("_merger", "_crossed"))
 
 
 def local_axis(ends: DataFrame, labels: DataFrame, radius: int = 8, least: int = 5) -> DataFrame:

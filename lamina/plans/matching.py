@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.operators import matching
 from lamina.plans.bindings import load
 from lamina.plans.registry import query
+from lamina.sources.shared import dealt
 
 LINES = "li as (select l_orderkey, l_linenumber, max(l_partkey) as l_partkey, max(l_suppkey) as l_suppkey, max(l_discount) as l_discount from lineitem group by all)"
 DIRECTIONS = [(1.0, 0.0), (0.0, 1.0), (-1.0, 0.0), (0.0, -1.0), (0.6, 0.8), (-0.6, 0.8), (0.8, -0.6), (-0.8, -0.6)]
@@ -22,26 +23,34 @@ def _ladder(gate: str, floor: float) -> str:
     return f"case when ac = bc and ac > 0 or sa = sb and sa > 0 then 'same_cc' when not (cos_a >= need and cos_b >= need and oppose <= case when far then -0.4 else 0.0 end) then 'tangent' {gate} when score < {floor} then 'score' when arc >= 1.15 then 'arc' end"
 
 
-def lines(s: SparkSession, d: str) -> DataFrame:
-    """One row for each key of an order line."""
-    return load(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_discount")])
+def plane() -> Column:
+    return F.floor(F.col("l_orderkey") / 256).cast("int").alias("plane")
 
 
-def ends(s: SparkSession, d: str) -> DataFrame:
+def lines(s: SparkSession, d: str, by_plane: bool = False) -> DataFrame:
+    """One row for each key of an order line; with by_plane dealt by the plane of ends, which the order tells, so that planes aren't shuffled again."""
+    rows, keys = load(s, d, "lineitem"), ["l_orderkey", "l_linenumber"]
+    if by_plane:
+        rows, keys = dealt(rows.select("*", plane()), rows.count(), "plane"), ["plane", *keys]
+    return rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_discount")])
+
+
+def ends(s: SparkSession, d: str, by_plane: bool = False) -> DataFrame:
     key, n = F.col("l_orderkey"), F.col("l_linenumber")
     turn = ((key * 3 + n) % 8).cast("int")
     ty, tx = (F.element_at(F.array(*[F.lit(p[i]) for p in DIRECTIONS]), turn + 1) for i in range(2))
-    return lines(s, d).select((key * 8 + n).alias("id"), F.floor(key / 256).cast("int").alias("plane"), ((F.col("l_partkey") * 7919 + key * 31) % 400).cast("int").alias("y"), ((F.col("l_suppkey") * 104729 + key * n) % 400).cast("int").alias("x"), ty.alias("ty"), tx.alias("tx"), (F.col("l_partkey") % 90).alias("component"), (F.col("l_partkey") % 45).alias("skeleton"))
+    return lines(s, d, by_plane).select((key * 8 + n).alias("id"), F.col("plane") if by_plane else plane(), ((F.col("l_partkey") * 7919 + key * 31) % 400).cast("int").alias("y"), ((F.col("l_suppkey") * 104729 + key * n) % 400).cast("int").alias("x"), ty.alias("ty"), tx.alias("tx"), (F.col("l_partkey") % 90).alias("component"), (F.col("l_partkey") % 45).alias("skeleton"))
 
 
 def labels(rows: DataFrame) -> DataFrame:
     return rows.groupBy("plane", "y", "x").agg(F.max("component").alias("label"))
 
 
-def pairs(s: SparkSession, d: str) -> DataFrame:
-    rows = ends(s, d)
+def pairs(s: SparkSession, d: str, by_plane: bool = False) -> DataFrame:
+    rows = ends(s, d, by_plane)
     a, b = F.col("a"), F.col("b")
-    return matching.near_pairs(rows, 21).withColumns({"adjacent": (a * 3 + b) % 10 / 10, "track": (a + b * 7) % 10 / 10})
+    found = matching.pairs_in_planes(rows, 21) if by_plane else matching.near_pairs(rows, 21)
+    return found.withColumns({"adjacent": (a * 3 + b) % 10 / 10, "track": (a + b * 7) % 10 / 10})
 
 
 @query(f"with {PAIRS} select plane, count(*) as n, count(*) filter (where far) as far, round(sum(cos_a), 4) as cos_a, round(sum(cos_b), 4) as cos_b, round(sum(oppose), 4) as oppose, round(sum(radial), 4) as radial, round(sum(score), 4) as score from scored group by plane")
@@ -71,8 +80,9 @@ CROSS = f'''middle as (select distinct plane, a, b, ay, ax, "by", bx, {FLOOR.for
 @query(f"with {PAIRS}, {ARC}, {STROKE}, {CROSS} select plane, case when m.a is not null then 'merger' when x.a is not null then 'cross_sheet' end as reason, count(*) as n, sum(a)::bigint as a, sum(b)::bigint as b from c left join merger m using (plane, a, b) left join xsheet x using (plane, a, b) group by plane, 2")
 def guarded_matches(s: SparkSession, d: str) -> DataFrame:
     """Provisional candidates whose curves pass a third body in the plane or another sheet in the next ones."""
-    rows = matching.match_candidates(pairs(s, d), provisional=True).where("reason is null")
-    return matching.guarded(rows, labels(ends(s, d))).groupBy("plane", "reason").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    rows = matching.match_candidates(pairs(s, d, True), provisional=True).where("reason is null")
+    rows = rows.select("plane", "a", "b", *[f"{e}{c}" for e in "ab" for c in ("y", "x", "ty", "tx", "component")], "reason")
+    return matching.guarded(rows, labels(ends(s, d, True))).groupBy("plane", "reason").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 AXIS_ENDS = LINES + ", e as (select l_orderkey * 8 + l_linenumber as id, (l_orderkey // 256)::int as plane, (l_partkey % 40)::int as y, ((l_orderkey + l_suppkey) % 40)::int as x, l_partkey % 3 as component from li), l as (select plane, y, x, component as label from e group by all)"

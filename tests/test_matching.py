@@ -166,3 +166,50 @@ def test_near_pairs_are_all_pairs_without_joins_back(spark):
     assert len(pairs) == len(want) and set(pairs) == want
     assert set(got.columns) == set(matching.end_pairs(ends, joins.pairs_within(ends, 10)).columns)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_pairs_in_planes_over_tiles(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, int(rng.integers(2)), int(rng.choice([-512, 0, 512, 1024])) + int(rng.integers(-30, 30)), int(rng.integers(-40, 40)), 1.0, 0.0, k % 7 or None, k) for k in range(600)] + [(900, 0, None, 1, 1.0, 0.0, 1, 1), (901, None, 1, 1, 1.0, 0.0, 1, 1)]
+    ends = spark.createDataFrame(rows, "id long, plane int, y int, x int, ty double, tx double, component long, skeleton long")
+    got = matching.pairs_in_planes(ends, 10)
+    plain = matching.near_pairs(ends, 10)
+    assert set(got.columns) == set(plain.columns)
+    want = sorted(map(str, plain.collect()))
+    assert len(want) > 1000 and sorted(map(str, got.select(plain.columns).collect())) == want
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+
+
+def test_curves_are_looked_up_without_writing_their_cells(spark, capsys):
+    rng = np.random.default_rng(9)
+    ends = []
+    for i in range(40):
+        angle, z = rng.random() * 2 * math.pi, int(rng.integers(13, 19))
+        ends.append((i, z, int(rng.integers(-300, 900)), int(rng.integers(-20, 60)), math.sin(angle), math.cos(angle), int(rng.integers(0, 4)), i))
+    cells = {(int(rng.choice([11, 12, 13, 14, 15, 17, 18, 20])), int(rng.integers(-400, 1000)), int(rng.integers(-60, 100)), int(rng.integers(0, 6))) for _ in range(9000)}
+    labels = spark.createDataFrame(sorted(cells), LABELS)
+    frame = spark.createDataFrame(ends, ENDS)
+    found = matching.end_pairs(frame, frame.alias("p").join(frame.alias("q"), "plane").where("p.id < q.id").selectExpr("p.id as a", "q.id as b"))
+    out = matching.guarded(found.selectExpr("*", "cast(null as string) as reason"), labels)
+    out.explain()
+    assert "array_distinct" not in capsys.readouterr().out  # no row for a cell of a curve
+    at = {}
+    for z, y, x, label in cells:
+        if label > 0:
+            at.setdefault((z, y, x), set()).add(label)
+    got, seen = {(r.a, r.b): r.reason for r in out.collect()}, set()
+    for a in ends:
+        for b in ends:
+            if a[0] >= b[0] or a[1] != b[1]:
+                continue
+            pa, pb = a[2:6], b[2:6]
+            steps, near, other = int(math.hypot(pb[0] - pa[0], pb[1] - pa[1]) * 2) + 1, set(), False
+            for y, x in {tuple(curve(pa, pb, k / steps)) for k in range(steps + 1)} if pa[:2] != pb[:2] else ():
+                near |= set().union(*(at.get((a[1], y + i, x + j), ()) for i in range(-2, 3) for j in range(-2, 3)))
+            for z in (a[1] - 2, a[1] - 1, a[1] + 1, a[1] + 2):
+                under = [max(at.get((z, *p[:2]), {0})) for p in (pa, pb)]
+                other |= any(set(at.get((z, *curve(pa, pb, k / 20)), ())) - set(under) for k in range(2, 19))
+            want = "merger" if near - {a[6], b[6]} else "cross_sheet" if other else None
+            seen.add(want)
+            assert got[a[0], b[0]] == want
+    assert seen == {"merger", "cross_sheet", None}
