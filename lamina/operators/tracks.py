@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -15,6 +17,8 @@ REACH, GAP = 8.0, 10
 STRONG, MODERATE, SUPPORT = 0.7, 0.4, 3
 BOOST_STRONG, BOOST_MODERATE, AGAINST = 0.85, 0.5, -0.3
 ENDS = ["id", "y", "x", "ty", "tx"]
+# Distances between ends and live tracks that are held at once.
+BLOCK = 1 << 18
 TRACK_SCHEMA = "region {kind}, z int, id long, track long"
 
 
@@ -28,16 +32,20 @@ def _advance(live: dict[int, tuple], free: int, z: int, ends: np.ndarray, reach:
         del live[t]
     names = sorted(t for t, v in live.items() if v[4] != z)
     now = np.array([live[t][:4] for t in names]).reshape(-1, 4)
-    far = ((ends[:, None, :2] - now[None, :, :2]) ** 2).sum(2)
-    far[ends[:, 2:3] * now[:, 2] + ends[:, 3:4] * now[:, 3] < 0] = np.inf
-    out = []
+    out, taken, few = [], np.zeros(len(names), bool), max(1, BLOCK // max(1, len(names)))
     for i, end in enumerate(ends.tolist()):
+        i %= few
+        if not i:
+            some = ends[len(out) : len(out) + few]
+            far = ((some[:, None, :2] - now[None, :, :2]) ** 2).sum(2)
+            far[some[:, 2:3] * now[:, 2] + some[:, 3:4] * now[:, 3] < 0] = np.inf
+            far[:, taken] = np.inf
         k = int(far[i].argmin()) if names else 0
         if names and far[i, k] < reach * reach:
             track, old = names[k], live[names[k]]
             members = old[5] + 1
             live[track] = (*(a + (b - a) / members for a, b in zip(old, end)), z, members)
-            far[:, k] = np.inf  # taken for this plane
+            far[:, k], taken[k] = np.inf, True  # for this plane
         else:
             track, free = free, free + 1
             live[track] = (*end, z, 1)
@@ -45,37 +53,81 @@ def _advance(live: dict[int, tuple], free: int, z: int, ends: np.ndarray, reach:
     return out, free
 
 
-def _walk(df: pd.DataFrame, live: dict[int, tuple], free: int, newest: int | None, reach: float, gap: int) -> tuple[pd.DataFrame, int, int | None]:
-    """df with track, plane by plane; rows without a place or direction and rows of planes before the newest one get none."""
-    df = df.sort_values(["z", "id"], kind="stable")
-    good = df[["z", "id", "y", "x", "ty", "tx"]].notna().all(axis=1).to_numpy()
-    if newest is not None:
-        good &= df["z"].to_numpy() >= newest
-    tracks = np.full(len(df), -1, np.int64)
-    places = df[["y", "x", "ty", "tx"]].to_numpy(float)
-    planes = df["z"].to_numpy()
+def _follow(planes: np.ndarray, places: np.ndarray, good: np.ndarray, live: dict[int, tuple], free: int, newest: int | None, reach: float, gap: int) -> tuple[np.ndarray, int, int | None]:
+    """Tracks of rows in order of planes and ids, plane by plane; -1 for rows that aren't good and those of planes before the newest one."""
+    tracks = np.full(len(planes), -1, np.int64)
     # Rows are in order of planes, so each plane is a run of them.
-    rows = np.flatnonzero(good)
+    rows = np.flatnonzero(good if newest is None else good & (planes >= newest))
     first = np.flatnonzero(np.diff(planes[rows].astype(float), prepend=-np.inf))
     for begin, end in zip(first, [*first[1:], len(rows)], strict=True) if len(rows) else ():
-        at, z = rows[begin:end], int(planes[rows[begin]])
-        tracks[at], free = _advance(live, free, z, places[at], reach, gap)
-        newest = z
+        at, newest = rows[begin:end], int(planes[rows[begin]])
+        tracks[at], free = _advance(live, free, newest, places[at], reach, gap)
+    return tracks, free, newest
+
+
+def _walk(df: pd.DataFrame, live: dict[int, tuple], free: int, newest: int | None, reach: float, gap: int) -> tuple[pd.DataFrame, int, int | None]:
+    """df with track; rows without a place or direction and rows of planes before the newest one get none. Ends of one id go by their place."""
+    df = df.sort_values(["z", *ENDS], kind="stable")
+    good = df[["z", *ENDS]].notna().all(axis=1).to_numpy()
+    tracks, free, newest = _follow(df["z"].to_numpy(), df[ENDS[1:]].to_numpy(float), good, live, free, newest, reach, gap)
     return df[["region", "z", "id"]].assign(track=pd.arrays.IntegerArray(tracks, tracks < 0)), free, newest
 
 
+def _same(column: pa.Array, value: pa.Scalar) -> np.ndarray:
+    same = pc.fill_null(pc.equal(column, value), False) if value.is_valid else pc.is_null(column)
+    return same.to_numpy(zero_copy_only=False)
+
+
+def _whole_planes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of region and plane in batches that end where a plane does."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = _same(batch["region"], batch["region"][-1]) & _same(batch["z"], batch["z"][-1])
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        goes_on = not cut and kept and all(_same(kept[-1][c], batch[c][0])[-1] for c in ("region", "z"))
+        if cut:
+            kept.append(batch[:cut])
+        if kept and not goes_on:
+            yield pa.concat_batches(kept)
+            kept = []
+        kept.append(batch[cut:])
+    if kept:
+        yield pa.concat_batches(kept)
+
+
 def endpoint_tracks(ends: DataFrame, reach: float = REACH, gap: int = GAP) -> DataFrame:
     """region, z, id and track for each row of ends (region, z, id, y, x and the direction ty, tx).
 
-    Planes of a region are walked in order, ends of a plane by id; tracks are numbered within the region. A region is a tile of one
-    record, so what a task holds doesn't grow with the number of records. Rows with a null get no track.
+    Planes of a region are walked in order, ends of a plane by id and place; tracks are numbered within the region. A region's rows are
+    sorted by Spark and pass through one task, which holds a plane of them and the live tracks. Rows with a null get no track.
     """
     kind = ends.schema["region"].dataType.simpleString()
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        return _walk(df, {}, 0, None, reach, gap)[0]
-
-    return ends.select("region", "z", *ENDS).groupBy("region").applyInPandas(run, TRACK_SCHEMA.format(kind=kind))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, live, free, newest = None, {}, 0, None
+        for batch in _whole_planes(batches):
+            good = np.logical_and.reduce([pc.is_valid(batch[c]).to_numpy(zero_copy_only=False) for c in ("z", *ENDS)])
+            z = pc.fill_null(batch["z"], 0).to_numpy()
+            places = np.stack([batch[c].cast("double").to_numpy(zero_copy_only=False) for c in ENDS[1:]], axis=1)
+            good &= ~np.isnan(places).any(axis=1)
+            tracks, begin = np.empty(batch.num_rows, np.int64), 0
+            while begin < batch.num_rows:
+                name = batch["region"][begin]
+                same = _same(batch["region"][begin:], name)
+                end = batch.num_rows if same.all() else begin + int(same.argmin())
+                if region is None or not _same(pa.array([region.as_py()], name.type), name)[0]:
+                    region, live, free, newest = name, {}, 0, None
+                end = max(end, begin + 1)
+                tracks[begin:end], free, newest = _follow(z[begin:end], places[begin:end], good[begin:end], live, free, newest, reach, gap)
+                begin = end
+            yield pa.RecordBatch.from_arrays([batch["region"], batch["z"], batch["id"], pa.array(tracks, mask=tracks < 0)], ["region", "z", "id", "track"])
+
+    few = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A given number of partitions, because Spark puts the session's own together by their bytes.
+    rows = ends.select("region", "z", *ENDS).repartition(few, "region").sortWithinPartitions("region", "z", *ENDS)
+    return rows.mapInArrow(run, TRACK_SCHEMA.format(kind=kind))
 
 
 class TrackEnds(StatefulProcessor):

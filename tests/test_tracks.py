@@ -5,6 +5,7 @@ import tempfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from lamina.operators import tracks
 from lamina.streaming.counts import run_available
@@ -120,3 +121,42 @@ def test_planes_are_not_searched_for_once_a_plane(monkeypatch):
     monkeypatch.setattr(tracks.np, "flatnonzero", lambda a, plain=np.flatnonzero: looked.append(np.size(a)) or plain(a))
     out = tracks._walk(df, {}, 0, None, 8.0, 10)[0]
     assert list(out["track"]) == [0, 1] * (n // 2) and sum(looked) <= 3 * n
+
+
+def test_a_region_is_not_held_whole(spark, monkeypatch):
+    rows = made(5, 50) + [(None, z, 10 * z + k, 3.0 * k, 1.0, 0.6, 0.8) for z in range(3) for k in range(15)] + [("a", None, 2, 1.0, 1.0, 1.0, 0.0), ("b", 1, None, 1.0, 1.0, 1.0, 0.0), ("d", 4, 9, float("nan"), 1.0, 1.0, 0.0)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        found = tracks.endpoint_tracks(spark.createDataFrame(rows, SCHEMA).repartition(5))
+        got = {(r.region, r.z, r.id): r.track for r in found.collect()}
+    finally:
+        spark.conf.set(name, before)
+    want = walked([(r[0] or "none", *r[1:]) for r in rows if r[1] is not None and r[2] is not None and r[3] == r[3]])
+    assert got == {(None if k[0] == "none" else k[0], *k[1:]): v for k, v in want.items()} | {("a", None, 2): None, ("b", 1, None): None, ("d", 4, 9): None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan  # which give a task a region at once
+
+
+def test_batches_end_with_planes():
+    rows = [(r, z) for r in (None, "a", "b") for z, n in ((None, 2), (0, 9), (1, 1), (5, 4)) for _ in range(n)]
+    table = pa.table({"region": pa.array([r[0] for r in rows], "string"), "z": pa.array([r[1] for r in rows], "int32")})
+    for size in (1, 3, 5, 100):
+        parts = [[tuple(r.values()) for r in b.to_pylist()] for b in tracks._whole_planes(iter(table.to_batches(max_chunksize=size)))]
+        assert sum(parts, []) == rows and all(p[-1] != q[0] for p, q in zip(parts, parts[1:]))
+        assert size > 5 or max(map(len, parts)) <= 9 + size
+
+
+def test_distances_come_in_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    n = 400
+    df = pd.DataFrame({"region": 1, "z": np.arange(n) // 40, "id": np.arange(n), "y": rng.uniform(0, 60, n), "x": rng.uniform(0, 60, n), "ty": 1.0, "tx": 0.0})
+    plain = tracks._walk(df, {}, 0, None, 8.0, 10)[0]
+    monkeypatch.setattr(tracks, "BLOCK", 300)
+    assert list(tracks._walk(df, {}, 0, None, 8.0, 10)[0]["track"]) == list(plain["track"]) == list(walked_frame(df))
+
+
+def walked_frame(df):
+    out = walked([tuple(r) for r in df.itertuples(index=False)])
+    return [out[r.region, r.z, r.id] for r in df.itertuples()]
