@@ -181,9 +181,11 @@ def connections(tracks: DataFrame, matches: DataFrame) -> DataFrame:
     pair = pair.join(a, ["region", "z", "a"]).join(b, ["region", "z", "b"]).where("t1 <> t2")
     pair = pair.select("region", F.least("t1", "t2").alias("ta"), F.greatest("t1", "t2").alias("tb"), F.struct("z", "a").alias("at"))
     conns = pair.groupBy("region", "ta", "tb").agg(F.count("*").alias("confirmed"), F.min("at").alias("first"))
-    planes = known.select("region", "track", "z").distinct()
-    both = conns.select("region", "ta", "tb").join(planes.withColumnRenamed("track", "ta"), ["region", "ta"]).join(planes.withColumnRenamed("track", "tb"), ["region", "tb", "z"])
-    possible = both.groupBy("region", "ta", "tb").agg(F.count("*").alias("possible"))
+    # Planes of a track as bits of a few numbers: 64 planes each, so that a connection meets those and not every plane.
+    planes = known.groupBy("region", "track", F.floor(F.col("z") / 64).alias("part")).agg(F.expr("bit_or(shiftleft(1L, pmod(z, 64)))").alias("bits"))
+    both = conns.select("region", "ta", "tb").join(planes.select("region", F.col("track").alias("ta"), "part", F.col("bits").alias("bits_a")), ["region", "ta"])
+    both = both.join(planes.select("region", F.col("track").alias("tb"), "part", F.col("bits").alias("bits_b")), ["region", "tb", "part"])
+    possible = both.groupBy("region", "ta", "tb").agg(F.sum(F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b")))).alias("possible"))
     return conns.join(possible, ["region", "ta", "tb"]).select("region", "ta", "tb", "confirmed", "possible", (F.col("confirmed") / F.col("possible")).alias("confidence"), "first")
 
 

@@ -53,5 +53,5 @@ def track_scores(s: SparkSession, d: str) -> DataFrame:
     """Support and score that tracks give to matched ends."""
     rows = ends(s, d)
     found = materialise(tracks.endpoint_tracks(rows), "tracks")
-    pairs = matched(rows)
+    pairs = materialise(matched(rows), "matched")
     return tracks.track_scores(pairs, found, tracks.connections(found, pairs))

@@ -160,3 +160,14 @@ def test_distances_come_in_blocks(monkeypatch):
 def walked_frame(df):
     out = walked([tuple(r) for r in df.itertuples(index=False)])
     return [out[r.region, r.z, r.id] for r in df.itertuples()]
+
+
+def test_planes_of_connections_meet_as_bits(spark):
+    rng = random.Random(11)
+    there = {t: sorted(rng.sample(range(-150, 200), 90)) for t in range(4)}
+    found = spark.createDataFrame([("r", z, 1000 * (z + 200) + t, t) for t, planes in there.items() for z in planes], "region string, z int, id long, track long")
+    matches = [(z, t, u) for t in range(4) for u in range(t) for z in sorted(set(there[t]) & set(there[u]))[::3]]
+    pairs = spark.createDataFrame([("r", z, 1000 * (z + 200) + t, 1000 * (z + 200) + u) for z, t, u in matches], "region string, z int, a long, b long")
+    conns = tracks.connections(found, pairs)
+    assert {(r.ta, r.tb): (r.confirmed, r.possible) for r in conns.collect()} == {(u, t): (len([m for m in matches if m[1:] == (t, u)]), len(set(there[t]) & set(there[u]))) for t in range(4) for u in range(t)}
+    assert "bit_count" in conns._jdf.queryExecution().optimizedPlan().toString()  # no row for a connection's plane
