@@ -67,3 +67,30 @@ def test_survival_in_chunks(spark, capsys, monkeypatch):
         for k, level in enumerate(levels):
             near = [known.get(tuple(a + o for a, o in zip(at, step, strict=True))) for step in stencils.cross(k)]
             assert level == (None if None in near else min(near))
+
+
+def test_frontier_takes_all_thresholds_and_depths(spark, monkeypatch):
+    from lamina.plans import audits as plans
+    from lamina.plans.bindings import THRESHOLDS
+
+    rng = np.random.default_rng(7)
+    score = (rng.integers(0, 11, (16, 20, 20)) / 10).astype(np.float32)
+    score[2:14, 4:16, 4:16] = 0.5  # a solid body in noise
+    score[3:9, 5:11, 5:11] = 0.95
+    rows = [(*map(int, at), float(score[at]), 2 if score[at] == np.float32(0.1) else 0) for at in np.ndindex(score.shape)]
+    monkeypatch.setattr(plans, "field", lambda s, d: spark.createDataFrame(rows, "z int, y int, x int, score float, target int"))
+    got = {r.threshold: r for r in plans.frontier(spark, "").collect()}
+    assert sorted(got) == THRESHOLDS and len(got) == 17
+    score[score == np.float32(0.1)] = -1
+    deep = set()
+    for t in THRESHOLDS:
+        left = [np.pad(score >= np.float32(t), 1)]
+        for _ in range(4):
+            m = left[-1]
+            left.append(np.logical_and.reduce([m, *(np.roll(m, o, a) for a in range(3) for o in (1, -1))]))
+        n, i, d = (left[k][1:-1, 1:-1, 1:-1] for k in (0, 2, 4))
+        share = np.mean([i[z : z + 8].sum() / max(1, n[z : z + 8].sum()) for z in (0, 8)])
+        r = got[t]
+        assert (r.foreground, r.interior_share, r.deep_share, r.mean_share) == (n.sum(), round(i.sum() / n.sum(), 6), round(d.sum() / n.sum(), 6), round(share, 6))
+        deep.add(int(d.sum()))
+    assert len(deep) > 1 and max(deep) > 0
