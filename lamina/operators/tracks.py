@@ -33,23 +33,27 @@ def _advance(live: dict[int, tuple], free: int, z: int, ends: np.ndarray, reach:
     names = sorted(t for t, v in live.items() if v[4] != z)
     now = np.array([live[t][:4] for t in names]).reshape(-1, 4)
     out, taken, few = [], np.zeros(len(names), bool), max(1, BLOCK // max(1, len(names)))
-    for i, end in enumerate(ends.tolist()):
-        i %= few
-        if not i:
-            some = ends[len(out) : len(out) + few]
-            far = ((some[:, None, :2] - now[None, :, :2]) ** 2).sum(2)
-            far[some[:, 2:3] * now[:, 2] + some[:, 3:4] * now[:, 3] < 0] = np.inf
-            far[:, taken] = np.inf
-        k = int(far[i].argmin()) if names else 0
-        if names and far[i, k] < reach * reach:
-            track, old = names[k], live[names[k]]
-            members = old[5] + 1
-            live[track] = (*(a + (b - a) / members for a, b in zip(old, end)), z, members)
-            far[:, k], taken[k] = np.inf, True  # for this plane
-        else:
-            track, free = free, free + 1
-            live[track] = (*end, z, 1)
-        out.append(track)
+    for first in range(0, len(ends), few):
+        some = ends[first : first + few]
+        far = (some[:, 0:1] - now[:, 0]) ** 2 + (some[:, 1:2] - now[:, 1]) ** 2
+        far[some[:, 2:3] * now[:, 2] + some[:, 3:4] * now[:, 3] < 0] = np.inf
+        nearest = far.argmin(1) if names else np.zeros(len(some), int)
+        least = far[np.arange(len(some)), nearest] if names else np.full(len(some), np.inf)
+        for i, (end, k, d) in enumerate(zip(some.tolist(), nearest.tolist(), least.tolist(), strict=True)):
+            if names and taken[k]:  # by an end before it in this plane
+                left = np.where(taken, np.inf, far[i])
+                k = int(left.argmin())
+                d = left[k]
+            y, x, ty, tx = end
+            if d < reach * reach:
+                track, taken[k] = names[k], True
+                my, mx, mty, mtx, _, n = live[track]
+                n += 1
+                live[track] = (my + (y - my) / n, mx + (x - mx) / n, mty + (ty - mty) / n, mtx + (tx - mtx) / n, z, n)
+            else:
+                track, free = free, free + 1
+                live[track] = (y, x, ty, tx, z, 1)
+            out.append(track)
     return out, free
 
 

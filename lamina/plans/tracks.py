@@ -54,4 +54,4 @@ def track_scores(s: SparkSession, d: str) -> DataFrame:
     rows = ends(s, d)
     found = materialise(tracks.endpoint_tracks(rows), "tracks")
     pairs = materialise(matched(rows), "matched")
-    return tracks.track_scores(pairs, found, tracks.connections(found, pairs))
+    return tracks.track_scores(pairs, found, materialise(tracks.connections(found, pairs), "connections"))
